@@ -94,12 +94,12 @@ def chain(*parts: np.ndarray) -> np.ndarray:
 
 def planes(a: np.ndarray) -> bytes:
     """Bytes of the integers, plane by plane: leading zeros lie together, so that Spark's own compression removes them."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def unplanes(b: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, len(b) // width).T).reshape(-1).view(dtype)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
