@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes in one block of documents; one Python task holds one block at a time.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -110,6 +111,15 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unplanes(b, np.uint64), dtype=np.uint64)
 
 
+def release() -> None:
+    """Give memory that a block has used back to the machine; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64())])
 _TYPES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
@@ -158,7 +168,9 @@ def count_keys(blocks: DataFrame, n_blocks: int, emit) -> DataFrame:
     bits = bucket_bits(n_blocks)
 
     def keys(table: pa.Table) -> pa.Table:
-        return key_rows(table["block"][0].as_py(), emit(table["text"].to_pylist(), table["doc_id"].to_pylist()), bits)
+        rows = key_rows(table["block"][0].as_py(), emit(table["text"].to_pylist(), table["doc_id"].to_pylist()), bits)
+        release()
+        return rows
 
     return blocks.groupBy("block").applyInArrow(keys, ddl(KEYS)).groupBy("bucket", "kind").applyInArrow(_merge, ddl(ANSWERS))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, unplanes, word_hashes
+from .common import answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, unplanes, word_hashes
 
 #: Prefixes grow by up to so many tokens beyond the plain prefix filter's.
 MOST_EXTRA = 16
@@ -173,7 +173,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
         return [(keys, counts)]
 
     frequencies = count_keys(blocks, n_blocks, emit)
-    sketch = lambda left, right: _sketch(left, right, width, percent)
+    def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = _sketch(left, right, width, percent)
+        release()
+        return rows
+
     sets = materialise(blocks.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(sketch, ddl(SETS)))
 
     same = ["n_shingles", "sig_a", "sig_b"]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import answers_by_kind, chain, count_keys, ddl, in_blocks, word_hashes
+from .common import answers_by_kind, chain, count_keys, ddl, in_blocks, release, word_hashes
 
 END, START = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -122,5 +122,10 @@ def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, kappa: floa
         return [(words[keep], counts[keep]), (hashes[order], pair_counts[order]), (np.array([START], np.uint64), begun)]
 
     counts = count_keys(blocks, n_blocks, emit)
-    score = lambda left, right: _score(left, right, folds, fold, kappa)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = _score(left, right, folds, fold, kappa)
+        release()
+        return rows
+
     return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, ddl(SCORES))
