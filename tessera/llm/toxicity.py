@@ -59,7 +59,12 @@ class Chain:
         x[:, -1] = np.log1p(sizes) / 10
         return x
 
-    def probabilities(self, texts) -> np.ndarray:
+    def probabilities(self, texts, at_once: int = 128) -> np.ndarray:
+        """at_once: texts whose words are held at the same time."""
+        parts = [self._probabilities(texts[i : i + at_once]) for i in range(0, len(texts), at_once)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.weights)))
+
+    def _probabilities(self, texts) -> np.ndarray:
         found = [text_features(t) for t in texts]
         x = self.features(found, [len(f) for f in found])
         wordless = x[:, -1] == 0
