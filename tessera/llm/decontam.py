@@ -62,7 +62,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containm
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).filter("item_id is not null").dropDuplicates()
     windows = _windows(bench, "item_id", "item_text", width).filter(F.coalesce(F.size("slots"), F.lit(0)) <= width - literals)
     windows = windows.groupBy("item_id", "hash").agg(F.min("at").alias("item_at"), F.min_by("slots", "at").alias("item_slots"))
-    windows = materialise(windows)
+    windows = materialise(windows.coalesce(16))  # small beside the documents
     sizes = windows.groupBy("item_id").agg(F.count("*").alias("wanted"))
     hint = F.broadcast if windows.count() <= BROADCAST_ROWS else (lambda df: df)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("doc_text"))
