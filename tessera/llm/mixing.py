@@ -115,8 +115,8 @@ def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     the id and the probability, so it is the same in every run and partitioning, and rows that repeat an id stay together.
 
     Null source or language is a value of its own, "". Null and empty texts have no tokens, so weight and probability 0 unless the whole
-    table has none. A null id counts as the id "". One pass counts tokens, one applies; the join is on the cells, broadcast by Spark
-    only where their known size allows. An empty table gives no rows.
+    table has none. A null id counts as the id "". One pass counts tokens, one applies; the join is on the cells, broadcast
+    up to DRIVER_CELLS of them. An empty table gives no rows.
     """
     text = text_of(text_col)
     keyed = docs.withColumns({
@@ -128,7 +128,7 @@ def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
         local = cells.orderBy(*DIMS).toPandas()
         local["w"] = rake(local, targets, rounds)
         local["p"] = calibrate(local["w"].to_numpy(), local["tokens"].to_numpy(float), budget)
-        raked = docs.sparkSession.createDataFrame(local[[*DIMS, "w", "p"]], "source string, lang string, topic string, w double, p double")
+        raked = F.broadcast(docs.sparkSession.createDataFrame(local[[*DIMS, "w", "p"]], "source string, lang string, topic string, w double, p double"))
     else:
         raked = _calibrate_by_spark(rake_by_spark(cells, targets, rounds), budget)
     raked = raked.select(*(F.col(d).alias(f"__mix_{d}") for d in DIMS), F.col("w").alias("__mix_weight"), F.round("p", 9).alias("__mix_probability"))

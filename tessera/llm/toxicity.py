@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import release, text_of
 
 #: At most so many labelled rows, chosen by a hash of the id, fit the chain.
 TRAIN_ROWS = 12_000
@@ -156,7 +156,9 @@ def _scorer(model: Chain):
 
     @F.pandas_udf(schema)
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.probabilities(texts.tolist()), columns=model.categories)
+        found = pd.DataFrame(model.probabilities(texts.tolist()), columns=model.categories)
+        release()
+        return found
 
     return score
 
