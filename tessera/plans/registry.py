@@ -1,2 +1,595 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Every operator as a query over the test tables, with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels, text
+from ..operators import emissions, segments, service, spans, tokens
+from . import detect, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.analyze(documents(spark, sf))
+
+
+def _rows(spark, ddl: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, ddl)
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    """The same literal rows for DuckDB."""
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "[" + ", ".join(map(lit, v)) + "]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
+
+
+# ---- sources and requests
+
+
+@query("SELECT doc_id, lang, source, n_chars, length(text) AS chars FROM documents")
+def src_documents(spark, sf):
+    return documents(spark, sf).select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("chars"))
+
+
+_REQUESTS = "SELECT doc_id AS request_id, CASE WHEN doc_id % 3 <> 0 THEN text END AS text, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN [text, lang] END AS texts, CASE WHEN doc_id % 10 = 1 THEN 'v9' WHEN doc_id % 2 = 1 THEN 'v1.1' END AS model FROM documents"
+
+
+def _requests(spark, sf):
+    k = F.col("doc_id")
+    return documents(spark, sf).select(
+        k.alias("request_id"), F.when(k % 3 != 0, F.col("text")).alias("text"), F.when((k % 3 == 0) & (k % 2 == 0), F.array("text", "lang")).alias("texts"),
+        F.when(k % 10 == 1, "v9").when(k % 2 == 1, "v1.1").alias("model"),
+    )
+
+
+@query(f"SELECT request_id, pos - 1 AS pos, l[pos] AS text FROM (SELECT request_id, l, unnest(generate_series(1, len(l))) AS pos FROM (SELECT request_id, coalesce(texts, [text]) AS l FROM ({_REQUESTS}) r) q) p")
+def src_texts(spark, sf):
+    return service.request_texts(_requests(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""SELECT request_id, CASE WHEN text IS NULL AND texts IS NULL THEN 400 WHEN len(texts) > 2 THEN 413 WHEN length(text) > 5000 OR length(texts[1]) > 5000 THEN 413
+  WHEN model NOT IN ('v1.1', 'v1.3') THEN 400 ELSE 200 END AS status FROM ({_REQUESTS}) r""")
+def validate_request(spark, sf):
+    return _requests(spark, sf).select("request_id", service.request_status(["v1.1", "v1.3"], 2, 5000).alias("status"))
+
+
+_LABELS = labels.label_rows()
+
+
+@query(f"SELECT * FROM {_values(_LABELS, 'head, head_idx, label_id, label, prefix, tier')}")
+def src_label_space(spark, sf):
+    return labels.label_dim(spark)
+
+
+@query(f"SELECT attr, class_id, class, head FROM {_values(labels.attribute_rows(), 'attr, class_id, class, head')}")
+def src_attributes(spark, sf):
+    return _rows(spark, "attr string, class_id int, class string, head string", labels.attribute_rows())
+
+
+_SPECS = [("a", "v1.3=/m/v1.3, v1.10=/m/v1.10,v1.6=hf://org/repo@r2"), ("b", "x=/m/x,,broken,y="), ("c", "v2=hf://org/two,v2=/m/two"), ("d", "plain=/m/plain,v0=/m/v0")]
+_SPEC_SQL = f"""specs AS (SELECT config, pos - 1 AS pos, trim(substr(chunk, 1, CASE WHEN strpos(chunk, '=') > 0 THEN strpos(chunk, '=') - 1 ELSE length(chunk) END)) AS name,
+  trim(substr(chunk, strpos(chunk, '=') + 1)) AS source, contains(chunk, '=') AS has FROM (SELECT config, unnest(generate_series(1, len(l))) AS pos, trim(l[unnest(generate_series(1, len(l)))]) AS chunk FROM
+  (SELECT config, string_split(raw, ',') AS l FROM {_values(_SPECS, 'config, raw')}) a) b WHERE chunk <> '')"""
+
+
+def _specs(spark):
+    return service.model_specs(_rows(spark, "config string, raw string", _SPECS)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_SPEC_SQL} SELECT config, pos, name, source, has AND name <> '' AND source <> '' AS valid FROM specs")
+def src_model_specs(spark, sf):
+    return _specs(spark)
+
+
+@query(f"WITH {_SPEC_SQL} SELECT config, name, count(*) AS n FROM specs GROUP BY ALL HAVING count(*) > 1")
+def dedup_models(spark, sf):
+    return _specs(spark).groupBy("config", "name").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query(f"""WITH {_SPEC_SQL} SELECT config, pos, CASE WHEN starts_with(source, 'hf://') THEN 'hub' ELSE 'path' END AS kind, CASE WHEN starts_with(source, 'hf://') THEN split_part(substr(source, 6), '@', 1) ELSE source END AS repo,
+  CASE WHEN starts_with(source, 'hf://') THEN coalesce(nullif(split_part(substr(source, 6), '@', 2), ''), 'main') END AS revision FROM specs""")
+def src_parse_source(spark, sf):
+    kind, repo, revision = service.parse_source(F.col("source"))
+    return _specs(spark).select("config", "pos", kind.alias("kind"), repo.alias("repo"), revision.alias("revision"))
+
+
+_KEYED = f"""{_SPEC_SQL}, keyed AS (SELECT *, CASE WHEN len(k) > 0 THEN list_transform(k, lambda x: CAST(x AS INT)) ELSE [-1] END AS key FROM (SELECT *, regexp_extract_all(name, '\\d+') AS k FROM specs) q)"""
+
+
+@query(f"WITH {_KEYED} SELECT config, pos, array_to_string(key, '.') AS version FROM keyed")
+def version_key(spark, sf):
+    return _specs(spark).select("config", "pos", F.array_join(service.version_key(F.col("name")), ".").alias("version"))
+
+
+@query(f"WITH {_KEYED} SELECT config, name, source FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY key DESC, pos) AS rn FROM keyed) q WHERE rn = 1")
+def newest_model(spark, sf):
+    return service.newest(_specs(spark)).select("config", "name", "source")
+
+
+@query(SQL["newest_model"].replace("SELECT config, name, source FROM", "SELECT config, name FROM"))
+def top1_version(spark, sf):
+    return service.newest(_specs(spark)).select("config", "name")
+
+
+_LAZY = [("a", "v1.6"), ("a", "v7"), ("c", "v2"), ("d", "v0"), ("d", "gone")]
+
+
+@query(f"WITH {_SPEC_SQL} SELECT l.config, l.name FROM {_values(_LAZY, 'config, name')} l WHERE NOT EXISTS (SELECT 1 FROM specs s WHERE s.config = l.config AND s.name = l.name)")
+def except_lazy(spark, sf):
+    return _rows(spark, "config string, name string", _LAZY).join(_specs(spark), ["config", "name"], "left_anti")
+
+
+_NAMES = [("labels-v2.0.yaml",), ("a/b.yaml",), ("..",), ("",), ("a\\b",), ("x..yaml",)]
+
+
+@query(f"SELECT name, NOT (contains(name, '/') OR contains(name, '\\') OR contains(name, '..') OR name = '') AS plain FROM {_values(_NAMES, 'name')}")
+def guard_labels_file(spark, sf):
+    return _rows(spark, "name string", _NAMES).select("name", service.plain_file_name(F.col("name")).alias("plain"))
+
+
+_MANIFEST = "SELECT doc_id AS file, CASE WHEN doc_id % 7 = 0 THEN 'bad' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 5 <> 0"
+
+
+@query(f"SELECT d.doc_id AS file, CASE WHEN m.sha IS NULL THEN 'skipped' WHEN m.sha = sha256(d.text) THEN 'verified' ELSE 'mismatch' END AS verdict FROM documents d LEFT JOIN ({_MANIFEST}) m ON m.file = d.doc_id")
+def verify_sha256(spark, sf):
+    files = documents(spark, sf).select(F.col("doc_id").alias("file"), F.sha2("text", 256).alias("digest"))
+    manifest = files.filter("file % 5 <> 0").select("file", F.when(F.col("file") % 7 == 0, "bad").otherwise(F.col("digest")).alias("sha"))
+    return files.join(manifest, "file", "left").select("file", F.when(F.col("sha").isNull(), "skipped").when(F.col("sha") == F.col("digest"), "verified").otherwise("mismatch").alias("verdict"))
+
+
+_MARKERS = [("o/r", "main", ["a.onnx", "b.json"], "o/r", "main", "a.onnx"), ("o/r", "r2", ["a.onnx"], "o/r", "main", "a.onnx"), ("o/r", "main", ["b.json"], "o/r", "main", "a.onnx"), ("o/x", "main", ["a.onnx"], "o/r", "main", "a.onnx")]
+_MARK = "repo, revision, files, want_repo, want_revision, want_file"
+
+
+@query(f"SELECT repo, revision, want_file, repo = want_repo AND revision = want_revision AND list_contains(files, want_file) AS hit FROM {_values(_MARKERS, _MARK)}")
+def marker_match(spark, sf):
+    m = _rows(spark, "repo string, revision string, files array<string>, want_repo string, want_revision string, want_file string", _MARKERS)
+    hit = (F.col("repo") == F.col("want_repo")) & (F.col("revision") == F.col("want_revision")) & F.array_contains("files", F.col("want_file"))
+    return m.select("repo", "revision", "want_file", hit.alias("hit"))
+
+
+# ---- precision and providers
+
+_FILES = [("quant/model-fp32.onnx", "Gather MatMul", "fp32"), ("quant/model-q8.onnx", "x DynamicQuantizeLinear", "int8 dynamic"), ("quant/model-q4.onnx", "MatMulNBits MatMulInteger", None), ("own.onnx", "QLinearMatMul", "q4 weights"), ("model-q8.onnx", "plain", "FLOAT32")]
+_FILE_SQL = f"""files AS (SELECT *, CASE WHEN claim = 'q4' THEN 'int4' WHEN claim <> '' THEN claim END AS claimed, CASE WHEN contains(content, 'MatMulNBits') THEN 'int4'
+  WHEN contains(content, 'DynamicQuantizeLinear') OR contains(content, 'MatMulInteger') OR contains(content, 'QLinearMatMul') THEN 'q8' ELSE 'fp32' END AS scanned,
+  CASE WHEN regexp_matches(lower(format), 'int4|q4') THEN 'int4' WHEN regexp_matches(lower(format), 'int8|q8') THEN 'q8' WHEN regexp_matches(lower(format), 'fp32|float32') THEN 'fp32' END AS declared
+  FROM (SELECT *, regexp_extract(path, 'model-(fp32|q8|q4)\\.onnx$', 1) AS claim FROM {_values(_FILES, 'path, content, format')}) q)"""
+
+
+def _files(spark):
+    f = _rows(spark, "path string, content string, format string", _FILES)
+    return f.withColumns({"claimed": service.claimed_precision(F.col("path")), "scanned": service.scanned_precision(F.col("content")), "declared": service.manifest_precision(F.col("format"))})
+
+
+for _name, _col in (("claimed_precision", "claimed"), ("scan_precision", "scanned"), ("manifest_precision", "declared")):
+    QUERIES[_name] = lambda spark, sf, c=_col: _files(spark).select("path", c)
+    SQL[_name] = f"WITH {_FILE_SQL} SELECT path, {_col} FROM files"
+
+
+@query(f"WITH {_FILE_SQL} SELECT path, scanned AS precision, coalesce(claimed <> scanned, false) AS mismatch FROM files")
+def resolve_precision(spark, sf):
+    return _files(spark).select("path", F.col("scanned").alias("precision"), F.coalesce(F.col("claimed") != F.col("scanned"), F.lit(False)).alias("mismatch"))
+
+
+_RANKED = "CASE {0} WHEN 'int4' THEN 0 WHEN 'q8' THEN 1 ELSE 2 END"
+_WORSE = f"CASE WHEN {_RANKED.format('declared')} <= {_RANKED.format('scanned')} THEN coalesce(declared, 'fp32') ELSE scanned END"
+
+
+@query(f"WITH {_FILE_SQL} SELECT path, {_WORSE} AS verdict FROM files")
+def more_conservative(spark, sf):
+    return _files(spark).select("path", service.more_conservative(F.col("declared"), F.col("scanned")).alias("verdict"))
+
+
+@query(f"WITH {_FILE_SQL} SELECT path, CASE scanned WHEN 'q8' THEN 'int8 weights: for evaluation, not production; most of the graph runs on the CPU' WHEN 'int4' THEN 'int4 weights: experimental, not for production' END AS warning FROM files")
+def precision_warning(spark, sf):
+    return _files(spark).select("path", service.precision_warning(F.col("scanned"), F.lit(True)).alias("warning"))
+
+
+_PROV = [("auto", ["CPUExecutionProvider"]), ("auto", ["CUDAExecutionProvider", "CPUExecutionProvider"]), ("cpu", ["CUDAExecutionProvider"]), ("cuda", ["CPUExecutionProvider"])]
+
+
+@query(f"SELECT setting, len(available) AS n, CASE WHEN setting = 'cpu' THEN 'CPUExecutionProvider' WHEN list_contains(available, 'CUDAExecutionProvider') THEN 'CUDAExecutionProvider,CPUExecutionProvider' WHEN setting = 'auto' THEN 'CPUExecutionProvider' END AS providers FROM {_values(_PROV, 'setting, available')}")
+def select_providers(spark, sf):
+    p = _rows(spark, "setting string, available array<string>", _PROV)
+    return p.select("setting", F.size("available").cast("long").alias("n"), service.providers(F.col("setting"), F.col("available")).alias("providers"))
+
+
+_PATHS = [("fp32", None), ("q8", None), ("int4", None), ("q8", "own.onnx")]
+
+
+@query(f"SELECT precision, coalesce(file, CASE precision WHEN 'fp32' THEN 'quant/model-fp32.onnx' WHEN 'q8' THEN 'quant/model-q8.onnx' WHEN 'int4' THEN 'quant/model-q4.onnx' END) AS path FROM {_values(_PATHS, 'precision, file')}")
+def onnx_relpath(spark, sf):
+    known = F.create_map(*map(F.lit, ("fp32", "quant/model-fp32.onnx", "q8", "quant/model-q8.onnx", "int4", "quant/model-q4.onnx")))
+    return _rows(spark, "precision string, file string", _PATHS).select("precision", F.coalesce("file", F.try_element_at(known, F.col("precision"))).alias("path"))
+
+
+_SETTINGS = [(0.1, 0.2, 0.3, "he", None, None), (None, 0.2, 0.3, None, "off", "he"), (None, None, 0.3, None, None, " HE "), (None, None, None, None, None, None)]
+_SET = "call_v, env_v, meta_v, call_p, env_p, meta_p"
+
+
+def _settings(spark):
+    return _rows(spark, "call_v double, env_v double, meta_v double, call_p string, env_p string, meta_p string", _SETTINGS)
+
+
+@query(f"SELECT CAST(coalesce(call_v, env_v, meta_v) AS DOUBLE) AS floor FROM {_values(_SETTINGS, _SET)}")
+def resolve_floor(spark, sf):
+    return _settings(spark).select(F.coalesce("call_v", "env_v", "meta_v").alias("floor"))
+
+
+@query(f"SELECT CAST(coalesce(call_v, meta_v, 0.7) AS DOUBLE) AS threshold FROM {_values(_SETTINGS, _SET)}")
+def resolve_threshold(spark, sf):
+    return _settings(spark).select(F.coalesce("call_v", "meta_v", F.lit(0.7)).alias("threshold"))
+
+
+@query(f"SELECT CASE WHEN v IN ('', 'off', 'none', 'no', '0', 'false') THEN NULL ELSE v END AS completion FROM (SELECT lower(trim(coalesce(call_p, env_p, meta_p))) AS v FROM {_values(_SETTINGS, _SET)}) q")
+def resolve_proclitic(spark, sf):
+    v = F.lower(F.trim(F.coalesce("call_p", "env_p", "meta_p")))
+    valid = F.when(v.isNull() | v.isin("", "off", "none", "no", "0", "false"), F.lit(None).cast("string")).when(v == "he", v).otherwise(F.raise_error(F.lit("unknown completion")).cast("string"))
+    return _settings(spark).select(valid.alias("completion"))
+
+
+# ---- text
+
+
+_DIRTY = "SELECT doc_id, substr(text, 1, CAST(doc_id % 50 AS INT)) || chr(8203 + CAST(doc_id % 5 AS INT)) || substr(text, CAST(doc_id % 50 AS INT) + 1) AS text FROM documents"
+
+
+def _dirty(spark, sf):
+    d = documents(spark, sf)
+    at = (F.col("doc_id") % 50).cast("int")
+    marks = F.element_at(F.array(*(F.lit(chr(8203 + i)) for i in range(5))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.select("doc_id", F.concat(F.substring("text", F.lit(1), at), marks, F.substring("text", at + 1, F.length("text"))).alias("text"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{text.INVISIBLE_CLASS}', ' ', 'g') AS text FROM ({_DIRTY}) q")
+def scrub_invisibles(spark, sf):
+    return _dirty(spark, sf).select("doc_id", text.scrub(F.col("text")).alias("text"))
+
+
+@query(f"WITH {oracle.TOKENS} SELECT doc_id, tok, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", word FROM tokens")
+def tokenize(spark, sf):
+    return tokens.word_tokens(tokens.scrubbed(documents(spark, sf))).select("doc_id", F.col("tok").cast("long").alias("tok"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word")
+
+
+@query(f"WITH {oracle.windows()} SELECT doc_id, window_no, min(tok) AS first_tok, max(tok) AS last_tok, count(*) AS n FROM windowed GROUP BY ALL")
+def sliding_windows(spark, sf):
+    w = tokens.in_windows(tokens.with_window_range(tokens.word_tokens(tokens.scrubbed(documents(spark, sf)))))
+    return w.groupBy("doc_id", F.col("window_no").cast("long").alias("window_no")).agg(F.min("tok").cast("long").alias("first_tok"), F.max("tok").cast("long").alias("last_tok"), F.count("*").alias("n"))
+
+
+_STATS = f"""SELECT doc_id, length(text) AS chars, n + 2 AS tokens, CASE WHEN n <= {tokens.WINDOW - 2} THEN 1 ELSE 1 + CAST(ceil((n - {tokens.WINDOW - 2}) / {float(tokens.step())}) AS BIGINT) END AS windows
+  FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[^{text.WS}]+')) AS n FROM scrubbed) q"""
+
+
+@query(f"WITH {oracle.SCRUBBED} {_STATS}")
+def stats_rollup(spark, sf):
+    n = F.regexp_count("text", F.lit(f"[^{text.WS}]+")).cast("long")
+    return tokens.scrubbed(documents(spark, sf)).select("doc_id", F.length("text").cast("long").alias("chars"), (n + 2).alias("tokens"), tokens.window_count(n).alias("windows"))
+
+
+for _stat in ("chars", "tokens", "windows"):
+    QUERIES[f"stat_{_stat}"] = lambda spark, sf, c=_stat: stats_rollup(spark, sf).select("doc_id", c)
+    SQL[f"stat_{_stat}"] = f"WITH {oracle.SCRUBBED} SELECT doc_id, {_stat} FROM ({_STATS}) s"
+
+
+@query("SELECT w AS window_size, CAST(greatest(32, w // 8) AS BIGINT) AS overlap FROM (SELECT unnest([64::BIGINT, 128, 512, 1024]) AS w) q")
+def window_params(spark, sf):
+    return _rows(spark, "window_size long, overlap long", [(w, tokens.overlap(w)) for w in (64, 128, 512, 1024)])
+
+
+_TRIM = f"regexp_replace(regexp_replace(raw, '^[{text.WS}]+', ''), '[{text.WS}]+$', '')"
+
+
+@query(f"WITH {oracle.SCRUBBED} SELECT doc_id, {_TRIM} AS surface, 5 + length(raw) - length(regexp_replace(raw, '^[{text.WS}]+', '')) AS start FROM (SELECT doc_id, substr(text, 6, 20) AS raw FROM scrubbed) q WHERE {_TRIM} <> ''")
+def span_trim(spark, sf):
+    surface, start, _ = text.trimmed_span(F.col("text"), F.lit(5), F.lit(25))
+    return tokens.scrubbed(documents(spark, sf)).select("doc_id", surface.alias("surface"), start.cast("long").alias("start")).filter("surface <> ''")
+
+
+@query(f"WITH {oracle.SCRUBBED} SELECT doc_id, len(regexp_extract_all(text, '{segments.BOUNDARY.replace(chr(39), chr(39) * 2)}')) + 1 AS stretches FROM scrubbed")
+def sentence_split(spark, sf):
+    return tokens.scrubbed(documents(spark, sf)).select("doc_id", segments.sentence_count(F.col("text")).alias("stretches"))
+
+
+@query(f"WITH {oracle.SCRUBBED} SELECT doc_id FROM scrubbed WHERE length(text) > 1200")
+def auto_long(spark, sf):
+    return tokens.scrubbed(documents(spark, sf)).filter(F.length("text") > segments.AUTO).select("doc_id")
+
+
+def _pieces(spark, sf):
+    return segments.piece_rows(tokens.scrubbed(documents(spark, sf)))
+
+
+QUERIES["piece_cut"] = QUERIES["piece_glue"] = QUERIES["piece_trim"] = lambda spark, sf: _pieces(spark, sf)
+
+
+@query()
+def join_piece_owner(spark, sf):
+    """Words of each piece, shifted to the document's offsets."""
+    p = _pieces(spark, sf).withColumn("key", F.col("doc_id") * 100_000 + F.col("piece_no"))
+    words = tokens.word_tokens(p.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+    owner = p.select("key", F.col("doc_id").alias("doc_id"), "piece_no", F.col("start").alias("piece_start"))
+    return words.join(owner, "key").select("doc_id", "piece_no", (F.col("start") + F.col("piece_start")).alias("start"), (F.col("end") + F.col("piece_start")).alias("end"), "word")
+
+
+QUERIES["shift_offsets"] = join_piece_owner
+
+
+# ---- scores and labels
+
+
+def _decoded(spark, sf, floor=None):
+    return emissions.decode(emissions.emit_hash(tokens.with_window_range(tokens.word_tokens(tokens.scrubbed(documents(spark, sf))))), floor)
+
+
+_DECODED = "SELECT doc_id, CAST(tok AS BIGINT) AS tok, head, CAST(label_id AS INT) AS label_id, round(confidence, 6) AS confidence FROM decoded"
+
+
+def _decoded_columns(df):
+    return df.select("doc_id", F.col("tok").cast("long").alias("tok"), "head", "label_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {oracle.labelled()} {_DECODED}")
+def argmax_decode(spark, sf):
+    return _decoded_columns(_decoded(spark, sf))
+
+
+@query(f"WITH {oracle.labelled(0.6)} {_DECODED} WHERE rescued")
+def recall_floor(spark, sf):
+    return _decoded_columns(_decoded(spark, sf, 0.6).filter("rescued"))
+
+
+@query("SELECT event_id, round(exp(a / 2 - m) / t, 6) AS p0, round(exp(b / 2 - m) / t, 6) AS p1 FROM (SELECT *, exp(a / 2 - m) + exp(b / 2 - m) AS t FROM (SELECT event_id, CAST(event_id % 7 AS DOUBLE) AS a, CAST(user_id % 5 AS DOUBLE) AS b, greatest(event_id % 7, user_id % 5) / 2.0 AS m FROM events) q) r")
+def softmax_temp(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.array((F.col("event_id") % 7).cast("double"), (F.col("user_id") % 5).cast("double")).alias("l"))
+    p = emissions.softmax(F.col("l"), 2.0)
+    return e.select("event_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"))
+
+
+@query(f"WITH {oracle.labelled()} SELECT doc_id, CAST(tok AS BIGINT) AS tok, CAST(window_no AS BIGINT) AS window_no, head, prefix, tier FROM labelled WHERE prefix <> 'O'")
+def label_parse(spark, sf):
+    return detect.labelled(documents(spark, sf)).filter("prefix <> 'O'").select("doc_id", F.col("tok").cast("long").alias("tok"), F.col("window_no").cast("long").alias("window_no"), "head", "prefix", "tier")
+
+
+@query(f"WITH {oracle.labelled()}, d(head, head_idx, label_id, label, prefix, tier) AS (SELECT * FROM {_values(_LABELS, 'head, head_idx, label_id, label, prefix, tier')}) SELECT l.head, d.label, count(*) AS n FROM labelled l JOIN d ON d.head = l.head AND d.label_id = l.label_id GROUP BY ALL")
+def join_label_dim(spark, sf):
+    dim = F.broadcast(labels.label_dim(spark).select("head", "label_id", "label"))  # 28 rows
+    return detect.labelled(documents(spark, sf)).join(dim, ["head", "label_id"]).groupBy("head", "label").agg(F.count("*").alias("n"))
+
+
+def _islands(spark, sf):
+    return spans.islands(detect.labelled(documents(spark, sf)))
+
+
+_ISLAND = "doc_id, CAST(window_no AS BIGINT) AS window_no, head, CAST(tok AS BIGINT) AS tok, CAST(span_no AS BIGINT) AS span_no"
+
+
+@query(f"WITH {oracle.spans()} SELECT {_ISLAND} FROM numbered WHERE prefix <> 'O'")
+def span_island(spark, sf):
+    return _islands(spark, sf).select("doc_id", F.col("window_no").cast("long").alias("window_no"), "head", F.col("tok").cast("long").alias("tok"), "span_no")
+
+
+@query(f"WITH {oracle.spans()} SELECT {_ISLAND}, opens FROM numbered WHERE prefix <> 'O'")
+def prev_label(spark, sf):
+    return _islands(spark, sf).select("doc_id", F.col("window_no").cast("long").alias("window_no"), "head", F.col("tok").cast("long").alias("tok"), "span_no", "opens")
+
+
+# ---- spans
+
+_SPAN = 'doc_id, CAST(window_no AS BIGINT) AS window_no, head, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end"'
+
+
+def _span_columns(df, *more):
+    return df.select("doc_id", F.col("window_no").cast("long").alias("window_no"), "head", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *more)
+
+
+def _register_span(name: str, sql: str, frame, *more, sql_more: str = ""):
+    QUERIES[name] = lambda spark, sf: _span_columns(frame(documents(spark, sf)), *more)
+    SQL[name] = f"WITH {sql} SELECT {_SPAN}{sql_more} FROM {'entities' if 'entities AS' in sql else 'spans'}"
+
+
+_conf = F.round(F.col("confidence") + 1e-9, 5).alias("confidence")
+_register_span("iob2_spans", oracle.spans(), detect.raw_spans, "surface", "tier", sql_more=", surface, tier")
+_register_span("join_token_span", oracle.spans(), detect.raw_spans, F.col("first_tok").cast("long").alias("first_tok"), F.col("last_tok").cast("long").alias("last_tok"), sql_more=", CAST(first_tok AS BIGINT) AS first_tok, CAST(last_tok AS BIGINT) AS last_tok")
+_register_span("span_conf_mean", oracle.spans(), detect.raw_spans, _conf, sql_more=", round(confidence + 1e-9, 5) AS confidence")
+_register_span("span_evidence", oracle.spans(0.6), lambda d: detect.raw_spans(d, floor=0.6), "evidence", sql_more=", evidence")
+_register_span("attr_pool", oracle.spans(), detect.raw_spans, "origin", "gender", "name_part", sql_more=", origin, gender, name_part")
+_register_span("nms_windows", oracle.suppressed(0.6), lambda d: spans.suppress(spans.confident(detect.raw_spans(d), 0.6)))
+_register_span("overlap_same_type", oracle.suppressed(None), lambda d: spans.suppress(detect.raw_spans(d)))
+_register_span("threshold_gate", oracle.spans(), lambda d: spans.confident(detect.raw_spans(d)))
+SQL["threshold_gate"] += " WHERE confidence >= CAST(0.7 AS DOUBLE)"
+_register_span("auto_min_conf", oracle.spans(), lambda d: spans.confident(detect.raw_spans(d), segments.SURE))
+SQL["auto_min_conf"] += " WHERE confidence >= CAST(0.95 AS DOUBLE)"
+
+
+@query(oracle.analyzed())
+def analyze(spark, sf):
+    return flagship(spark, sf)
+
+
+@query(oracle.analyzed(threshold=0.6, floor=0.6))
+def analyze_floor(spark, sf):
+    return detect.analyze(documents(spark, sf), threshold=0.6, floor=0.6)
+
+
+@query(f"WITH {oracle.merged(threshold=0.5)} SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", surface, gender, evidence FROM merged WHERE head = 'PERSON' AND name_part = 'full'")
+def merge_persons(spark, sf):
+    found = spans.merge_names(spans.suppress(spans.confident(detect.raw_spans(documents(spark, sf)), 0.5)))
+    return found.filter("head = 'PERSON' AND name_part = 'full'").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "surface", "gender", "evidence")
+
+
+for _name, _cols in (("api_type", "type"), ("origin_region", "region"), ("city_size", "size"), ("round_conf", "confidence"), ("sort_entities", "end_index")):
+    QUERIES[_name] = lambda spark, sf, c=_cols: flagship(spark, sf).select("doc_id", "start_index", "text", c)
+    SQL[_name] = f"SELECT doc_id, start_index, text, {_cols} FROM ({oracle.analyzed()}) a"
+
+
+@query(f"SELECT doc_id, type, lang, count(*) AS n, max(confidence) AS top FROM ({oracle.analyzed()}) a JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id) GROUP BY ALL")
+def doc_entities(spark, sf):
+    return flagship(spark, sf).join(documents(spark, sf).select("doc_id", "lang"), "doc_id").groupBy("doc_id", "type", "lang").agg(F.count("*").alias("n"), F.max("confidence").alias("top"))
+
+
+@query(f"SELECT a.doc_id, a.start_index FROM ({oracle.analyzed()}) a JOIN documents d USING (doc_id) WHERE substr(d.text, CAST(a.start_index AS INT) + 1, CAST(a.end_index - a.start_index AS INT)) <> a.text")
+def sliceback_check(spark, sf):
+    found = flagship(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("start_index", "end_index", "text")).alias("all"))
+    bad = F.filter("all", lambda x: F.substring(F.col("body"), (x["start_index"] + 1).cast("int"), (x["end_index"] - x["start_index"]).cast("int")) != x["text"])
+    return found.join(tokens.scrubbed(documents(spark, sf)).withColumnRenamed("text", "body"), "doc_id").select("doc_id", F.explode(bad).alias("x")).select("doc_id", "x.start_index")
+
+
+@query()
+def sink_envelope(spark, sf):
+    e = flagship(spark, sf)
+    item = F.struct("start_index", "end_index", "text", "type", "tier", "confidence", "region", "evidence", "size")
+    return e.groupBy("doc_id").agg(F.to_json(F.struct(F.lit("stimulus").alias("model"), F.array_sort(F.collect_list(item)).alias("entities"))).alias("envelope"))
+
+
+@query()
+def union_auto(spark, sf):
+    """Whole-text entities and sure entities of the sentence pass of long texts."""
+    docs = documents(spark, sf)
+    cols = ("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "head", "confidence")
+    base = detect.whole(docs).select(*cols)
+    p = segments.piece_rows(tokens.scrubbed(docs.filter(F.length("text") > segments.AUTO))).withColumn("key", F.col("doc_id") * 100_000 + F.col("piece_no"))
+    found = spans.confident(detect.raw_spans(p.select(F.col("key").alias("doc_id"), "text")), segments.SURE)
+    own = p.select("key", F.col("doc_id").alias("owner"), F.col("start").alias("offset"))
+    extra = found.join(own, found["doc_id"] == own["key"]).select(F.col("owner").alias("doc_id"), (found["start"] + F.col("offset")).cast("long").alias("start"), (found["end"] + F.col("offset")).cast("long").alias("end"), "head", "confidence")
+    return segments.unite(base, extra)
+
+
+QUERIES["anti_overlap_any"] = union_auto
+
+# ---- golden comparison: two model variants' entities of the same texts
+
+
+def _golden(spark, sf):
+    key = ["doc_id", "start_index", "end_index", "type"]
+    want = detect.analyze(documents(spark, sf)).select(*key, F.col("confidence").alias("want"))
+    got = detect.analyze(documents(spark, sf), threshold=0.75).select(*key, (F.col("confidence") + 0.01).alias("got"))
+    return want, got, key
+
+
+_GOLD = f"w AS ({oracle.analyzed()}), g AS ({oracle.analyzed(threshold=0.75)})"
+_GOLD_KEY = "doc_id, start_index, end_index, type"
+
+
+@query(f"WITH {_GOLD} SELECT CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'unexpected' ELSE 'drift' END AS kind, count(*) AS n FROM w FULL OUTER JOIN g USING ({_GOLD_KEY}) GROUP BY ALL")
+def join_golden(spark, sf):
+    want, got, key = _golden(spark, sf)
+    kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unexpected").otherwise("drift")
+    return want.join(got, key, "full").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GOLD} SELECT {_GOLD_KEY} FROM w EXCEPT ALL SELECT {_GOLD_KEY} FROM g")
+def except_golden(spark, sf):
+    want, got, key = _golden(spark, sf)
+    return want.select(*key).exceptAll(got.select(*key))
+
+
+@query(f"WITH {_GOLD} SELECT doc_id, type, start_index FROM w EXCEPT SELECT doc_id, type, start_index FROM g")
+def except_guard(spark, sf):
+    want, got, _ = _golden(spark, sf)
+    return want.select("doc_id", "type", "start_index").subtract(got.select("doc_id", "type", "start_index"))
+
+
+@query(f"WITH {_GOLD} SELECT {_GOLD_KEY} FROM (SELECT {_GOLD_KEY} FROM w EXCEPT SELECT {_GOLD_KEY} FROM g) q ORDER BY doc_id, start_index, end_index, type LIMIT 20")
+def limit_failures(spark, sf):
+    return except_golden(spark, sf).distinct().orderBy("doc_id", "start_index", "end_index", "type").limit(20)
+
+
+@query(f"WITH {_GOLD} SELECT count(*) FILTER (WHERE g.doc_id IS NULL) AS missing, count(*) FILTER (WHERE w.doc_id IS NULL) AS unexpected, CASE WHEN count(*) FILTER (WHERE g.doc_id IS NULL OR w.doc_id IS NULL) > 0 THEN 'failed' ELSE 'passed' END AS verdict FROM w FULL OUTER JOIN g USING ({_GOLD_KEY})")
+def golden_selftest(spark, sf):
+    want, got, key = _golden(spark, sf)
+    both = want.join(got, key, "full").agg(F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("unexpected"))
+    return both.withColumn("verdict", F.when(F.col("missing") + F.col("unexpected") > 0, "failed").otherwise("passed"))
+
+
+# ---- metrics
+
+
+def _log(spark, sf):
+    return service.request_log(table(spark, sf, "events"))
+
+
+_LOG = "SELECT event_id, ts, user_id AS model, value AS ms, event_type = 'error' AS failed FROM events"
+
+
+@query(f"SELECT model, count(*) AS requests, count(*) FILTER (WHERE failed) AS failures FROM ({_LOG}) l GROUP BY model")
+def metrics_totals(spark, sf):
+    return _log(spark, sf).groupBy("model").agg(F.count("*").alias("requests"), F.count_if("failed").alias("failures"))
+
+
+_Q = (0.5, 0.95, 0.99)
+
+
+@query("SELECT model, " + ", ".join(f"round(l[CAST(round_even(CAST({q} AS DOUBLE) * (len(l) - 1), 0) AS INT) + 1], 4) AS p{round(q * 100)}" for q in _Q) + f" FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
+def nearest_rank_serve(spark, sf):
+    g = _log(spark, sf).groupBy("model").agg(F.collect_list("ms").alias("l"))
+    return g.select("model", *(F.round(service.nearest_rank(F.col("l"), q, True), 4).alias(f"p{round(q * 100)}") for q in _Q))
+
+
+@query("SELECT model, " + ", ".join(f"round(l[least(len(l) - 1, CAST(floor(CAST({q} AS DOUBLE) * len(l)) AS INT)) + 1], 4) AS p{round(q * 100)}" for q in _Q) + f", round(l[1], 4) AS low, round(l[-1], 4) AS high FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
+def nearest_rank_bench(spark, sf):
+    g = _log(spark, sf).groupBy("model").agg(F.collect_list("ms").alias("l"), F.min("ms").alias("a"), F.max("ms").alias("z"))
+    return g.select("model", *(F.round(service.nearest_rank(F.col("l"), q, False), 4).alias(f"p{round(q * 100)}") for q in _Q), F.round("a", 4).alias("low"), F.round("z", 4).alias("high"))
+
+
+@query(f"SELECT model, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000000.0, 6) AS per_s FROM ({_LOG}) l GROUP BY model HAVING count(*) > 1")
+def throughput(spark, sf):
+    g = _log(spark, sf).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).groupBy("model").agg(F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("span"))
+    return g.filter("n > 1").select("model", F.round(F.col("n") / F.col("span") * 1e6, 6).alias("per_s"))
+
+
+@query(f"SELECT event_id, count(*) OVER w AS n_recent FROM ({_LOG}) l WINDOW w AS (PARTITION BY model ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)")
+def rolling_300s(spark, sf):
+    return service.rolling(_log(spark, sf)).select("event_id", "n_recent")
+
+
+@query(f"SELECT model, count(*) AS requests, epoch_us(min(ts)) AS loaded, epoch_us(max(ts)) AS last_used FROM (SELECT *, sum(CASE WHEN ts - was >= INTERVAL 3600 SECONDS THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY model ORDER BY ts, event_id) AS was FROM ({_LOG}) l) q) r GROUP BY model, k")
+def idle_ttl(spark, sf):
+    s = service.idle_periods(_log(spark, sf), 3600)
+    return s.select("model", "requests", *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("loaded", "last_used")))
+
+
+_MODELS = [(m, m % 3 == 0) for m in range(0, 40, 2)]
+
+
+@query(f"SELECT c.model, c.on_demand, coalesce(n, 0) AS requests, CASE WHEN n IS NOT NULL THEN 'loaded' WHEN c.on_demand THEN 'unloaded' ELSE 'failed' END AS state FROM {_values(_MODELS, 'model, on_demand')} c LEFT JOIN (SELECT user_id AS model, count(*) AS n FROM events GROUP BY 1) l ON l.model = c.model")
+def join_registry(spark, sf):
+    used = _log(spark, sf).groupBy("model").agg(F.count("*").alias("n"))
+    c = _rows(spark, "model int, on_demand boolean", _MODELS)
+    state = F.when(F.col("n").isNotNull(), "loaded").when(F.col("on_demand"), "unloaded").otherwise("failed")
+    return c.join(used, "model", "left").select(F.col("model"), "on_demand", F.coalesce("n", F.lit(0)).alias("requests"), state.alias("state"))
