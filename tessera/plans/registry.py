@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import emissions, segments, service, spans, tokens
+from ..operators import emissions, merges, segments, service, spans, tokens
+from ..streaming import analyze as streams
 from . import detect, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -415,7 +416,7 @@ _SPAN = 'doc_id, CAST(window_no AS BIGINT) AS window_no, head, CAST(start AS BIG
 
 
 def _span_columns(df, *more):
-    return df.select("doc_id", F.col("window_no").cast("long").alias("window_no"), "head", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *more)
+    return df.select("doc_id", F.col("window_no").cast("long").alias("window_no"), "head", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *map(F.expr, more))
 
 
 def _register_span(name: str, sql: str, frame, *more, sql_more: str = ""):
@@ -423,10 +424,9 @@ def _register_span(name: str, sql: str, frame, *more, sql_more: str = ""):
     SQL[name] = f"WITH {sql} SELECT {_SPAN}{sql_more} FROM {'entities' if 'entities AS' in sql else 'spans'}"
 
 
-_conf = F.round(F.col("confidence") + 1e-9, 5).alias("confidence")
 _register_span("iob2_spans", oracle.spans(), detect.raw_spans, "surface", "tier", sql_more=", surface, tier")
-_register_span("join_token_span", oracle.spans(), detect.raw_spans, F.col("first_tok").cast("long").alias("first_tok"), F.col("last_tok").cast("long").alias("last_tok"), sql_more=", CAST(first_tok AS BIGINT) AS first_tok, CAST(last_tok AS BIGINT) AS last_tok")
-_register_span("span_conf_mean", oracle.spans(), detect.raw_spans, _conf, sql_more=", round(confidence + 1e-9, 5) AS confidence")
+_register_span("join_token_span", oracle.spans(), detect.raw_spans, "CAST(first_tok AS BIGINT) AS first_tok", "CAST(last_tok AS BIGINT) AS last_tok", sql_more=", CAST(first_tok AS BIGINT) AS first_tok, CAST(last_tok AS BIGINT) AS last_tok")
+_register_span("span_conf_mean", oracle.spans(), detect.raw_spans, "round(confidence + 1e-9D, 5) AS confidence", sql_more=", round(confidence + 1e-9, 5) AS confidence")
 _register_span("span_evidence", oracle.spans(0.6), lambda d: detect.raw_spans(d, floor=0.6), "evidence", sql_more=", evidence")
 _register_span("attr_pool", oracle.spans(), detect.raw_spans, "origin", "gender", "name_part", sql_more=", origin, gender, name_part")
 _register_span("nms_windows", oracle.suppressed(0.6), lambda d: spans.suppress(spans.confident(detect.raw_spans(d), 0.6)))
@@ -593,3 +593,62 @@ def join_registry(spark, sf):
     c = _rows(spark, "model int, on_demand boolean", _MODELS)
     state = F.when(F.col("n").isNotNull(), "loaded").when(F.col("on_demand"), "unloaded").otherwise("failed")
     return c.join(used, "model", "left").select(F.col("model"), "on_demand", F.coalesce("n", F.lit(0)).alias("requests"), state.alias("state"))
+
+
+# ---- Hebrew and in-word repairs: the test documents have no such text, so two texts are made from each id
+
+_HEBREW = "גר בבית־כהן ליד צ׳רלי ובירושלים"
+
+
+def _repair_input(spark, sf):
+    """A Hebrew text for each document, with entities over parts of it."""
+    at = [(0, 2, "CITY"), (8, 11, "PERSON"), (17, 18, "PERSON"), (18, 22, "PERSON"), (25, 31, "CITY")]
+    e = F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(h).alias("head"), (F.lit(0.5) + (F.col("doc_id") % 50) / 100.0).alias("confidence"), F.lit("argmax").alias("evidence")) for a, b, h in at))
+    return documents(spark, sf).select("doc_id", F.lit(_HEBREW).alias("text"), e.alias("entities"))
+
+
+def _repaired(spark, sf, repair):
+    return merges.repaired(_repair_input(spark, sf), repair).select("doc_id", F.inline("entities"))
+
+
+@query()
+def merge_geresh(spark, sf):
+    return _repaired(spark, sf, merges.merge_geresh)
+
+
+@query()
+def merge_inword(spark, sf):
+    return _repaired(spark, sf, lambda t, e: merges.merge_inword(t, e, 2))
+
+
+@query()
+def proclitic_he(spark, sf):
+    return _repaired(spark, sf, merges.complete_proclitics)
+
+
+@query(f"WITH {oracle.windows()} SELECT w.doc_id, CAST(w.window_no AS BIGINT) AS window_no, min(w.start) AS first_start, max(w.\"end\") AS last_end, d.lang FROM windowed w JOIN documents d USING (doc_id) GROUP BY ALL")
+def join_window_text(spark, sf):
+    w = tokens.in_windows(tokens.with_window_range(tokens.word_tokens(tokens.scrubbed(documents(spark, sf)))))
+    w = w.groupBy("doc_id", F.col("window_no").cast("long").alias("window_no")).agg(F.min("start").cast("long").alias("first_start"), F.max("end").cast("long").alias("last_end"))
+    return w.join(documents(spark, sf).select("doc_id", "lang"), "doc_id")
+
+
+SQL["join_window_text"] = SQL["join_window_text"].replace("min(w.start)", "CAST(min(w.start) AS BIGINT)").replace('max(w."end")', 'CAST(max(w."end") AS BIGINT)')
+
+
+@query(f"WITH {oracle.labelled()} SELECT head, prefix, count(*) AS n FROM labelled WHERE start <> \"end\" GROUP BY ALL")
+def skip_special(spark, sf):
+    return detect.labelled(documents(spark, sf)).filter("start <> end").groupBy("head", "prefix").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {oracle.TOKENS} SELECT doc_id, count(*) AS n, round(exp(8.0) / (exp(8.0) + 6), 6) AS confidence FROM tokens GROUP BY doc_id")
+def emit_constant(spark, sf):
+    """One PERSON entity for each word, by the constant stimulus, whose confidence has a closed form."""
+    found = detect.raw_spans(documents(spark, sf), window=10**6, emit=emissions.emit_constant)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+
+
+@query()
+def stream_metrics(spark, sf):
+    """The latency windows of the stream, run over the whole log as one batch."""
+    return streams.latency_stream(_log(spark, sf)).select("model", F.col("w.start").alias("start"), "requests", "failures", F.round("ms", 4).alias("ms"))
