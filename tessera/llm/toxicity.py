@@ -146,9 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     return fit_chain(rows, [*CATEGORIES, "toxic"], best)
 
 
-@F.pandas_udf("array<string>")
-def _found(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted(text_features(t)))
+def _found(column: str) -> Column:
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(text_features(t)))
+
+    return found(column)
 
 
 def _scorer(model: Chain):
