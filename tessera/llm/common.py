@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes in one block of documents; one Python task holds one block at a time.
 BLOCK_BYTES = 8_000_000
+#: Up to so many blocks, each exchanges a row with every range of keys; beyond, only with the ranges that it has keys in.
+FULL_EXCHANGE = 2048
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -120,6 +122,16 @@ def release() -> None:
         pass
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or 8 where one needs them; the first byte tells."""
+    dtype = np.uint32 if not len(counts) or counts.max() <= 0xFFFFFFFF else np.uint64
+    return bytes([np.dtype(dtype).itemsize]) + planes(counts.astype(dtype))
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return unplanes(b[1:], {4: np.uint32, 8: np.uint64}[b[0]])
+
+
 KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64())])
 _TYPES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
@@ -129,58 +141,78 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_TYPES[f.type]}" for f in schema)
 
 
-def key_rows(block: int, kinds: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.Table:
-    """One row for each bucket and kind: the block's sorted distinct keys with their counts; a bucket is a range of keys."""
+def key_rows(block: int, kinds: list[tuple[np.ndarray, np.ndarray]], bits: int, empty: bool = True) -> pa.Table:
+    """One row for each bucket and kind: the block's sorted distinct keys with their counts; a bucket is a range of keys.
+
+    empty: also for buckets where the block has no key.
+    """
     rows = []
     for kind, (keys, counts) in enumerate(kinds):
-        edges = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange(2**bits + 1, dtype=np.uint64))
-        for b in range(2**bits):
-            s = slice(edges[b], edges[b + 1])
-            rows.append((block, b, kind, pack_sorted(keys[s]), planes(counts[s].astype(np.uint32))))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), KEYS)], schema=KEYS)
+        of = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+        buckets = np.arange(2**bits, dtype=np.uint64) if empty else np.unique(of)
+        starts, ends = (np.searchsorted(of, buckets, side) for side in ("left", "right"))
+        for b, i, j in zip(buckets.tolist(), starts, ends):
+            rows.append((block, b, kind, pack_sorted(keys[i:j]), pack_counts(counts[i:j])))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(KEYS), KEYS)], schema=KEYS)
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """All blocks' rows of one bucket and kind: sum the counts by key, and answer each block for its own keys."""
     keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-    counts = [unplanes(x, np.uint32) for x in table["counts"].to_pylist()]
+    counts = [unpack_counts(x) for x in table["counts"].to_pylist()]
     all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(at, weights=np.concatenate(counts), minlength=len(all_keys)).astype(np.int64)
     stats = (int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()))
     ends = np.cumsum([len(k) for k in keys])
-    small = np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)
-    out = [planes(small[at[e - len(k) : e]]) for k, e in zip(keys, ends)]
+    out = [pack_counts(sums[at[e - len(k) : e]]) for k, e in zip(keys, ends)]
     n = len(keys)
     return pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), table["kind"].combine_chunks(), pa.array(out, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in stats)], schema=ANSWERS)
 
 
 def bucket_bits(blocks: int) -> int:
-    return min(12, max(0, math.ceil(math.log2(blocks)) + 1))
+    """Twice as many buckets as blocks, so that a bucket's keys take no more room however large the input is."""
+    return min(30, max(0, math.ceil(math.log2(blocks)) + 1))
 
 
-def count_keys(blocks: DataFrame, n_blocks: int, emit) -> DataFrame:
+def count_keys(blocks: DataFrame, n_blocks: int, emit, full: int = FULL_EXCHANGE) -> tuple[DataFrame, dict | None]:
     """emit(texts, doc_ids) gives the kinds of (sorted distinct keys, counts) of a block. Returns, for each block, the counts of its keys
     over all blocks: (block, bucket, kind, counts), with the kind's sums in that bucket: total, distinct, once.
 
     Keys travel once, packed by block and range; a key's holders are merged in the task of its range, so that a frequent key costs
     one entry a block, however many rows have it.
+
+    Up to full blocks, each block has a row in each bucket and adds the sums up by itself; the second value is None. Beyond, where that
+    would be a square of blocks, it has rows only where it has keys, and the second value holds the sums over all buckets:
+    kind -> (total, distinct, once).
     """
-    bits = bucket_bits(n_blocks)
+    bits, every = bucket_bits(n_blocks), n_blocks <= full
 
     def keys(table: pa.Table) -> pa.Table:
-        rows = key_rows(table["block"][0].as_py(), emit(table["text"].to_pylist(), table["doc_id"].to_pylist()), bits)
+        rows = key_rows(table["block"][0].as_py(), emit(table["text"].to_pylist(), table["doc_id"].to_pylist()), bits, every)
         release()
         return rows
 
-    return blocks.groupBy("block").applyInArrow(keys, ddl(KEYS)).groupBy("bucket", "kind").applyInArrow(_merge, ddl(ANSWERS))
+    answers = blocks.groupBy("block").applyInArrow(keys, ddl(KEYS)).groupBy("bucket", "kind").applyInArrow(_merge, ddl(ANSWERS))
+    if every:
+        return answers, None
+    answers = materialise(answers)
+    stats = ("total", "distinct", "once")
+    ranges = answers.groupBy("kind", "bucket").agg(*(F.first(c).alias(c) for c in stats))
+    sums = ranges.groupBy("kind").agg(*(F.sum(c).alias(c) for c in stats)).collect()  # a row for each kind
+    return answers, {r["kind"]: tuple(r[c] for c in stats) for r in sums}
 
 
-def answers_by_kind(table: pa.Table) -> dict[int, tuple[np.ndarray, int, int, int]]:
-    """kind -> (counts in the order of the block's keys, total, distinct, once over all buckets)."""
-    found: dict[int, list] = {}
+def answers_by_kind(table: pa.Table, kinds: int, sums: dict | None = None) -> list[tuple[np.ndarray, int, int, int]]:
+    """For each kind: counts in the order of the block's keys, and total, distinct, once over all buckets (sums, where given)."""
+    found: list[list] = [[] for _ in range(kinds)]
     for r in sorted(table.select(["kind", "bucket", "counts", "total", "distinct", "once"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"])):
-        found.setdefault(r["kind"], []).append(r)
-    return {k: (np.concatenate([unplanes(r["counts"], np.uint32) for r in rs]), *(sum(r[c] for r in rs) for c in ("total", "distinct", "once"))) for k, rs in found.items()}
+        found[r["kind"]].append(r)
+    out = []
+    for kind, rs in enumerate(found):
+        counts = np.concatenate([unpack_counts(r["counts"]) for r in rs]) if rs else np.empty(0, np.uint32)
+        stats = tuple(sum(r[c] for r in rs) for c in ("total", "distinct", "once")) if sums is None else sums.get(kind, (0, 0, 0))
+        out.append((counts, *stats))
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, unplanes, word_hashes
+from .common import FULL_EXCHANGE, answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, unplanes, word_hashes
 
 #: Prefixes grow by up to so many tokens beyond the plain prefix filter's.
 MOST_EXTRA = 16
@@ -67,7 +67,7 @@ def _sketch(table: pa.Table, answers: pa.Table, width: int, percent: int) -> pa.
     freq = np.empty(0, np.uint32)
     if len(hashes):
         _, back = np.unique(hashes, return_inverse=True)
-        freq = answers_by_kind(answers)[0][0][back]
+        freq = answers_by_kind(answers, 1)[0][0][back]
     mixed = mix(hashes + np.uint64(0x51ED2701))
     ends = np.concatenate([[np.uint64(0)], np.cumsum(hashes, dtype=np.uint64)]), np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
     sig_a, sig_b = ((e[at[1:]] - e[at[:-1]]).view(np.int64) for e in ends)
@@ -147,7 +147,44 @@ def _verify(table: pa.Table, percent: int, bits_of=unplanes) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids[rows[label[tied]]], pa.int64()), pa.array(ids[rows[tied]], pa.int64())], schema=LINKS)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _links(members: DataFrame, payload: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Edges (a, b) that connect all linked members of each candidate group (leader, doc_id); payload: the documents' sets.
+
+    A group is cut by hash into chunks. First each chunk is compared in itself and with the leader. What that connects to the leader is
+    one component already, so pairs within it are not looked at again: only the strays, the members outside it, then meet each other
+    and the rest, chunk by chunk. A large group of near copies thus costs its size, not the square.
+    """
+
+    def compare(tiles: DataFrame, *tile: str) -> DataFrame:
+        return materialise(tiles.join(payload, "doc_id").groupBy("leader", *tile).applyInArrow(lambda t: _verify(t, percent), ddl(LINKS)))
+
+    def part(count, start=F.lit(0)):
+        return (start + F.pmod(F.xxhash64("doc_id", "leader"), count)).cast("int")
+
+    def parts(count):
+        return F.ceil(count / F.lit(chunk)).cast("int")
+
+    sizes = members.groupBy("leader").agg(parts(F.count("*")).alias("k"))
+    placed = members.join(sizes, "leader").select("leader", "doc_id", "k", part(F.col("k")).alias("i"))
+    to_all = sizes.filter("k > 1").select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    near = compare(placed.select("leader", "doc_id", "i").union(to_all).distinct(), "i")
+
+    wide = materialise(placed.filter("k > 1").select("leader", "doc_id"))
+    if wide.isEmpty():
+        return near
+    of = components(near)
+    own = wide.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("own"))
+    head = wide.select("leader").distinct().join(of.withColumnRenamed("node", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("head"))
+    split = materialise(own.join(head, "leader").select("leader", "doc_id", (F.col("own") != F.col("head")).alias("stray")))
+    counts = split.groupBy("leader").agg(parts(F.count_if("stray")).alias("s"), parts(F.count_if(~F.col("stray"))).alias("r"))
+    split = split.join(counts.filter("s > 0"), "leader").withColumn("mine", F.when(F.col("stray"), part(F.col("s"))).otherwise(part(F.col("r"), F.col("s"))))
+    # chunks of strays come first; a stray meets every chunk, another member those of strays
+    met = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("s") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("s") - 1))
+    tiles = split.withColumn("other", F.explode(met)).select("leader", "doc_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return near.union(compare(tiles, "i", "j"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK, full: int = FULL_EXCHANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), exemplar.
 
     Documents link when 100 * |A & B| >= percent * |A | B| over their distinct shingles of width words (A-Z lower-cased, words are runs
@@ -159,7 +196,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
        dropped, and with them most documents.
     3. Equal sets fall together (exemplar: the smallest id of the same set); one of each goes on.
     4. A prefix token's holders form a candidate group named by their smallest id; groups of the same name are one. A group of more
-       than chunk documents is cut by hash into chunks, and each pair of chunks is a task of its own.
+       than chunk documents is cut by hash into chunks, which meet the leader first; then only the documents that this leaves outside
+       the leader's component meet the other chunks, each pair of chunks in a task of its own.
     5. A task counts shared prefix tokens, keeps pairs with at least the smaller of the two required counts, verifies those on whole
        sets, and returns one edge for each document tied to an earlier one: no pair of a group of copies is listed.
     6. Components of the edges.
@@ -172,7 +210,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
         keys, counts = np.unique(shingle_hashes(texts, width)[1], return_counts=True)
         return [(keys, counts)]
 
-    frequencies = count_keys(blocks, n_blocks, emit)
+    frequencies, _ = count_keys(blocks, n_blocks, emit, full)
+
     def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = _sketch(left, right, width, percent)
         release()
@@ -193,13 +232,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
     held = materialise(payload.select("doc_id", "prefix").mapInArrow(tokens, "token long, doc_id long"))
     groups = held.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("holders")).filter("holders > 1").select("token", "leader")
     members = materialise(held.join(groups, "token").select("leader", "doc_id").distinct())
-    chunks = members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("k"))
-    placed = members.join(chunks, "leader").withColumn("mine", F.pmod(F.xxhash64("doc_id", "leader"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    placed = placed.withColumn("other", other).select("leader", "doc_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    tiles = placed.join(payload.select("doc_id", "n_shingles", "extra", "prefix", "shared"), "doc_id")
-    links = tiles.groupBy("leader", "i", "j").applyInArrow(lambda t: _verify(t, percent), ddl(LINKS))
-    linked = components(links)
+    linked = components(_links(members, payload.select("doc_id", "n_shingles", "extra", "prefix", "shared"), percent, chunk))
 
     classes = classes.join(linked.withColumnRenamed("node", "exemplar"), "exemplar", "left").select(*same, "exemplar", F.coalesce("component", "exemplar").alias("component"))
     out = sets.select("doc_id", *same).join(classes, same, "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import answers_by_kind, chain, count_keys, ddl, in_blocks, release, word_hashes
+from .common import FULL_EXCHANGE, answers_by_kind, chain, count_keys, ddl, in_blocks, release, word_hashes
 
 END, START = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -79,10 +79,10 @@ class Automaton:
         return out
 
 
-def _score(docs: pa.Table, answers: pa.Table, folds: int, fold: int, kappa: float) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, folds: int, fold: int, kappa: float, sums: dict | None) -> pa.Table:
     doc_ids = docs["doc_id"].to_pylist()
     words, ids, at, start, _, pairs, pair_ids, hashes = _block(docs["text"].to_pylist(), doc_ids, folds, fold)
-    found = answers_by_kind(answers)
+    found = answers_by_kind(answers, 3, sums)
     counts, total, distinct, once = found[0]
     counts = counts.astype(np.int64)
     starts = found[2][0].astype(np.int64)
@@ -100,7 +100,7 @@ def _score(docs: pa.Table, answers: pa.Table, folds: int, fold: int, kappa: floa
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCORES)], schema=SCORES)
 
 
-def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, kappa: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, kappa: float = 100.0, full: int = FULL_EXCHANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the whole text).
 
     Tokens are words (A-Z lower-cased, runs without ASCII white space) and one end. Training counts come from all documents whose
@@ -121,10 +121,10 @@ def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, kappa: floa
         begun = np.array([train[at[:-1]].sum()], np.int64)
         return [(words[keep], counts[keep]), (hashes[order], pair_counts[order]), (np.array([START], np.uint64), begun)]
 
-    counts = count_keys(blocks, n_blocks, emit)
+    counts, sums = count_keys(blocks, n_blocks, emit, full)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _score(left, right, folds, fold, kappa)
+        rows = _score(left, right, folds, fold, kappa, sums)
         release()
         return rows
 

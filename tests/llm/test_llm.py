@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, edit_tokens, exact_dedup, jaccard_join, mixing, ngram_lm, quality, queries, sql, surrogates, token_shards, toxicity
-from tessera.llm.common import components
+from tessera.llm.common import components, pack_counts, unpack_counts
 from tessera.llm.tokenizer import END_OF_TEXT, encoder, read_vocabulary
 
 DDL = "doc_id long, text string, lang string, source string, tokens string, gone_id long"
@@ -115,14 +115,15 @@ def test_surrogates_keep_type_distinctness_and_coreference(spark):
     assert attempts and len(names) == 3000
 
 
-def test_lm_scores_by_brute_force(docs):
+@pytest.mark.parametrize("full", [2048, 0])
+def test_lm_scores_by_brute_force(docs, full):
     texts = {r.doc_id: r.text.encode().lower().split() + [None] for r in docs.collect()}
     train = [v for i, v in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     uni, bi = Counter(w for v in train for w in v), Counter(p for v in train for p in zip(["<s>", *v], v))
     n, v1, kappa = sum(uni.values()), len(uni), 100.0
     unseen = min(max(sum(c == 1 for c in uni.values()), 1) / n, 0.5)
     p1 = lambda w: (1 - unseen) * uni[w] / n if uni[w] else unseen
-    for r in ngram_lm.automaton_scores(docs).collect():
+    for r in ngram_lm.automaton_scores(docs, full=full).collect():
         v = texts[r.doc_id]
         want = sum(math.log10((bi[h, w] + kappa * p1(w)) / ((len(train) if h == "<s>" else uni[h]) + kappa)) for h, w in zip(["<s>", *v], v))
         base = sum(math.log10((uni[w] + 1) / (n + v1 + 1)) for w in v)
@@ -150,8 +151,8 @@ def test_feistel_is_a_permutation(n):
     assert sorted(f.slot(np.arange(n))) == list(range(n)) and (f.index(f.slot(np.arange(n))) == np.arange(n)).all()
 
 
-@pytest.mark.parametrize("chunk", [2, 600])
-def test_jaccard_by_brute_force(spark, docs, chunk):
+@pytest.mark.parametrize("chunk, full", [(2, 2048), (7, 0), (600, 2048)])
+def test_jaccard_by_brute_force(spark, docs, chunk, full):
     base = "one two three four five six seven eight nine ten".split() * 1 + [f"w{i}" for i in range(60)]
     near = [(10_000 + i, " ".join(base[:j] + [f"edit{i}"] + base[j + 1 :])) for i, j in enumerate(range(0, 70, 3))]
     d = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
@@ -172,10 +173,15 @@ def test_jaccard_by_brute_force(spark, docs, chunk):
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for r in jaccard_join.jaccard_components(d, 4, 85, chunk=chunk).collect():
+    for r in jaccard_join.jaccard_components(d, 4, 85, chunk=chunk, full=full).collect():
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
 
 
+def test_large_counts_travel_whole():
+    for a in ([], [1, 2], [1, 2**40]):
+        assert unpack_counts(pack_counts(np.array(a, np.int64))).tolist() == a
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
