@@ -40,3 +40,18 @@ def trimmed_span(text: Column, start: Column, end: Column) -> tuple[Column, Colu
     surface = trim_right(left)
     begin = start + F.length(raw) - F.length(left)
     return surface, begin, begin + F.length(surface)
+
+
+def synthetic(sentences: list[str], lengths: list[int], least: Column, most: Column) -> Column:
+    """sentences over and over, joined by spaces, until there are at least least tokens; then without the last ones while there are more
+    than most, though never without all. lengths: the tokens of each sentence."""
+    m, total = len(sentences), sum(lengths)
+    sums = F.array(*(F.lit(sum(lengths[: i + 1])) for i in range(m)))
+    fewer = lambda c, strict: F.size(F.filter(sums, lambda x: x < c if strict else x <= c))
+    rounds = F.floor((least - 1) / F.lit(total))
+    need = F.when(least <= 0, 0).otherwise(rounds * m + fewer(least - rounds * total, True) + 1)
+    room = F.floor(most / F.lit(total))
+    fit = F.greatest(F.lit(1), room * m + fewer(most - room * total, False))
+    k = F.least(need, F.coalesce(fit, need)).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.element_at(F.array(*map(F.lit, sentences)), F.pmod(i - 1, F.lit(m)) + 1))
+    return F.when(k > 0, F.array_join(parts, " ")).otherwise("")

@@ -74,6 +74,11 @@ def piece_rows(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece_no long, start long, end long, text string")
 
 
+def piece_key() -> Column:
+    """One id for each piece of each document: for up to 2^24 pieces a document (400 MB of text) and ids below 2^39."""
+    return F.shiftleft("doc_id", 24) + F.col("piece_no")
+
+
 def unite(base: DataFrame, extra: DataFrame) -> DataFrame:
     """base entities, and those of extra that are sure and overlap none accepted so far, whatever its type.
 

@@ -34,6 +34,10 @@ def parse_source(source: Column) -> tuple[Column, Column, Column]:
     return F.when(hub, "hub").otherwise("path"), F.when(hub, F.split_part(rest, F.lit("@"), F.lit(1))).otherwise(source), F.when(hub, F.coalesce(F.nullif(F.split_part(rest, F.lit("@"), F.lit(2)), F.lit("")), F.lit("main")))
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def version_key(name: Column) -> Column:
     found = F.transform(F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(-1)))
@@ -88,17 +92,49 @@ def request_log(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", F.col("user_id").alias("model"), F.col("value").alias("ms"), (F.col("event_type") == "error").alias("failed"))
 
 
-def nearest_rank(values: Column, q: float, serve: bool) -> Column:
-    """The sorted list's item at round(q * (n - 1)), half to even (serve), or at min(n - 1, floor(q * n))."""
-    n = F.size(values)
-    i = F.bround(F.lit(q) * (n - 1), 0) if serve else F.least(n - 1, F.floor(F.lit(q) * n))
-    return F.element_at(F.array_sort(values), i.cast("int") + 1)
-
-
-def rolling(log: DataFrame, seconds: int = 300) -> DataFrame:
-    """Per model and request: requests and mean latency over the last seconds, both ends included."""
-    w = Window.partitionBy("model").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumns({"n_recent": F.count("*").over(w), "ms_recent": F.round(F.avg("ms").over(w), 3)})
+def nearest_ranks(log: DataFrame, quantiles: tuple[float, ...], serve: bool, buckets: int = 4096) -> DataFrame:
+    """(model, n, low, high, p<quantile>...): for each quantile the sorted list's item at round(q * (n - 1)), half to even (serve), or
+    at min(n - 1, floor(q * n)). Exact, and no task holds a model's list, as one model may have most rows.
+
+    Equal values are counted first. A histogram on a logarithmic scale tells which bucket holds a rank, and only the values of that
+    bucket are ranked. Null durations don't count; a model without any has nulls.
+    """
+    counts = log.groupBy("model", "ms").agg(F.count("ms").alias("c"))
+    n = F.sum("c")
+    models = counts.groupBy("model").agg(n.alias("n"), F.min("ms").alias("low"), F.max("ms").alias("high"))
+    scale = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    lo, hi = scale(F.col("low")), scale(F.col("high"))
+    bucket = F.when(hi > lo, F.least(F.floor((scale(F.col("ms")) - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    placed = counts.filter("c > 0").join(models.select(F.col("model").alias("m"), "low", "high"), F.col("model").eqNullSafe(F.col("m"))).select("model", "ms", "c", bucket.alias("bucket"))
+
+    def at(q: float) -> Column:
+        last = F.col("n") - 1
+        return (F.bround(F.lit(q) * last, 0) if serve else F.least(last, F.floor(F.lit(q) * F.col("n")))).cast("long")
+
+    wanted = models.filter("n > 0").select(F.col("model").alias("m"), F.posexplode(F.array(*map(at, quantiles))).alias("k", "rank"))
+    filled = placed.groupBy("model", "bucket").agg(n.alias("c"))
+    filled = filled.withColumn("before", F.sum("c").over(Window.partitionBy("model").orderBy("bucket")) - F.col("c"))
+    hit = filled.join(wanted, F.col("model").eqNullSafe(F.col("m"))).filter("rank >= before AND rank < before + c").select("m", F.col("bucket").alias("b"), "k", (F.col("rank") - F.col("before")).alias("rest"))
+    ranked = placed.join(hit, F.col("model").eqNullSafe(F.col("m")) & (F.col("bucket") == F.col("b")))
+    ranked = ranked.withColumn("upto", F.sum("c").over(Window.partitionBy("model", "k").orderBy("ms"))).filter("rest < upto AND rest >= upto - c")
+    names = [f"p{round(q * 100)}" for q in quantiles]
+    found = ranked.groupBy(F.col("model").alias("m")).agg(*(F.max(F.when(F.col("k") == k, F.col("ms"))).alias(name) for k, name in enumerate(names)))
+    return models.join(found, F.col("model").eqNullSafe(F.col("m")), "left").select("model", "n", "low", "high", *names)
+
+
+def rolling(log: DataFrame, seconds: int = 300, chunk: int = 3600) -> DataFrame:
+    """Per model and request: requests and mean latency over the last seconds, both ends included.
+
+    A model's log is cut into chunks of time, so that no task sorts all of one model; the last seconds of a chunk are copied to the next.
+    """
+    chunk = max(chunk, seconds) * 1_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    own, late = F.floor(t / chunk), F.pmod(t, F.lit(chunk)) >= chunk - seconds * 1_000_000
+    copies = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = log.withColumn("__t", t).select("*", F.posexplode(copies).alias("__copy", "__chunk"))
+    w = Window.partitionBy("model", "__chunk").orderBy("__t").rangeBetween(-seconds * 1_000_000, 0)
+    counted = rows.withColumns({"n_recent": F.count("*").over(w), "ms_recent": F.round(F.avg("ms").over(w), 3)})
+    return counted.filter("__copy = 0").drop("__t", "__copy", "__chunk")
 
 
 def idle_periods(log: DataFrame, ttl_seconds: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..operators import emissions, merges, segments, service, spans, tokens
+from ..sources import files
 from ..streaming import analyze as streams
 from . import detect, oracle
 
@@ -342,7 +343,7 @@ QUERIES["piece_cut"] = QUERIES["piece_glue"] = QUERIES["piece_trim"] = lambda sp
 @query()
 def join_piece_owner(spark, sf):
     """Words of each piece, shifted to the document's offsets."""
-    p = _pieces(spark, sf).withColumn("key", F.col("doc_id") * 100_000 + F.col("piece_no"))
+    p = _pieces(spark, sf).withColumn("key", segments.piece_key())
     words = tokens.word_tokens(p.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
     owner = p.select("key", F.col("doc_id").alias("doc_id"), "piece_no", F.col("start").alias("piece_start"))
     return words.join(owner, "key").select("doc_id", "piece_no", (F.col("start") + F.col("piece_start")).alias("start"), (F.col("end") + F.col("piece_start")).alias("end"), "word")
@@ -483,7 +484,7 @@ def union_auto(spark, sf):
     docs = documents(spark, sf)
     cols = ("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "head", "confidence")
     base = detect.whole(docs).select(*cols)
-    p = segments.piece_rows(tokens.scrubbed(docs.filter(F.length("text") > segments.AUTO))).withColumn("key", F.col("doc_id") * 100_000 + F.col("piece_no"))
+    p = segments.piece_rows(tokens.scrubbed(docs.filter(F.length("text") > segments.AUTO))).withColumn("key", segments.piece_key())
     found = spans.confident(detect.raw_spans(p.select(F.col("key").alias("doc_id"), "text")), segments.SURE)
     own = p.select("key", F.col("doc_id").alias("owner"), F.col("start").alias("offset"))
     extra = found.join(own, found["doc_id"] == own["key"]).select(F.col("owner").alias("doc_id"), (found["start"] + F.col("offset")).cast("long").alias("start"), (found["end"] + F.col("offset")).cast("long").alias("end"), "head", "confidence")
@@ -557,14 +558,14 @@ _Q = (0.5, 0.95, 0.99)
 
 @query("SELECT model, " + ", ".join(f"round(l[CAST(round_even(CAST({q} AS DOUBLE) * (len(l) - 1), 0) AS INT) + 1], 4) AS p{round(q * 100)}" for q in _Q) + f" FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
 def nearest_rank_serve(spark, sf):
-    g = _log(spark, sf).groupBy("model").agg(F.collect_list("ms").alias("l"))
-    return g.select("model", *(F.round(service.nearest_rank(F.col("l"), q, True), 4).alias(f"p{round(q * 100)}") for q in _Q))
+    r = service.nearest_ranks(_log(spark, sf), _Q, True)
+    return r.select("model", *(F.round(f"p{round(q * 100)}", 4).alias(f"p{round(q * 100)}") for q in _Q))
 
 
 @query("SELECT model, " + ", ".join(f"round(l[least(len(l) - 1, CAST(floor(CAST({q} AS DOUBLE) * len(l)) AS INT)) + 1], 4) AS p{round(q * 100)}" for q in _Q) + f", round(l[1], 4) AS low, round(l[-1], 4) AS high FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
 def nearest_rank_bench(spark, sf):
-    g = _log(spark, sf).groupBy("model").agg(F.collect_list("ms").alias("l"), F.min("ms").alias("a"), F.max("ms").alias("z"))
-    return g.select("model", *(F.round(service.nearest_rank(F.col("l"), q, False), 4).alias(f"p{round(q * 100)}") for q in _Q), F.round("a", 4).alias("low"), F.round("z", 4).alias("high"))
+    r = service.nearest_ranks(_log(spark, sf), _Q, False)
+    return r.select("model", *(F.round(f"p{round(q * 100)}", 4).alias(f"p{round(q * 100)}") for q in _Q), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query(f"SELECT model, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000000.0, 6) AS per_s FROM ({_LOG}) l GROUP BY model HAVING count(*) > 1")
@@ -652,3 +653,85 @@ def emit_constant(spark, sf):
 def stream_metrics(spark, sf):
     """The latency windows of the stream, run over the whole log as one batch."""
     return streams.latency_stream(_log(spark, sf)).select("model", F.col("w.start").alias("start"), "requests", "failures", F.round("ms", 4).alias("ms"))
+
+
+# ---- files, streams and benchmark helpers
+
+_ENTRIES = [("model-fp32.onnx", "FLOAT32", "a1"), ("model-q8.onnx", "int8 dynamic", "b2"), ("gone.onnx", "q4 weights", "c3")]
+
+
+@query(f"SELECT f.path, m.format, m.sha256 FROM (SELECT *, regexp_extract(path, '[^/]+$') AS file FROM {_values([f[:1] for f in _FILES], 'path')}) f LEFT JOIN {_values(_ENTRIES, 'file, format, sha256')} m ON m.file = f.file")
+def join_manifest(spark, sf):
+    found = _files(spark).select("path", service.base_name(F.col("path")).alias("file"))
+    return found.join(_rows(spark, "file string, format string, sha256 string", _ENTRIES), "file", "left").select("path", "format", "sha256")
+
+
+@query("SELECT * FROM (VALUES ('PERSON', 0, 256, 32, 'own.yaml', CAST(1.5 AS DOUBLE)), ('CITY', 1, 256, 32, 'own.yaml', 1.0), ('ORG', 2, 256, 32, 'own.yaml', 1.0)) v(head, head_idx, \"window\", stride, labels_file, temperature)")
+def src_bundle_config(spark, sf):
+    folder = files.scratch(spark)
+    files.put(spark, f"{folder}/config.json", '{"model_type": "bert", "spans": {"heads": ["PERSON", "CITY", "ORG"], "max_length": 256, "labels_file": "own.yaml"}}')
+    files.put(spark, f"{folder}/calibration.json", '{"PERSON": 1.5, "CITY": 0}')
+    return files.bundle_config(spark, folder, "spans")
+
+
+_GOLDEN_JSON = '[{{"text": "Ada in Ulm", "entities": [{{"span": [0, 3], "text": "Ada", "type": "{0}", "tier": "common", "confidence": 0.9}}, {{"span": [7, 10], "text": "Ulm", "type": "CITY", "tier": null, "confidence": 0.8}}]}}]'
+
+
+@query("SELECT b.bundle, 'Ada in Ulm' AS case_text, e.* FROM (VALUES ('own', 'OWN'), ('two', 'PACKAGED'), ('other', 'PACKAGED')) b(bundle, first), LATERAL (SELECT 0 AS start, 3 AS \"end\", 'Ada' AS text, b.first AS type, 'common' AS tier, 0.9::DOUBLE AS confidence UNION ALL SELECT 7, 10, 'Ulm', 'CITY', NULL, 0.8) e")
+def src_golden(spark, sf):
+    """Bundles with a file of their own, with a packaged one of their name, of their repository's name, and with none."""
+    folder, found = files.scratch(spark), None
+    files.put(spark, f"{folder}/own/golden-predictions.json", _GOLDEN_JSON.format("OWN"))
+    files.put(spark, f"{folder}/packaged/two.json", _GOLDEN_JSON.format("PACKAGED"))
+    for bundle, repo in (("own", "org/two"), ("two", None), ("other", "org/two"), ("tw", "org/two-b")):
+        path = files.golden_path(spark, f"{folder}/{bundle}", f"{folder}/packaged", repo)
+        if path:
+            rows = files.golden(spark, path).select(F.lit(bundle).alias("bundle"), "*")
+            found = rows if found is None else found.union(rows)
+    return found
+
+
+@query(f"SELECT model, count(*) AS n, 'first' AS part FROM ({_LOG}) l GROUP BY model UNION ALL SELECT model, count(*) AS n, 'second' FROM ({_LOG}) l WHERE failed GROUP BY model")
+def sink_jsonl(spark, sf):
+    """Two appends to one folder of JSON lines, read again."""
+    folder, log = files.scratch(spark), _log(spark, sf)
+    for part, rows in (("first", log), ("second", log.filter("failed"))):
+        files.append_records(rows.groupBy("model").agg(F.count("*").alias("n")).withColumn("part", F.lit(part)), folder)
+    return spark.read.schema("model int, n long, part string").json(folder)
+
+
+@query(oracle.analyzed())
+def stream_analyze(spark, sf):
+    """The flagship query as a stream over the table's files, each micro-batch written under its number."""
+    folder, docs = files.scratch(spark), documents(spark, sf)
+    files.make_folder(spark, f"{folder}/out")
+    source = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]")  # as a pattern, it may be one file or a folder
+    streams.analyze_stream(source, lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"), f"{folder}/checkpoint", available=True).awaitTermination()
+    return spark.read.schema(detect.analyze(docs).schema).parquet(f"{folder}/out").drop("batch")
+
+
+@query(f"WITH {oracle.SCRUBBED} SELECT doc_id, b AS batch_no, least(16, windows - 16 * b) AS windows FROM (SELECT doc_id, windows, unnest(range(0, (windows + 15) // 16)) AS b FROM ({_STATS}) s) q")
+def window_batches(spark, sf):
+    """The model calls of each document: at most 16 windows each."""
+    b = stats_rollup(spark, sf).select("doc_id", "windows", F.explode(F.sequence(F.lit(0), F.ceil(F.col("windows") / 16) - 1)).alias("batch_no"))
+    return b.select("doc_id", F.col("batch_no").cast("long").alias("batch_no"), F.least(F.lit(16), F.col("windows") - 16 * F.col("batch_no")).cast("long").alias("windows"))
+
+
+@query(f"SELECT model, max(ms) AS peak FROM ({_LOG}) l GROUP BY model")
+def peak_rss(spark, sf):
+    """The highest sample of each series."""
+    return _log(spark, sf).groupBy("model").agg(F.max("ms").alias("peak"))
+
+
+_SENTENCES = ["The old train left.", "Nobody saw it go!", "Why did it leave so early in the day?"]
+_WORDS = [len(x.split()) for x in _SENTENCES]
+_SUM = f"coalesce(list_sum(list_transform(range(0, {{0}}), lambda i: {_WORDS}[i % {len(_WORDS)} + 1])), 0)"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(range(0, k2), lambda i: {_SENTENCES}[i % {len(_SENTENCES)} + 1]), ' ') AS text FROM (
+  SELECT doc_id, CASE WHEN k = 0 THEN 0 ELSE list_max(list_filter(range(1, k + 1), lambda j: j = 1 OR {_SUM.format('j')} <= most)) END AS k2 FROM (
+  SELECT doc_id, least + doc_id % 3 * 4 AS most, list_min(list_filter(range(0, 200), lambda j: {_SUM.format('j')} >= least)) AS k FROM (SELECT doc_id, doc_id % 60 AS least FROM documents) a) b) c""")
+def synth_text(spark, sf):
+    """Texts of a wanted number of words, made from given sentences."""
+    least = F.col("doc_id") % 60
+    return documents(spark, sf).select("doc_id", text.synthetic(_SENTENCES, _WORDS, least, least + F.col("doc_id") % 3 * 4).alias("text"))

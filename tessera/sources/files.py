@@ -1,7 +1,10 @@
-"""JSON sources and sinks: golden cases, manifests, install markers, benchmark records."""
+"""JSON sources and sinks: bundle configurations, golden cases, manifests, install markers, benchmark records."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,55 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the file system that the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def put(spark: SparkSession, path: str, content: str) -> None:
+    """Write one small file."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+
+
+def bundle_config(spark: SparkSession, path: str, block: str) -> DataFrame:
+    """(head, head_idx, window, stride, labels_file, temperature) of a model bundle's config.json and, where present, calibration.json.
+
+    block: the key in config.json that holds the heads; a bundle without it is an error. A temperature of 0 counts as 1, as does none.
+    """
+    text = spark.read.option("pathGlobFilter", "c*.json").text(path, wholetext=True).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+    both = text.groupBy().agg(F.max(F.when(F.col("file") == "config.json", F.get_json_object("value", f"$.{block}"))).alias("c"), F.max(F.when(F.col("file") == "calibration.json", F.col("value"))).alias("t"))
+    c = F.from_json(F.coalesce("c", F.raise_error(F.lit(f"config.json has no block {block}")).cast("string")), "heads array<string>, max_length int, labels_file string")
+    rows = both.select(c.alias("c"), F.from_json("t", "map<string,double>").alias("t")).withColumn("window", F.coalesce(F.nullif("c.max_length", F.lit(0)), F.lit(512)))
+    rows = rows.select(F.posexplode("c.heads").alias("head_idx", "head"), "window", "c.labels_file", "t")
+    temperature = F.coalesce(F.nullif(F.try_element_at("t", "head"), F.lit(0.0)), F.lit(1.0))
+    return rows.select("head", "head_idx", "window", F.greatest(F.lit(32), F.floor(F.col("window") / 8).cast("int")).alias("stride"), F.coalesce("labels_file", F.lit("labels-v2.0.yaml")).alias("labels_file"), temperature.alias("temperature"))
+
+
+def golden_path(spark: SparkSession, bundle: str, packaged: str, repo: str | None = None) -> str | None:
+    """The bundle's own golden file, else the packaged one whose stem is exactly the folder's name or the repository's last part."""
+    stems = [bundle.rstrip("/").rsplit("/", 1)[-1], *([repo.rsplit("/", 1)[-1]] if repo else [])]
+    for candidate in (f"{bundle}/golden-predictions.json", *(f"{packaged}/{s}.json" for s in stems if s)):
+        fs, p = _path(spark, candidate)
+        if fs.exists(p):
+            return candidate
+    return None

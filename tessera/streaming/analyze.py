@@ -11,9 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans import detect
 
 
-def analyze_stream(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
-    """requests: streaming (doc_id, text). Each micro-batch goes through the batch pipeline and to sink(entities, batch_id)."""
-    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: sink(detect.analyze(df, **options), i)).start()
+def analyze_stream(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available: bool = False, **options) -> StreamingQuery:
+    """requests: streaming (doc_id, text). Each micro-batch goes through the batch pipeline and to sink(entities, batch_id).
+
+    available: stop once all that is there has been worked off. A batch may come again after a failure, so sinks go by its id.
+    """
+    writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: sink(detect.analyze(df, **options), i))
+    return (writer.trigger(availableNow=True) if available else writer).start()
 
 
 def latency_stream(log: DataFrame, late: str = "10 minutes", width: str = "300 seconds", slide: str = "60 seconds") -> DataFrame:

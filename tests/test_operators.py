@@ -1,10 +1,14 @@
 """Literal cases of the rules that are easy to get wrong."""
 
+import json
 import random
+import re
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tessera.operators import emissions, merges, segments, spans
+from tessera.operators import emissions, merges, segments, service, spans, tokens
+from tessera.plans import registry
 from tessera.streaming import analyze as streams
 
 
@@ -87,3 +91,56 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_softmax_zero_temperature_counts_as_one(spark):
     r = spark.range(1).select(emissions.softmax(F.array(F.lit(8.0), *[F.lit(0.0)] * 6), 0.0).alias("p")).first()
     assert abs(r.p[0] - 0.9979913) < 1e-6
+
+
+def test_envelope_holds_each_entity_in_order(spark, sf):
+    want = {}
+    for r in registry.flagship(spark, sf).collect():
+        want.setdefault(r.doc_id, []).append((r.start_index, r.end_index, r.text, r.type, r.confidence))
+    got = {r.doc_id: json.loads(r.envelope)["entities"] for r in registry.queries()["sink_envelope"](spark, sf).collect()}
+    assert {k: [(e["start_index"], e["end_index"], e["text"], e["type"], e["confidence"]) for e in v] for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_piece_words_stand_where_they_say(spark, sf):
+    texts = {r.doc_id: r.text for r in tokens.scrubbed(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    got = {}
+    for r in registry.queries()["join_piece_owner"](spark, sf).collect():
+        assert texts[r.doc_id][r.start : r.end] == r.word
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    for i, t in texts.items():
+        want = [(s + m.start(), s + m.end()) for s, e in segments.pieces(t) for m in re.finditer(r"\S+", t[s:e])]
+        assert sorted(got.get(i, [])) == sorted(want)
+
+
+def test_union_by_brute_force(spark):
+    rnd = random.Random(5)
+    row = lambda i: (i % 40, (s := rnd.randrange(60)), s + rnd.randrange(1, 9), rnd.choice(["ORG", "CITY"]), rnd.choice([0.5, 0.95, 0.99]))
+    ddl = "doc_id long, start long, end long, head string, confidence double"
+    base, extra = [row(i) for i in range(120)], [row(i) for i in range(400)]
+    want = list(base)
+    for x in sorted(extra, key=lambda x: (x[0], x[1], x[2], x[3], x[4])):
+        if x[4] >= 0.95 and not any(y[0] == x[0] and y[1] < x[2] and y[2] > x[1] for y in want):
+            want.append(x)
+    got = segments.unite(spark.createDataFrame(base, ddl), spark.createDataFrame(extra, ddl)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_ranks_of_awkward_logs(spark):
+    rows = [(1, v) for v in [-3.0, 0.0, 0.0, 1e9, 2.5, 2.5, 2.5, -1e-9]] + [(2, None), (3, 7.0), (None, 1.0), (None, 2.0)] + [(4, float(i % 97)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "model int, ms double")
+    for serve in (True, False):
+        got = {r.model: r for r in service.nearest_ranks(df, (0.0, 0.5, 0.95, 1.0), serve, buckets=8).collect()}
+        assert len(got) == 5 and (got[2].n, got[2].p50) == (0, None)
+        for m in (1, 3, None, 4):
+            v = sorted(x for k, x in rows if k == m)
+            for q in (0.0, 0.5, 0.95, 1.0):
+                i = round(q * (len(v) - 1)) if serve else min(len(v) - 1, int(q * len(v)))
+                assert got[m][f"p{round(q * 100)}"] == v[i]
+
+
+def test_rolling_across_chunks(spark):
+    start = datetime(2024, 1, 1, 0, 50)
+    at = [0, 299, 300, 301, 600, 600, 700, 899, 1000, 5000]
+    df = spark.createDataFrame([(i, start + timedelta(seconds=s), 1, 1.0) for i, s in enumerate(at)], "event_id long, ts timestamp, model int, ms double")
+    got = {r.event_id: r.n_recent for r in service.rolling(df, 300, 300).collect()}
+    assert got == {i: sum(s - 300 <= x <= s for x in at) for i, s in enumerate(at)}
