@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8_000_000
 #: Up to so many blocks, each exchanges a row with every range of keys; beyond, only with the ranges that it has keys in.
 FULL_EXCHANGE = 2048
+#: Bytes of rows that the JVM hands to a Python worker at once, at most (one row more, where a row is larger).
+BATCH_BYTES = 8_000_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -40,6 +42,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES. The JVM keeps the largest buffers it ever needed, outside its heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not now or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_of(col="text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -51,6 +61,7 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, text, block) dealt over blocks by a hash of the id, and the number of blocks; groups of copies spread evenly."""
+    bound_batches(docs.sparkSession)
     n = max(1, math.ceil(text_bytes(docs, text_col) / block_bytes))
     key = F.xxhash64(F.col(id_col), F.substring(text_of(text_col), 1, 64), F.length(text_of(text_col)))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.pmod(key, F.lit(n)).cast("long").alias("block")), n

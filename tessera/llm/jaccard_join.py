@@ -155,8 +155,14 @@ def _links(members: DataFrame, payload: DataFrame, percent: int, chunk: int) ->
     and the rest, chunk by chunk. A large group of near copies thus costs its size, not the square.
     """
 
+    def verify(table: pa.Table) -> pa.Table:
+        rows = _verify(table, percent)
+        if table.nbytes > 1_000_000:  # small ones are many
+            release()
+        return rows
+
     def compare(tiles: DataFrame, *tile: str) -> DataFrame:
-        return materialise(tiles.join(payload, "doc_id").groupBy("leader", *tile).applyInArrow(lambda t: _verify(t, percent), ddl(LINKS)))
+        return materialise(tiles.join(payload, "doc_id").groupBy("leader", *tile).applyInArrow(verify, ddl(LINKS)))
 
     def part(count, start=F.lit(0)):
         return (start + F.pmod(F.xxhash64("doc_id", "leader"), count)).cast("int")

@@ -11,11 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, text_of
+from .common import bound_batches, materialise, mix, release, text_of
 from .tokenizer import END_OF_TEXT, VOCABULARY, encoder, read_vocabulary
 
 SEQUENCE = 512
 SHARD_SLOTS = 256
+#: Documents whose ids a task holds at once.
+AT_ONCE = 256
 ROUNDS = 6
 #: A record's head; the ids follow, padded with the end-of-text id.
 HEAD = np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("tokens", "<i4")])
@@ -69,17 +71,22 @@ def sequences(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCAB
 
     def encode(batches):
         encode_one, part, place = encoder(words).encode_ordinary, TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, seqs, pieces = [], [], []
-            for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                raw = np.array([*encode_one(t), END_OF_TEXT], "<u2").tobytes()
-                for s, at in enumerate(range(0, len(raw), cut)):
-                    ids.append(i), seqs.append(s), pieces.append(raw[at : at + cut])
-            n = len(ids)
-            cols = ([part] * n, range(place, place + n), ids, seqs, [len(p) // 2 for p in pieces], pieces)
-            place += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
+        for whole in batches:
+            for b in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                ids, seqs, pieces = [], [], []
+                for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+                    raw = np.array([*encode_one(t), END_OF_TEXT], "<u2").tobytes()
+                    for s, at in enumerate(range(0, len(raw), cut)):
+                        ids.append(i), seqs.append(s), pieces.append(raw[at : at + cut])
+                n = len(ids)
+                cols = ([part] * n, range(place, place + n), ids, seqs, [len(p) // 2 for p in pieces], pieces)
+                place += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            release()
+        del encode_one
+        release()
+
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(encode, "part int, place long, doc_id long, sequence int, tokens int, ids binary")
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_of
+from .common import bound_batches, release, text_of
 
 #: At most so many labelled rows, chosen by a hash of the id, fit the chain.
 TRAIN_ROWS = 12_000
@@ -122,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 
     Features are chosen by Spark over that sample: those whose document frequencies differ most between toxic and other rows.
     """
+    bound_batches(docs.sparkSession)
     rated = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("y")).dropna().groupBy("_id").agg(F.max("y").alias("y"))
     chosen = rated.orderBy(F.xxhash64("_id"), "_id").limit(limit)
     ids = chosen.sparkSession.createDataFrame(chosen.toPandas(), "_id long, y double")  # limit rows of 16 bytes
@@ -149,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 def _found(column: str) -> Column:
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(text_features(t)))
+        out = texts.map(lambda t: sorted(text_features(t)))
+        release()
+        return out
 
     return found(column)
 
