@@ -14,8 +14,12 @@ UNITS = (
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "w kw mw v a hz khz mhz ghz kb mb gb tb c f k celsius fahrenheit percent dollar dollars euro euros cent cents usd eur mph kmh"
 )
-NUMBER = r"(?<![\p{L}\p{N}])[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*%?"
+#: Scripts written without spaces; their characters are words by themselves.
+SPACELESS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+WORD = rf"[[\p{{L}}\p{{N}}]&&[^{SPACELESS}]]"
+NUMBER = rf"(?<!{WORD})[$€£]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*%?"
 NAME = r"(?<=[\p{L}\p{N},;]\s)\p{Lu}\p{Ll}+"
+TOKEN = rf"§p{WORD}+|§[nu]\S+|{WORD}++|[[\p{{L}}\p{{N}}]&&[{SPACELESS}]]"
 #: Benchmark windows up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -26,25 +30,58 @@ def template_tokens(text: Column) -> Column:
     marked = F.regexp_replace(marked, NAME, "§p$0")
     marked = F.regexp_replace(marked, NUMBER, " §n$0 ")
     marked = F.regexp_replace(marked, rf"(?i)(§n\S+\s+)({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1§u$2 ")
-    return F.regexp_extract_all(F.lower(marked), F.lit(r"§[nup][^\s]+|[\p{L}\p{N}]++"), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
-def _windows(df: DataFrame, key: str, text_col: str, width: int) -> DataFrame:
-    """(key, at, hash, slots) of every window of width template words; slots: the values that its placeholders stand for, or null."""
-    marks = [F.xxhash64(F.lit(m)) for m in ("§n", "§u", "§p")]
+def _tokens(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, tokens, h): template words and their hashes, one hash for each kind of placeholder."""
     hashed = F.transform("tokens", lambda t: F.when(t.startswith("§"), F.xxhash64(F.substring(t, 1, 2))).otherwise(F.xxhash64(t)))
-    df = df.select(F.col(key), template_tokens(text_of(text_col)).alias("tokens")).select(key, "tokens", hashed.alias("h"))
+    return df.select(F.col(key), template_tokens(text_of(text_col)).alias("tokens")).select(key, "tokens", hashed.alias("h"))
+
+
+def _windows(df: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """df: from _tokens. (key, at, hash, slots) of every window of each width; slots: the values that its placeholders stand for, or null."""
+    marks = [F.xxhash64(F.lit(m)) for m in ("§n", "§u", "§p")]
+
+    def of_width(width: int) -> Column:
+        def window(i: Column) -> Column:
+            words = [F.get("h", i + k) for k in range(width)]
+            marked = words[0].isin(marks)
+            for w in words[1:]:
+                marked = marked | w.isin(marks)
+            slots = F.when(marked, F.filter(F.slice("tokens", i + 1, width), lambda t: t.startswith("§")))
+            return F.struct(i.alias("at"), F.xxhash64(*words).alias("hash"), slots.alias("slots"))
 
-    def window(i: Column) -> Column:
-        words = [F.get("h", i + k) for k in range(width)]
-        marked = words[0].isin(marks)
-        for w in words[1:]:
-            marked = marked | w.isin(marks)
-        slots = F.when(marked, F.filter(F.slice("tokens", i + 1, width), lambda t: t.startswith("§")))
-        return F.struct(i.alias("at"), F.xxhash64(*words).alias("hash"), slots.alias("slots"))
+        return F.transform(F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width)), window)
 
-    starts = F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width))
-    return df.select(key, F.explode(F.transform(starts, window)).alias("w")).select(key, "w.at", "w.hash", "w.slots")
+    found = [of_width(width) for width in widths]
+    every = found[0] if len(found) == 1 else F.flatten(F.array_compact(F.array(*found)))
+    return df.select(key, F.explode(every).alias("w")).select(key, "w.at", "w.hash", "w.slots")
+
+
+def _benchmark_windows(bench: DataFrame, width: int, literals: int) -> tuple[DataFrame, list[int]]:
+    """(item_id, way, item_at, hash, item_slots, equal) of the windows that tell an item, and the widths below width among them.
+
+    way 0: distinct windows with at least literals ordinary words. Other ways, for texts without one: windows side by side over the whole
+    text, the last one moved back to its end, or one window of all its words if those are fewer than width. equal: too few ordinary words
+    (none, or fewer than literals in a short text) to tell it with other values.
+    """
+    texts = _tokens(bench, "item_id", "item_text").filter(F.size("tokens") > 0)
+    words = F.size(F.filter("tokens", lambda t: ~t.startswith("§")))
+    equal = words < F.when(F.size("tokens") < width, F.lit(literals)).otherwise(1)
+    item = F.struct("item_id", F.xxhash64("tokens").alias("text"), F.size("tokens").alias("n"), equal.alias("equal"))
+    texts = materialise(texts.select(item.alias("item"), "tokens", "h"))
+    short = [r["n"] for r in texts.select("item.n").filter(F.col("n") < width).distinct().orderBy("n").collect()]
+    every = _windows(texts, "item", [width])
+    for m in short:
+        every = every.unionByName(_windows(texts.filter(F.col("item.n") == m), "item", [m]))
+    every = materialise(every.select("item.*", "at", "hash", F.col("slots").alias("item_slots")))
+    usual = every.filter((F.col("n") >= width) & (F.coalesce(F.size("item_slots"), F.lit(0)) <= width - literals))
+    whole = every.join(usual.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti").filter((F.col("at") % width == 0) | (F.col("at") == F.col("n") - width))
+    usual = usual.groupBy("item_id", "hash").agg(F.min("at").alias("item_at"), F.min_by("item_slots", "at").alias("item_slots"))
+    usual = usual.select("item_id", F.lit(0).cast("long").alias("way"), "item_at", "hash", "item_slots", F.lit(False).alias("equal"))
+    whole = whole.select("item_id", F.col("text").alias("way"), F.col("at").alias("item_at"), "hash", "item_slots", "equal")
+    return materialise(usual.unionByName(whole).coalesce(16)), short  # small beside the documents
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8, literals: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -55,24 +92,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containm
     benchmark value always stands for the same value in the document. A document is contaminated by an item when consistent occurrences
     cover at least containment of the item's distinct windows. reparameterised: some slot's value differs from the benchmark's.
 
-    Windows with fewer than literals ordinary words are left out on the benchmark's side; an item with no other window, or with fewer
-    words than width, has no match, nor have empty or null texts. Ties go to the smallest item_id. Repeated ids give one row. Empty tables
-    give no rows; other columns are ignored. Benchmark windows are broadcast up to BROADCAST_ROWS rows and joined by shuffle beyond.
+    Windows with fewer than literals ordinary words are left out on the benchmark's side. An item with no other window is matched whole:
+    one consistent occurrence must hold all its template words, and so must it for an item of fewer words than width. Whole items without an
+    ordinary word, and short ones with fewer than literals of them, must have the benchmark's values. Characters of scripts without
+    spaces count as words. Items without letters and digits, and empty or null texts, have no match. Ties go to the smallest item_id.
+    Repeated ids give one row. Empty tables give no rows; other columns are ignored. Benchmark windows are broadcast up to BROADCAST_ROWS
+    rows and joined by shuffle beyond.
     """
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).filter("item_id is not null").dropDuplicates()
-    windows = _windows(bench, "item_id", "item_text", width).filter(F.coalesce(F.size("slots"), F.lit(0)) <= width - literals)
-    windows = windows.groupBy("item_id", "hash").agg(F.min("at").alias("item_at"), F.min_by("slots", "at").alias("item_slots"))
-    windows = materialise(windows.coalesce(16))  # small beside the documents
-    sizes = windows.groupBy("item_id").agg(F.count("*").alias("wanted"))
+    windows, short = _benchmark_windows(bench, width, literals)
+    sizes = windows.groupBy("item_id", "way").agg(F.count_distinct("item_at").alias("wanted"), F.max("equal").alias("equal"))
     hint = F.broadcast if windows.count() <= BROADCAST_ROWS else (lambda df: df)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("doc_text"))
-    hits = _windows(ids, "doc_id", "doc_text", width).join(hint(windows), "hash")
+    hits = _windows(_tokens(ids, "doc_id", "doc_text"), "doc_id", [width, *short]).join(hint(windows.drop("equal")), "hash")
     pairs = F.arrays_zip("item_slots", "slots")
-    runs = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    runs = hits.groupBy("doc_id", "item_id", "way", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     steady = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    found = runs.filter(steady).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched"), F.max(changed).alias("reparameterised"))
-    found = found.join(sizes, "item_id").withColumn("containment", F.col("matched") / F.col("wanted")).filter(F.col("containment") >= containment)
+    runs = runs.filter(steady).withColumn("changed", changed).join(hint(sizes), ["item_id", "way"])
+    runs = runs.filter((F.col("way") == 0) | ((F.size("covered") == F.col("wanted")) & ~(F.col("equal") & F.col("changed"))))
+    found = runs.groupBy("doc_id", "item_id", "way", "wanted").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched"), F.max("changed").alias("reparameterised"))
+    found = found.withColumn("containment", F.col("matched") / F.col("wanted")).filter(F.col("containment") >= containment)
     best = F.max_by(F.struct("item_id", "containment", "reparameterised"), F.struct("containment", -F.col("item_id")))
     return found.groupBy("doc_id").agg(best.alias("best")).select("doc_id", "best.*")
 

@@ -202,6 +202,15 @@ def test_decontamination_catches_changed_slots_but_not_mixed_ones(spark):
     assert got.get(1) is False and got.get(2) is True and 4 not in got
 
 
+def test_decontamination_of_items_without_an_ordinary_window(spark):
+    items = ["What is 12 + 35 - 4 * 7 + 18?", "Compute 3 x 17 + 42 / 6 - 5 for x = 9", "Who wrote Hamlet?", "小明有三个苹果,他又买了五个梨,请问他现在一共有多少个水果?", "7, 7, 8, 1, 2, 3"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some words before. {t} And some words after." for t in items]  # 0 to 4
+    texts += ["What is 13 + 36 - 5 * 8 + 19?", "What is 12 + 35 - 4 * 7 of it", "Compute 3 x 17 + 42 / 6 - 5 for y = 9", "Who wrote Faust?", "小明有三个苹果。", "7, 8, 9, 1, 2, 3"]
+    got = {r.doc_id: (r.item_id, r.reparameterised) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {**{i: (i, False) for i in range(5)}, 5: (0, True)}
+
+
 def test_pipeline_stage_by_stage(spark, sf, docs):
     import corpus_pipeline
 
