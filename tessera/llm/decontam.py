@@ -33,55 +33,85 @@ def template_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
-def _tokens(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, tokens, h): template words and their hashes, one hash for each kind of placeholder."""
-    hashed = F.transform("tokens", lambda t: F.when(t.startswith("§"), F.xxhash64(F.substring(t, 1, 2))).otherwise(F.xxhash64(t)))
-    return df.select(F.col(key), template_tokens(text_of(text_col)).alias("tokens")).select(key, "tokens", hashed.alias("h"))
+def _hashed(df: DataFrame) -> DataFrame:
+    """df and, of its template words, h: their hashes, one for each kind of placeholder; plain: the same with names as ordinary words; names: where
+    names are."""
+    word = lambda t: F.when(t.startswith("§"), F.xxhash64(F.substring(t, 1, 2))).otherwise(F.xxhash64(t))
+    names = F.array_compact(F.transform("tokens", lambda t, i: F.when(t.startswith("§p"), i)))
+    df = df.withColumns({"h": F.transform("tokens", word), "names": names})
+    plain = F.transform("tokens", lambda t: F.when(t.startswith("§p"), F.xxhash64(F.substring(t, 3, 1 << 30))).otherwise(word(t)))
+    return df.withColumn("plain", F.when(F.size("names") > 0, plain))
 
 
 def _windows(df: DataFrame, key: str, widths: list[int]) -> DataFrame:
-    """df: from _tokens. (key, at, hash, slots) of every window of each width; slots: the values that its placeholders stand for, or null."""
+    """df: from _hashed. (key, at, hash, slots, kept) of every window of each width, and once more with names as ordinary words if it has any.
+
+    slots: the values that its placeholders stand for; kept: names read as ordinary words; null for none.
+    """
     marks = [F.xxhash64(F.lit(m)) for m in ("§n", "§u", "§p")]
 
-    def of_width(width: int) -> Column:
-        def window(i: Column) -> Column:
+    def of_width(width: int) -> list[Column]:
+        def read(i: Column, hashes: str, slots: Column, kept: Column) -> Column:
+            words = [F.get(hashes, i + k) for k in range(width)]
+            return F.struct(i.alias("at"), F.xxhash64(*words).alias("hash"), slots.alias("slots"), kept.alias("kept"))
+
+        def template(i: Column) -> Column:
             words = [F.get("h", i + k) for k in range(width)]
             marked = words[0].isin(marks)
             for w in words[1:]:
                 marked = marked | w.isin(marks)
-            slots = F.when(marked, F.filter(F.slice("tokens", i + 1, width), lambda t: t.startswith("§")))
-            return F.struct(i.alias("at"), F.xxhash64(*words).alias("hash"), slots.alias("slots"))
+            return read(i, "h", F.when(marked, F.filter(F.slice("tokens", i + 1, width), lambda t: t.startswith("§"))), F.lit(None).cast("array<string>"))
 
-        return F.transform(F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width)), window)
+        def literal(i: Column) -> Column:
+            words = F.slice("tokens", i + 1, width)
+            return read(i, "plain", F.filter(words, lambda t: t.startswith("§n") | t.startswith("§u")), F.filter(words, lambda t: t.startswith("§p")))
 
-    found = [of_width(width) for width in widths]
-    every = found[0] if len(found) == 1 else F.flatten(F.array_compact(F.array(*found)))
-    return df.select(key, F.explode(every).alias("w")).select(key, "w.at", "w.hash", "w.slots")
+        last = F.size("h") - width
+        near = F.transform("names", lambda p: F.sequence(F.greatest(F.lit(0), p - (width - 1)), F.least(p, last)))
+        return [
+            F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)), template),
+            F.transform(F.when((last >= 0) & (F.size("names") > 0), F.array_distinct(F.flatten(near))), literal),
+        ]
+
+    every = F.flatten(F.array_compact(F.array(*(w for width in widths for w in of_width(width)))))
+    return df.select(key, F.explode(every).alias("w")).select(key, "w.*")
 
 
 def _benchmark_windows(bench: DataFrame, width: int, literals: int) -> tuple[DataFrame, list[int]]:
-    """(item_id, way, item_at, hash, item_slots, equal) of the windows that tell an item, and the widths below width among them.
+    """(item_id, way, item_at, hash, item_slots, item_kept, equal) of the windows that tell an item, and the widths below width among them.
 
-    way 0: distinct windows with at least literals ordinary words. Other ways, for texts without one: windows side by side over the whole
-    text, the last one moved back to its end, or one window of all its words if those are fewer than width. equal: too few ordinary words
-    (none, or fewer than literals in a short text) to tell it with other values.
+    way 0: distinct windows with at least literals ordinary words, each also with its names as ordinary words, and with the first word as
+    a name where it is capitalised: a hit of any of these readings covers the window. way 1, for texts with names: the windows that have
+    as many ordinary words when names count as such. Other ways, for texts without a window of way 0: windows side by side over the
+    whole text, the last one moved back to its end, or one window of all its words if those are fewer than width. equal: too few ordinary
+    words (none, or fewer than literals in a short text) to tell it with other values.
     """
-    texts = _tokens(bench, "item_id", "item_text").filter(F.size("tokens") > 0)
+    # after a word, a capitalised first word is a name
+    texts = bench.select("item_id", template_tokens(text_of("item_text")).alias("tokens"), template_tokens(F.concat(F.lit("x "), text_of("item_text"))).alias("inside"))
+    texts = texts.filter(F.size("tokens") > 0)
     words = F.size(F.filter("tokens", lambda t: ~t.startswith("§")))
     equal = words < F.when(F.size("tokens") < width, F.lit(literals)).otherwise(1)
     item = F.struct("item_id", F.xxhash64("tokens").alias("text"), F.size("tokens").alias("n"), equal.alias("equal"))
-    texts = materialise(texts.select(item.alias("item"), "tokens", "h"))
-    short = [r["n"] for r in texts.select("item.n").filter(F.col("n") < width).distinct().orderBy("n").collect()]
-    every = _windows(texts, "item", [width])
+    texts = texts.select(item.alias("item"), "tokens", F.slice("inside", 2, 1 << 30).alias("inside"))
+    both = texts.select(F.struct("item.*", F.lit(True).alias("main")).alias("item"), "tokens")
+    both = materialise(both.unionByName(texts.filter("tokens <> inside").select(F.struct("item.*", F.lit(False).alias("main")).alias("item"), F.col("inside").alias("tokens"))))
+    short = [r["n"] for r in both.select("item.n").filter(F.col("n") < width).distinct().orderBy("n").collect()]
+    every = _windows(_hashed(both), "item", [width])
     for m in short:
-        every = every.unionByName(_windows(texts.filter(F.col("item.n") == m), "item", [m]))
-    every = materialise(every.select("item.*", "at", "hash", F.col("slots").alias("item_slots")))
-    usual = every.filter((F.col("n") >= width) & (F.coalesce(F.size("item_slots"), F.lit(0)) <= width - literals))
-    whole = every.join(usual.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti").filter((F.col("at") % width == 0) | (F.col("at") == F.col("n") - width))
-    usual = usual.groupBy("item_id", "hash").agg(F.min("at").alias("item_at"), F.min_by("item_slots", "at").alias("item_slots"))
-    usual = usual.select("item_id", F.lit(0).cast("long").alias("way"), "item_at", "hash", "item_slots", F.lit(False).alias("equal"))
-    whole = whole.select("item_id", F.col("text").alias("way"), F.col("at").alias("item_at"), "hash", "item_slots", "equal")
-    return materialise(usual.unionByName(whole).coalesce(16)), short  # small beside the documents
+        every = every.unionByName(_windows(_hashed(both.filter(F.col("item.n") == m)), "item", [m]))
+    every = every.select("item.*", "at", "hash", (F.col("item.main") & F.col("kept").isNull()).alias("plainly"), *(F.coalesce(c, F.array().cast("array<string>")).alias(f"item_{c}") for c in ("slots", "kept")))
+    every = materialise(every.groupBy("item_id", "text", "n", "equal", "at", "hash").agg(F.max("plainly").alias("plainly"), F.max("item_slots").alias("item_slots"), F.max("item_kept").alias("item_kept")))
+    named = F.exists("item_slots", lambda t: t.startswith("§p"))
+    usual = every.filter((F.col("n") >= width) & (F.size("item_slots") <= width - literals))
+    first = lambda df: df.groupBy("item_id", "hash").agg(F.min(F.struct("at", "text")).alias("w")).select("item_id", "w.*").distinct()
+    place, text = ["item_id", "at", "text"], ["item_id", "text"]
+    by_windows = usual.join(first(usual.filter("plainly")), place)
+    by_words = usual.join(every.filter(F.col("plainly") & named).select(text).distinct(), text, "left_semi").filter(~named)
+    by_words = by_words.join(first(by_words), place)
+    whole = every.join(usual.filter("plainly").select(text).distinct(), text, "left_anti").filter((F.col("at") % width == 0) | (F.col("at") == F.col("n") - width))
+    ways = ((by_windows, F.lit(0), F.lit(False)), (by_words, F.lit(1), F.lit(False)), (whole, F.col("text"), F.col("equal")))
+    parts = [df.select("item_id", way.cast("long").alias("way"), F.col("at").alias("item_at"), "hash", "item_slots", "item_kept", e.alias("equal")) for df, way, e in ways]
+    return materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]).coalesce(16)), short  # small beside the documents
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8, literals: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -92,6 +122,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containm
     benchmark value always stands for the same value in the document. A document is contaminated by an item when consistent occurrences
     cover at least containment of the item's distinct windows. reparameterised: some slot's value differs from the benchmark's.
 
+    Whether a capitalised word is a name depends on its case and on the word before, which a copy need not keep. So windows are looked up with
+    names as placeholders and as ordinary words, and an item's first word is read in both ways. Items with names are also measured by
+    the windows that have names as ordinary words, and the larger coverage counts.
+
     Windows with fewer than literals ordinary words are left out on the benchmark's side. An item with no other window is matched whole:
     one consistent occurrence must hold all its template words, and so must it for an item of fewer words than width. Whole items without an
     ordinary word, and short ones with fewer than literals of them, must have the benchmark's values. Characters of scripts without
@@ -104,16 +138,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containm
     sizes = windows.groupBy("item_id", "way").agg(F.count_distinct("item_at").alias("wanted"), F.max("equal").alias("equal"))
     hint = F.broadcast if windows.count() <= BROADCAST_ROWS else (lambda df: df)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("doc_text"))
-    hits = _windows(_tokens(ids, "doc_id", "doc_text"), "doc_id", [width, *short]).join(hint(windows.drop("equal")), "hash")
-    pairs = F.arrays_zip("item_slots", "slots")
+    tokens = _hashed(ids.select("doc_id", template_tokens(text_of("doc_text")).alias("tokens")))
+    hits = _windows(tokens, "doc_id", [width, *short]).drop("kept").join(hint(windows.drop("equal")), "hash")
+    kept = F.transform("item_kept", lambda t: F.struct(t.alias("item_slots"), t.alias("slots")))
+    pairs = F.concat(F.arrays_zip("item_slots", F.coalesce("slots", F.array().cast("array<string>")).alias("slots")), kept)
     runs = hits.groupBy("doc_id", "item_id", "way", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     steady = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
     runs = runs.filter(steady).withColumn("changed", changed).join(hint(sizes), ["item_id", "way"])
-    runs = runs.filter((F.col("way") == 0) | ((F.size("covered") == F.col("wanted")) & ~(F.col("equal") & F.col("changed"))))
+    runs = runs.filter(F.col("way").isin(0, 1) | ((F.size("covered") == F.col("wanted")) & ~(F.col("equal") & F.col("changed"))))
     found = runs.groupBy("doc_id", "item_id", "way", "wanted").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched"), F.max("changed").alias("reparameterised"))
     found = found.withColumn("containment", F.col("matched") / F.col("wanted")).filter(F.col("containment") >= containment)
-    best = F.max_by(F.struct("item_id", "containment", "reparameterised"), F.struct("containment", -F.col("item_id")))
+    best = F.max_by(F.struct("item_id", "containment", "reparameterised"), F.struct("containment", -F.col("item_id"), -F.col("way")))
     return found.groupBy("doc_id").agg(best.alias("best")).select("doc_id", "best.*")
 
 

@@ -211,6 +211,16 @@ def test_decontamination_of_items_without_an_ordinary_window(spark):
     assert got == {**{i: (i, False) for i in range(5)}, 5: (0, True)}
 
 
+def test_decontamination_whatever_the_case_and_the_word_before(spark):
+    items = ["How many legs does a healthy spider have?", "The train from Berlin to Paris leaves at 9 and carries Anna and Otto home"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"She asked the class {items[0]}", items[0].upper(), items[0].title(), items[1].lower(), items[1].upper(), items[1], f"that day {items[1]}"]
+    texts += ["THE TRAIN FROM BERLIN TO PARIS LEAVES AT 7 AND CARRIES ANNA AND OTTO HOME", "the Train from Rome to Lyon leaves at 9 and carries Emma and Karl home"]
+    texts += ["She asked the class How many legs does a table have", "The train from Berlin to Paris leaves at 9"]
+    got = {r.doc_id: (r.item_id, r.reparameterised) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {0: (0, False), 1: (0, False), 2: (0, False), 3: (1, False), 4: (1, False), 5: (1, False), 6: (1, False), 7: (1, True), 8: (1, True)}
+
+
 def test_pipeline_stage_by_stage(spark, sf, docs):
     import corpus_pipeline
 
