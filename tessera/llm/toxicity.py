@@ -17,7 +17,7 @@ from .common import bound_batches, release, text_of
 TRAIN_ROWS = 12_000
 #: So many words and stems with the strongest evidence are features.
 FEATURES = 160
-#: A feature word is in at least so many rows of the sample, and in a twentieth as many as are toxic.
+#: A feature word is in at least so many rows of the sample, however large that is: a rare language's words count too.
 SUPPORT = 6
 FOLDS = 5
 #: The cut-off is the one of best F1 on out-of-fold probabilities within these bounds.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     try:
         n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         seen = sample.select("toxic", F.explode("found").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-        seen = seen.filter(F.col("n") >= max(SUPPORT, 0.05 * toxic))
+        seen = seen.filter(F.col("n") >= SUPPORT)
         share = toxic / max(n, 1)
         z = (F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(share * (1 - share) + 1e-9))
         best = [r[0] for r in seen.orderBy(F.abs(z).desc(), "word").limit(features).select("word").collect()]

@@ -87,6 +87,18 @@ def test_toxicity_on_other_labels(spark):
     assert all(got[i] == (i % 4 == 0) for i in range(400))
 
 
+def test_toxicity_of_a_rare_language(spark):
+    def text(i):
+        if i % 128 < 2:  # few of the toxic rows
+            return f"palabras sencillas {'abcdefgh'[i % 7]} aqui" + (" eres un tonto y bobo" if i % 4 == 0 else "")
+        return f"plain words number {'abcdefgh'[i % 8]} here" + (" you idiot and moron" if i % 4 == 0 else "")
+
+    d = spark.createDataFrame([(i, text(i)) for i in range(2048)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.rejected for r in toxicity.chain_scores(d, toxicity.train(d, lab)).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(1600, 2048))
+
+
 def test_edited_counts_equal_a_new_count(docs):
     encode = encoder(read_vocabulary()).encode_ordinary
     for r in OPERATORS["edits"](docs, None, None).collect():
