@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 
@@ -25,9 +26,17 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 CARD = re.compile(r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{8,15}(?!\w)")
+#: Numbers with a country's prefix or a leading zero, in groups of any size; DIGITS in all, and not starting as a date does.
+GROUPED = re.compile(r"(?<![\w.:/+-])(?:\+\d{1,3}(?:[ ./-]?\(\d{1,4}\))?|\(0\d{1,4}\)|0\d{1,4})(?:[ ./-]?\(0\))?(?:[ ./-]\d{1,8}){1,6}(?![\w:/-]|[.,]\d)")
+DATE = re.compile(r"\d{1,2}[ ./-]\d{1,2}[ ./-](?:19|20)\d\d(?!\d)")
+DIGITS = range(8, 16)
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f:]*[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4})?(?![\w:])")
 #: Titles and the gender they tell; fixed values.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
-PERSON = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[  ]+([^\W\d_]+(?:[-'’][^\W\d_]+)*(?: [^\W\d_]+(?:[-'’][^\W\d_]+)*)?)")
+TITLE = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \u00a0]+")
+#: A word of a name and what follows it before the next one; an initial may have a full stop.
+PART = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)(?:(?<=\b[^\W\d_])\.)?([ \u00a0]*)")
+PARTICLES = frozenset("von van vom zu zum zur der den de del della di da das do dos du la las le les los y e i bin ibn ben al el af av ten ter".split())
 #: Syllables that names are built from, by script, and endings by script and gender.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ha he ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
@@ -40,6 +49,8 @@ ENDINGS = {
     "greek": {"m": "νος", "f": "να", "n": "ρις", "s": "ριν"},
 }
 KINDS = ("secret", "email", "iban", "ip", "ssn", "card", "phone", "name")
+#: Initials come with names; each letter has another, and they are no entities.
+_RANK = {k: i for i, k in enumerate((*KINDS, "initial"))}
 
 
 def script_of(word: str) -> str:
@@ -52,6 +63,43 @@ def _luhn(digits: str) -> bool:
     return sum(odd[::2] + [d * 2 - 9 * (d > 4) for d in odd[1::2]]) % 10 == 0
 
 
+def _is_ipv6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return value.count(":") > 2 or any(map(str.isdigit, value))  # else a::b of a program
+
+
+def names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles: initials, particles (which stay) and all capitalised words; and every other mention of such a word in the text."""
+    hits, known = [], {}
+    for title in TITLE.finditer(text):
+        words, at = [], title.end()
+        while m := PART.match(text, at):
+            word = m[1]
+            if word in TITLES or not (word[0].isupper() or word in PARTICLES):
+                break
+            if word[0].isupper():
+                words.append((*m.span(1), "initial" if len(word) == 1 else "name", TITLES[title[1]]))
+            at = m.end()
+            if not m[2]:
+                break
+        full = [w for w in words if w[2] == "name"]
+        if full:  # the last is the surname, alike for all genders
+            words = [(a, b, k, "s" if (a, b) == full[-1][:2] else g) for a, b, k, g in words]
+            hits += words
+            for a, b, k, g in words:
+                if k == "name":
+                    known.setdefault(text[a:b], g)
+    if known:
+        known |= {w.upper(): g for w, g in known.items() if w.upper() not in known}
+        taken = {h[0] for h in hits}
+        mention = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![^\W_])")
+        hits += [(*m.span(), "name", known[m[0]]) for m in mention.finditer(text) if m.start() not in taken]
+    return hits
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of each entity, left to right and apart; where two overlap, the kind first in KINDS wins."""
     hits = []
@@ -63,17 +111,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if digits:
         for kind, pattern in (("iban", IBAN), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
             hits += [(*m.span(), kind, "") for m in pattern.finditer(text)]
+        hits += [(*m.span(), "phone", "") for m in GROUPED.finditer(text) if sum(map(str.isdigit, m[0])) in DIGITS and not DATE.match(m[0])]
+    if text.count(":") > 1:
+        hits += [(*m.span(), "ip", "") for m in IPV6.finditer(text) if _is_ipv6(m[0])]
     if _ANY_TITLE.search(text):
-        for m in PERSON.finditer(text):
-            at, words = m.start(2), []
-            for word in m[2].split(" "):
-                if not word[:1].isupper() or len(word) < 2:
-                    break
-                words.append((at, at + len(word), "name", TITLES[m[1]]))
-                at += len(word) + 1
-            hits += words[:-1] + [(a, b, k, "s") for a, b, k, _ in words[-1:]]  # the last is the surname, alike for all genders
+        hits += names(text)
     out, end = [], set()
-    for h in sorted(hits, key=lambda h: KINDS.index(h[2])):
+    for h in sorted(hits, key=lambda h: _RANK[h[2]]):
         span = range(h[0], h[1])
         if end.isdisjoint(span):
             end.update(span)
@@ -93,6 +137,8 @@ def canonical(kind: str, value: str, gender: str) -> str:
         return "".join(c for c in value if c.isdigit() or c == "+")
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ip" and ":" in value:
+        return str(ipaddress.IPv6Address(value))
     return value if kind == "secret" else value.lower()
 
 
@@ -126,6 +172,7 @@ def permute(value: str, key: str, fixed: set[int] = frozenset(), hexadecimal: bo
 
 
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+_INITIALS = (_ALPHABETS[1], "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
@@ -145,6 +192,11 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
         stays = 2 if labels[-2:-1] == ["example"] else 1
         kept = sum(map(len, labels[-stays:])) + stays - 1
         return permute(entity, key, set(range(len(entity) - kept, len(entity))))
+    if kind == "ip" and ":" in entity:
+        left, right = divmod(int(ipaddress.IPv6Address(entity)), 1 << 64)
+        for r in range(ROUNDS):
+            left, right = right, left ^ _number(key, r, right)
+        return str(ipaddress.IPv6Address(left << 64 | right))
     if kind == "ip":
         n = int.from_bytes(bytes(map(int, entity.split("."))), "big")
         left, right = n >> 16, n & 0xFFFF
@@ -157,7 +209,7 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
             return next(body + c for c in "0123456789" if _luhn(body + c))
         return permute(entity, key, {0})
     if kind == "phone":
-        return permute(entity, key, {0, 1} if entity.startswith("+") else set())
+        return permute(entity, key, {0, 1} if entity.startswith("+") else {0} if entity.startswith("0") else set())
     if kind == "iban":
         return permute(entity, key, {0, 1})
     return permute(entity, key, hexadecimal=kind == "secret" and bool(re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", entity)))
@@ -176,9 +228,20 @@ def dress(kind: str, replacement: str, value: str) -> str:
     return replacement
 
 
+def initial(letter: str, key: str) -> str:
+    """Another capital of the letter's script, the same for all its mentions."""
+    alphabet = next((a for a in _INITIALS if letter in a), _INITIALS[0])
+    at = alphabet.index(letter) if letter in alphabet else _number(key, "initial", letter)
+    return alphabet[(at + 1 + _number(key, "initial") % (len(alphabet) - 1)) % len(alphabet)]
+
+
 def rewrite(text: str, key: str, overrides: dict[tuple[str, str], int]) -> tuple[str, dict[str, int]]:
     out, at, counts = [], 0, {}
     for a, b, kind, gender in find(text):
+        if kind == "initial":
+            out += [text[at:a], initial(text[a:b], key)]
+            at = b
+            continue
         entity = canonical(kind, text[a:b], gender)
         out += [text[at:a], dress(kind, surrogate(kind, entity, key, overrides.get((kind, entity), 0)), text[a:b])]
         at = b
@@ -191,7 +254,7 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def extract(batches):
         for b in batches:
-            rows = [(i, k, e) for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) for k, e in sorted({(k, canonical(k, t[a:z], g)) for a, z, k, g in find(t)})]
+            rows = [(i, k, e) for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) for k, e in sorted({(k, canonical(k, t[a:z], g)) for a, z, k, g in find(t) if k != "initial"})]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "kind", "entity"])
 
@@ -227,8 +290,8 @@ def resolve(known: DataFrame, key: str = KEY) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text with every detected entity replaced, n_entities and kinds (count of each kind as "kind=n,...").
 
-    Kinds: secrets after a keyword, e-mail addresses, IBANs, IPv4 addresses, social security, card and phone numbers, and names after a
-    title. Numbers and addresses go through keyed bijections on their shape (cards keep their check digit valid, phones the country's
+    Kinds: secrets after a keyword, e-mail addresses, IBANs, IP addresses, social security, card and phone numbers, and names after a
+    title with all their other mentions in the same document. Numbers and addresses go through keyed bijections on their shape (cards keep their check digit valid, phones the country's
     first digit); given names keep script and the title's gender, surnames
     their script. The same entity has the same surrogate in every document.
 

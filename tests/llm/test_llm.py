@@ -127,6 +127,27 @@ def test_surrogates_keep_type_distinctness_and_coreference(spark):
     assert attempts and len(names) == 3000
 
 
+def test_surrogates_replace_all_mentions_of_a_name():
+    out, counts = surrogates.rewrite("Dr. Anna Weber called. Weber said that Anna Weber is ill. WEBER!", "k", {})
+    _, anna, weber, *_ = out.replace(".", "").split()
+    assert out == f"Dr. {anna} {weber} called. {weber} said that {anna} {weber} is ill. {weber.upper()}!" and counts == {"name": 6}
+    assert not {"Anna", "Weber"} & {anna, weber}
+    for text, gone in (("Mr. J. Smith left", "J. Smith"), ("Mr John Fitzgerald Kennedy", "John Fitzgerald Kennedy"), ("Herr Otto von der Heide kam", "Otto Heide")):
+        out, _ = surrogates.rewrite(text, "k", {})
+        assert out != text and not set(gone.split()) & set(out.split())
+
+
+def test_surrogates_of_phones_in_pairs_and_ipv6():
+    for t in ("01 23 45 67 89", "+33 1 23 45 67 89", "030 12 34 56 78"):
+        out, counts = surrogates.rewrite(f"call {t}, or", "k", {})
+        assert counts == {"phone": 1} and t not in out and len(out) == len(t) + 9
+    for t in ("2001:db8::8a2e:370:7334", "fe80:0:0:0:1:2:3:4"):
+        out, counts = surrogates.rewrite(f"at {t} now", "k", {})
+        assert counts == {"ip": 1} and t not in out
+    for t in ("01.02.2024", "at 01.02.2024 10:30", "12:30:45", "std::vector", "0.123"):
+        assert surrogates.rewrite(t, "k", {}) == (t, {})
+
+
 @pytest.mark.parametrize("full", [2048, 0])
 def test_lm_scores_by_brute_force(docs, full):
     texts = {r.doc_id: r.text.encode().lower().split() + [None] for r in docs.collect()}
