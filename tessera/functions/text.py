@@ -22,7 +22,7 @@ def scrub(text: Column) -> Column:
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
+    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
 def trim_left(text: Column) -> Column:

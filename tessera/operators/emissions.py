@@ -1,20 +1,46 @@
 """Where scores come from, and what turns them into labels.
 
-emit_constant and emit_hash are test stimuli, not detectors: hash scores are the bytes of md5(head:word). A real model plugs in as any
-function from tokens to (head, logits) rows; see sources.onnx.
+An Emitter's rows are a token each and head: doc_id, first_window, last_window, tok, seq, start, end, piece, after, head, head_idx, logits
+(one for each label) and whatever its attributes need. seq numbers the tokens without the special ones (start = end), so two tokens
+are neighbours if their seq are. piece is the text from the end of the token before to the token's end, after the character behind it.
+
+emit_constant and emit_hash are test stimuli, not detectors: hash scores are the bytes of md5(head:word:place). sources.onnx has a
+model's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import HEADS
+from ..functions import labels
+from . import tokens
+
+#: Added to the score of O, so that most tokens are outside; and what a byte is divided by.
+OUTSIDE_BIAS, SCALE = 12.0, 16.0
+#: A word's score depends on its place in the decoded text modulo this, so that a sentence by itself scores otherwise than in its document.
+PLACES = 4
+ATTRIBUTE_BYTES = 7
 
-#: Added to the score of O, so that most tokens are outside.
-OUTSIDE_BIAS = 6.0
+
+@dataclass(frozen=True)
+class Emitter:
+    """score: texts (doc_id, text, next) -> rows as above. base: adds the columns b0, b1, ... that a span averages over its tokens.
+    classes: (attribute, averaged columns) -> a score for each class. subword: tokens may be parts of words, so repairs inside words
+    have something to repair; it needs the texts again.
+    """
+
+    score: Callable[[DataFrame], DataFrame]
+    base: Callable[[DataFrame], DataFrame]
+    width: int
+    classes: Callable[[str, list[Column]], list[Column]]
+    space: labels.LabelSpace = labels.DEFAULT
+    subword: bool = False
+    temperatures: Mapping[str, float] | None = None
 
 
 def _number(text: Column) -> Column:
@@ -26,31 +52,47 @@ def _byte(number: Column, i: int) -> Column:
     return F.shiftright(number, 48 - 8 * i).bitwiseAND(255).cast("double")
 
 
-def emit_hash(tokens: DataFrame, bias: float = OUTSIDE_BIAS) -> DataFrame:
-    """One row for each head: head, head_idx, logits."""
-    rows = tokens.withColumn("h", F.explode(F.array(*(F.struct(F.lit(h).alias("head"), F.lit(i).alias("head_idx")) for i, h in enumerate(HEADS)))))
-    rows = rows.select(*tokens.columns, "h.head", "h.head_idx", _number(F.concat("h.head", F.lit(":"), "word")).alias("digest"))
-    logits = F.array(*(_byte(F.col("digest"), i) / 32.0 + (bias if i == 0 else 0.0) for i in range(7)))
-    return rows.withColumn("logits", logits).drop("digest")
+def _words(texts: DataFrame, window: int) -> DataFrame:
+    """Word tokens with their windows, a row for each head."""
+    heads = F.array(*(F.struct(F.lit(h).alias("head"), F.lit(i).alias("head_idx")) for i, h in enumerate(labels.DEFAULT.heads)))
+    rows = tokens.with_window_range(tokens.word_tokens(texts), window).withColumn("seq", F.col("tok"))
+    return rows.withColumn("h", F.explode(heads)).select("*", "h.head", "h.head_idx").drop("h")
 
 
-def emit_constant(tokens: DataFrame) -> DataFrame:
-    """Every word scores 8 for its hot label and 0 else: B-PERSON-COMMON for PERSON, O for other heads."""
-    rows = tokens.withColumn("h", F.explode(F.array(*(F.struct(F.lit(h).alias("head"), F.lit(i).alias("head_idx")) for i, h in enumerate(HEADS)))))
-    hot = F.when(F.col("h.head") == "PERSON", 1).otherwise(0)
-    return rows.withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(i == hot, 8.0).otherwise(0.0))).select(*tokens.columns, "h.head", "h.head_idx", "logits")
+def _hash_base(rows: DataFrame) -> DataFrame:
+    n = _number(F.concat(F.lit("attr:"), "word"))
+    return rows.withColumn("_n", n).select("*", *(_byte(F.col("_n"), i).alias(f"b{i}") for i in range(ATTRIBUTE_BYTES))).drop("_n")
 
 
-ATTRIBUTE_BYTES = 7
+#: Where an attribute's classes begin among the bytes.
+ATTRIBUTE_OFFSETS = {"origin": 0, "gender_expression": 3, "name_part": 7}
+
 
+def _hash_classes(name: str, averaged: list[Column]) -> list[Column]:
+    """A class's score is one of a few bytes plus a constant, so their means are all that has to be pooled."""
+    n = len(labels.DEFAULT.attributes[name][1])
+    return [averaged[(c + ATTRIBUTE_OFFSETS[name]) % ATTRIBUTE_BYTES] / 32.0 + c / 64.0 for c in range(n)]
 
-def attribute_number(word: Column) -> Column:
-    """What the attribute scores of a word are made of."""
-    return _number(F.concat(F.lit("attr:"), word))
 
+def emit_hash(window: int = tokens.WINDOW, bias: float = OUTSIDE_BIAS, temperatures: Mapping[str, float] | None = None) -> Emitter:
+    def score(texts: DataFrame) -> DataFrame:
+        rows = _words(texts, window)
+        place = (F.col("tok") % PLACES).cast("string")
+        rows = rows.withColumn("digest", _number(F.concat_ws(":", "head", "word", place)))
+        logits = F.array(*(_byte(F.col("digest"), i) / SCALE + (bias if i == 0 else 0.0) for i in range(7)))
+        return rows.withColumn("logits", logits).drop("digest")
 
-def attribute_bytes(number: Column) -> list[Column]:
-    return [_byte(number, i) for i in range(ATTRIBUTE_BYTES)]
+    return Emitter(score, _hash_base, ATTRIBUTE_BYTES, _hash_classes, temperatures=temperatures)
+
+
+def emit_constant(window: int = tokens.WINDOW) -> Emitter:
+    """Every word scores 8 for its hot label and 0 else: B-PERSON-COMMON for PERSON, O for other heads."""
+
+    def score(texts: DataFrame) -> DataFrame:
+        hot = F.when(F.col("head") == "PERSON", 1).otherwise(0)
+        return _words(texts, window).withColumn("logits", F.array(*(F.when(hot == i, 8.0).otherwise(0.0) for i in range(7))))
+
+    return Emitter(score, _hash_base, ATTRIBUTE_BYTES, _hash_classes)
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
@@ -61,24 +103,20 @@ def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def _first_max(p: Column) -> Column:
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+def decode(rows: DataFrame, floor: float | None = None, temperatures: Mapping[str, float] | None = None, labels_of_head: int = 7) -> DataFrame:
+    """label_id, confidence, rescued from the logits. With a floor, an O whose 1 - P(O) reaches it becomes the best other label.
 
-
-def decode(rows: DataFrame, floor: float | None = None, temperature: float = 1.0) -> DataFrame:
-    """label_id, confidence, rescued from the 7 logits. With a floor, an O whose 1 - P(O) reaches it becomes the best other label.
-
-    The best label's probability is 1 / sum(exp(l - max)), so plain arithmetic on the array's items is enough and stays in generated code.
+    temperatures: by head; none and 0 count as 1. The best label's probability is 1 / sum(exp((l - max) / t)), so plain arithmetic on
+    the array's items is enough and stays in generated code.
     """
-    t = temperature or 1.0
-    rows = rows.withColumns({"top": F.array_max("logits"), "inner": F.array_max(F.slice("logits", 2, 6))})
-    rows = rows.withColumn("total", sum((F.exp((F.col("logits")[i] - F.col("top")) / t) for i in range(1, 7)), F.exp((F.col("logits")[0] - F.col("top")) / t)))
+    scaled = {h: t for h, t in (temperatures or {}).items() if t and t != 1.0}
+    t = reduce(lambda out, ht: F.when(F.col("head") == ht[0], float(ht[1])).otherwise(out), scaled.items(), F.lit(1.0))
+    rows = rows.withColumns({"top": F.array_max("logits"), "inner": F.array_max(F.slice("logits", 2, labels_of_head - 1))})
+    part = lambda i: F.exp((F.col("logits")[i] - F.col("top")) / t) if scaled else F.exp(F.col("logits")[i] - F.col("top"))
+    rows = rows.withColumn("total", sum((part(i) for i in range(1, labels_of_head)), part(0)))
     best, conf, rescued = F.array_position("logits", F.col("top")) - 1, 1.0 / F.col("total"), F.lit(False)
     if floor is not None:
-        inside = 1 - F.exp((F.col("logits")[0] - F.col("top")) / t) / F.col("total")
+        inside = 1 - part(0) / F.col("total")
         rescued = (best == 0) & (inside >= floor)
-        best, conf = F.when(rescued, F.array_position(F.slice("logits", 2, 6), F.col("inner"))).otherwise(best), F.when(rescued, inside).otherwise(conf)
+        best, conf = F.when(rescued, F.array_position(F.slice("logits", 2, labels_of_head - 1), F.col("inner"))).otherwise(best), F.when(rescued, inside).otherwise(conf)
     return rows.select("*", best.cast("int").alias("label_id"), conf.alias("confidence"), rescued.alias("rescued")).drop("logits", "top", "inner", "total")
-
-
-Emitter = Callable[[DataFrame], DataFrame]

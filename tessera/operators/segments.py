@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import WS
+from ..functions.text import WS, trim_left, trim_right
+from . import spans
 
 #: Pieces shorter than SHORT join the one before; runs longer than LONG are cut; texts longer than AUTO get a sentence
 #: pass, whose entities need SURE confidence.
@@ -16,82 +15,80 @@ SHORT, LONG, AUTO, SURE = 24, 600, 1200, 0.95
 TERMINATORS, CLOSERS = ".!?…。！？", "\"'»”’)\\]"
 #: A terminator, closers and white space, or a blank line. The terminator belongs to the piece before it.
 BOUNDARY = rf"[{TERMINATORS}][{CLOSERS}]*[{WS}]+|\n[ \t]*\n"
-_WS = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: rf"\u{m[1]}", WS) + "]")
-_BOUNDARY = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: rf"\u{m[1]}", BOUNDARY))
+#: The next part of a run, and the white space to skip behind it: while more than LONG is left, up to the last space in reach that leaves
+#: SHORT, or LONG characters where there is none; then the rest.
+PART = rf"(?s)((?=.{{{LONG + 1}}})(?:.{{{SHORT},{LONG - 1}}}(?= )|.{{{LONG}}})|.{{1,{LONG}}})[{WS}]*"
 
 
 def sentence_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(BOUNDARY)).cast("long") + 1
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Trimmed, non-empty stretches between boundaries."""
-    out, at = [], 0
-    for m in _BOUNDARY.finditer(text):
-        out.append((at, m.start() + (text[m.start()] in TERMINATORS)))
-        at = m.end()
-    out.append((at, len(text)))
-    trimmed = []
-    for s, e in out:
-        while s < e and _WS.match(text[s]):
-            s += 1
-        while e > s and _WS.match(text[e - 1]):
-            e -= 1
-        if s < e:
-            trimmed.append((s, e))
-    return trimmed
-
-
-def pieces(text: str) -> list[tuple[int, int]]:
-    """Sentences with short ones glued to the piece before, however long that gets, and long ones cut at a space where there is one."""
-    out: list[tuple[int, int]] = []
-    for s, e in sentences(text):
-        if out and e - s < SHORT:
-            out[-1] = (out[-1][0], e)
-            continue
-        while e - s > LONG:
-            space = text.rfind(" ", s + SHORT, s + LONG)
-            end = space if space > 0 else s + LONG
-            out.append((s, end))
-            s = end
-            while s < e and _WS.match(text[s]):
-                s += 1
-        if s < e:
-            out.append((s, e))
-    return out
+def sentence_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, i, at, raw, next, start, end) of every stretch between boundaries: raw is its text with the boundary behind it and begins at `at`; start and end are those
+    of the sentence without white space, equal if nothing is left."""
+    both = F.arrays_zip(F.split("text", BOUNDARY, -1).alias("body"), F.regexp_extract_all("text", F.lit(BOUNDARY), F.lit(0)).alias("gap"))
+    rows = texts.select("doc_id", F.posexplode(both).alias("i", "x")).select("doc_id", "i", F.col("x.body").alias("body"), F.coalesce("x.gap", F.lit("")).alias("gap"))
+    rows = rows.withColumns({"raw": F.concat("body", "gap"), "own": F.concat("body", F.regexp_extract("gap", f"^[{TERMINATORS}]", 0))})
+    rows = rows.withColumn("at", F.sum(F.length("raw")).over(Window.partitionBy("doc_id").orderBy("i")) - F.length("raw"))
+    left = trim_left(F.col("own"))
+    rows = rows.withColumn("start", F.col("at") + F.length("own") - F.length(left))
+    return rows.select("doc_id", "i", "at", "raw", "start", (F.col("start") + F.length(trim_right(left))).alias("end"))
+
+
+def island_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, island, raw, at, start, end, tail): a sentence of at least SHORT, or the text's first, from start to end, and the shorter ones behind
+    it up to tail; raw is the text of all from `at` on."""
+    w = Window.partitionBy("doc_id").orderBy("i")
+    rows = sentence_rows(texts).withColumn("some", F.col("start") < F.col("end"))
+    heads = F.col("some") & ((F.col("end") - F.col("start") >= SHORT) | (F.sum(F.col("some").cast("int")).over(w) == 1))
+    rows = rows.withColumn("heads", heads).withColumn("island", F.sum(F.col("heads").cast("int")).over(w)).filter("island > 0")
+    item = F.array_sort(F.collect_list(F.struct("i", "raw")))
+    one = rows.groupBy("doc_id", "island").agg(
+        F.array_join(F.transform(item, lambda x: x["raw"]), "").alias("raw"), F.min("at").alias("at"), F.max(F.when(F.col("some"), F.col("end"))).alias("tail"),
+        *(F.max(F.when(F.col("heads"), F.col(c))).alias(c) for c in ("start", "end")),
+    )
+    return one
 
 
 def piece_rows(texts: DataFrame) -> DataFrame:
-    """(doc_id, piece_no, start, end, text) of every piece; each document is cut by itself, so nothing moves."""
+    """(doc_id, piece_no, start, end, text, next) of every piece; next: the character behind it.
 
-    def cut(batches):
-        for b in batches:
-            rows = [(i, n, s, e, t[s:e]) for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) for n, (s, e) in enumerate(pieces(t or ""))]
-            cols = list(zip(*rows)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece_no", "start", "end", "text"])
+    The head of an island is cut into parts of at most LONG, and the last part reaches to the island's end, however long that gets. Texts
+    without other than white space have no piece.
+    """
+    one = island_rows(texts).withColumn("head", F.expr("substr(raw, cast(start - at as int) + 1, cast(end - start as int))"))
+    parts = F.arrays_zip(F.regexp_extract_all("head", F.lit(PART), F.lit(1)).alias("part"), F.regexp_extract_all("head", F.lit(PART), F.lit(0)).alias("all"))
+    one = one.withColumn("parts", parts).withColumn("n", F.size("parts")).select("*", F.posexplode("parts").alias("k", "p"))
+    before = F.aggregate(F.slice("parts", 1, F.col("k")), F.lit(0), lambda acc, x: acc + F.length(x["all"]))
+    one = one.withColumn("begin", F.col("start") + before)
+    one = one.withColumn("stop", F.when(F.col("k") == F.col("n") - 1, F.col("tail")).otherwise(F.col("begin") + F.length("p.part")))
+    cut = "substr(raw, cast(begin - at as int) + 1, cast(stop - begin as int))", "substr(raw, cast(stop - at as int) + 1, 1)"
+    one = one.select("doc_id", F.col("begin").alias("start"), F.col("stop").alias("end"), F.expr(cut[0]).alias("text"), F.expr(cut[1]).alias("next"))
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
+    return one.select("doc_id", no.cast("long").alias("piece_no"), "start", "end", "text", "next")
 
-    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece_no long, start long, end long, text string")
 
+def as_texts(pieces: DataFrame) -> DataFrame:
+    """The pieces as texts of their own; doc_id becomes (doc_id, piece_no, start), so what is found in a piece knows where it stands."""
+    return pieces.select(F.struct("doc_id", "piece_no", "start").alias("doc_id"), "text", "next")
 
-def piece_key() -> Column:
-    """One id for each piece of each document: for up to 2^24 pieces a document (400 MB of text) and ids below 2^39."""
-    return F.shiftleft("doc_id", 24) + F.col("piece_no")
+
+def lifted(found: DataFrame) -> DataFrame:
+    """What was found in pieces, in their documents' offsets, with piece_no."""
+    shifted = {c: F.col(c) + F.col("doc_id.start") for c in ("start", "end")}
+    return found.withColumns({**shifted, "piece_no": F.col("doc_id.piece_no"), "doc_id": F.col("doc_id.doc_id")})
 
 
 def unite(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """base entities, and those of extra that are sure and overlap none accepted so far, whatever its type.
+    """base entities (extra false), and those of extra (extra true) that are sure and overlap none accepted so far, whatever its type.
 
-    Both have doc_id, start, end, head, confidence and the same other columns. The accepted set grows while extra is walked in order of
-    (start, end, head), so this is a fold of each document's list.
+    Both have doc_id, start, end, head, head_idx, confidence and the same other columns. The accepted set grows while extra is walked in order
+    of (start, end, head), so this is a fold; only a cluster of overlapping entities is folded.
     """
-    fields = [c for c in base.columns if c != "doc_id"]
-    item = F.struct(F.col("start").alias("k1"), F.col("end").alias("k2"), F.col("head").alias("k3"), *fields)
-    lists = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias(name))
-    both = lists(base, "base").join(lists(extra.filter(F.col("confidence") >= SURE), "extra"), "doc_id", "full")
-    some = F.coalesce("base", F.filter("extra", lambda x: F.lit(False)))
-    fold = F.aggregate(
-        F.coalesce("extra", F.filter("base", lambda x: F.lit(False))), some,
-        lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] < x["end"]) & (a["end"] > x["start"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return both.select("doc_id", F.explode(fold).alias("x")).select("doc_id", *(f"x.{c}" for c in fields))
+    fields = [*(c for c in base.columns if c != "doc_id"), "extra"]
+    both = base.withColumn("extra", F.lit(False)).unionByName(extra.filter(F.col("confidence") >= SURE).withColumn("extra", F.lit(True)))
+    item = F.struct(F.col("start").alias("k1"), F.col("end").alias("k2"), F.col("head").alias("k3"), F.col("confidence").alias("k4"), *fields)
+    lists = spans.clusters(both, "doc_id").groupBy("doc_id", "cluster").agg(*(F.array_sort(F.collect_list(F.when(F.col("extra") == e, item))).alias(name) for e, name in ((False, "own"), (True, "more"))))
+    fold = F.aggregate("more", F.col("own"), lambda acc, x: F.when(spans.clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return lists.select("doc_id", F.explode(F.when(F.size("more") == 0, F.col("own")).otherwise(fold)).alias("x")).select("doc_id", *(f"x.{c}" for c in fields))

@@ -30,7 +30,7 @@ def model_specs(specs: DataFrame) -> DataFrame:
 def parse_source(source: Column) -> tuple[Column, Column, Column]:
     """(kind, repo, revision): hf://org/repo[@revision], the revision main by default, or a path."""
     hub = source.startswith("hf://")
-    rest = F.substring(source, 6, 10_000)
+    rest = F.substr(source, F.lit(6))
     return F.when(hub, "hub").otherwise("path"), F.when(hub, F.split_part(rest, F.lit("@"), F.lit(1))).otherwise(source), F.when(hub, F.coalesce(F.nullif(F.split_part(rest, F.lit("@"), F.lit(2)), F.lit("")), F.lit("main")))
 
 
@@ -66,10 +66,11 @@ def precision_warning(precision: Column, cuda: Column) -> Column:
 
 
 def providers(setting: Column, available: Column) -> Column:
-    """cpu, cuda (null where there is none: an explicit wish doesn't degrade) or auto."""
+    """The execution providers for cpu, cuda or auto. cuda without CUDA is an error: an explicit wish doesn't degrade."""
     cuda = F.array_contains(available, "CUDAExecutionProvider")
     both = F.lit("CUDAExecutionProvider,CPUExecutionProvider")
-    return F.when(setting == "cpu", "CPUExecutionProvider").when(cuda, both).when(setting == "auto", "CPUExecutionProvider")
+    none = F.raise_error(F.lit("cuda was asked for, but there is no CUDAExecutionProvider")).cast("string")
+    return F.when(setting == "cpu", "CPUExecutionProvider").when(cuda, both).when(setting == "cuda", none).otherwise("CPUExecutionProvider")
 
 
 def plain_file_name(name: Column) -> Column:
@@ -137,8 +138,41 @@ def rolling(log: DataFrame, seconds: int = 300, chunk: int = 3600) -> DataFrame:
     return counted.filter("__copy = 0").drop("__t", "__copy", "__chunk")
 
 
-def idle_periods(log: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Residency of each model: it unloads once it has been idle for ttl. One session per stretch of requests closer than ttl."""
-    gap = F.session_window("ts", f"{ttl_seconds - 1} seconds 999999 microseconds")
-    s = log.groupBy("model", gap.alias("w")).agg(F.count("*").alias("requests"), F.min("ts").alias("loaded"), F.max("ts").alias("last_used"))
-    return s.drop("w")
+def idle_periods(log: DataFrame, ttl_seconds: int, chunk: int = 3600) -> DataFrame:
+    """Residency of each model: it unloads once it has been idle for ttl. One row per stretch of requests closer than ttl: requests, loaded,
+    last_used.
+
+    A model's log is cut into chunks of time that are searched for gaps by themselves, so one task never sorts all of one model. What remains
+    of a chunk is a row per stretch; neighbouring chunks' stretches are then joined where they are closer than ttl.
+    """
+    size = max(chunk, ttl_seconds) * 1_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.lit(ttl_seconds * 1_000_000)
+
+    def stretches(rows: DataFrame, first: str, last: str, *key: str) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy(first, last)
+        opens = F.coalesce(F.col(first) - F.lag(last).over(w) >= gap, F.lit(True)).cast("long")
+        return rows.withColumn("_open", opens).withColumn("_k", F.sum("_open").over(w))
+
+    own = log.select("model", "ts", t.alias("_t"), F.floor(t / size).alias("_chunk"))
+    small = stretches(own, "_t", "_t", "model", "_chunk").groupBy("model", "_chunk", "_k").agg(F.count("*").alias("requests"), F.min("ts").alias("loaded"), F.max("ts").alias("last_used"), F.min("_t").alias("_a"), F.max("_t").alias("_z"))
+    joined = stretches(small.drop("_k"), "_a", "_z", "model").groupBy("model", "_k").agg(F.sum("requests").alias("requests"), F.min("loaded").alias("loaded"), F.max("last_used").alias("last_used"))
+    return joined.drop("_k")
+
+
+def throughput(log: DataFrame, tokens_per_request: Column) -> DataFrame:
+    """model, per_s (requests a second over the log's span), tokens_per_s (mean tokens times requests over the span) and local_tokens_per_s (tokens
+    over the mean time of a request). Models with one request have no span."""
+    g = log.withColumns({"_us": F.unix_micros(F.col("ts").cast("timestamp")), "_n": tokens_per_request}).groupBy("model")
+    g = g.agg(F.count("*").alias("n"), ((F.max("_us") - F.min("_us")) / 1e6).alias("span"), F.avg("_n").alias("mean"), F.avg("ms").alias("ms"))
+    return g.filter("n > 1 AND span > 0").select("model", (F.col("n") / F.col("span")).alias("per_s"), (F.col("mean") * F.col("n") / F.col("span")).alias("tokens_per_s"), (F.col("mean") / (F.col("ms") / 1000)).alias("local_tokens_per_s"))
+
+
+def totals(log: DataFrame) -> DataFrame:
+    """model, requests, failures and active: requests still under way at the log's last moment, from start (ts) and duration (ms); null durations are
+    still under way."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    last = log.groupBy("model").agg(F.max("ts").alias("_last"))
+    rows = log.join(last.withColumnRenamed("model", "_m"), F.col("model").eqNullSafe(F.col("_m")))
+    busy = F.col("ms").isNull() | (start + F.col("ms") * 1000 > F.unix_micros(F.col("_last").cast("timestamp")))
+    return rows.groupBy("model").agg(F.count("*").alias("requests"), F.count_if("failed").alias("failures"), F.count_if(busy).alias("active"))

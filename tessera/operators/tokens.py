@@ -1,4 +1,7 @@
-"""Tokens and windows. Every frame is keyed by doc_id and dealt by it once; later windows and groups reuse that."""
+"""Tokens and windows. Every frame is keyed by doc_id and dealt by it once; later windows and groups reuse that.
+
+doc_id may be of any type: pieces of documents have a struct there, which says where they stand.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +23,8 @@ def step(window: int = WINDOW) -> int:
 
 
 def scrubbed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", scrub(F.coalesce("text", F.lit(""))).alias("text"))
+    """(doc_id, text, next): next is the character behind the text, none for whole documents."""
+    return docs.select("doc_id", scrub(F.coalesce("text", F.lit(""))).alias("text"), F.lit("").alias("next"))
 
 
 def word_tokens(texts: DataFrame) -> DataFrame:
@@ -28,9 +32,10 @@ def word_tokens(texts: DataFrame) -> DataFrame:
     after: the first character behind it."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(parts, "doc_id")  # a fixed number: texts are small beside what grows from them
-    pieces = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{WS}]*[^{WS}]+"), F.lit(0))).alias("tok", "piece"))
+    pieces = dealt.select("doc_id", "next", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{WS}]*[^{WS}]+"), F.lit(0))).alias("tok", "piece"))
     w = Window.partitionBy("doc_id").orderBy("tok")
-    rows = pieces.withColumns({"end": F.sum(F.length("piece")).over(w), "after": F.substring(F.lead("piece", 1, "").over(w), 1, 1), "word": trim_left(F.col("piece"))})
+    after = F.coalesce(F.substring(F.lead("piece").over(w), 1, 1), "next")
+    rows = pieces.select("doc_id", "tok", "piece", F.sum(F.length("piece")).over(w).alias("end"), after.alias("after"), trim_left(F.col("piece")).alias("word"))
     return rows.withColumn("start", F.col("end") - F.length("word"))
 
 

@@ -1,34 +1,97 @@
-"""The detection pipeline: documents to typed entities, as one Catalyst plan."""
+"""The detection pipeline: documents to typed entities. With word tokens it is one Catalyst plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import emissions, spans, tokens
+from ..operators import emissions, merges, segments, spans, tokens
+from ..sources import files
 
+HASH = emissions.emit_hash()
 
-def labelled(docs: DataFrame, floor: float | None = None, window: int = tokens.WINDOW, emit: emissions.Emitter = emissions.emit_hash) -> DataFrame:
-    """Every window's tokens with prefix, tier and confidence for each head. The stimuli score a word by itself, so windows copy labels."""
-    words = tokens.with_window_range(tokens.word_tokens(tokens.scrubbed(docs)), window)
-    return tokens.in_windows(spans.with_labels(emissions.decode(emit(words), floor)))
 
+def decoded(texts: DataFrame, floor: float | None = None, emitter: emissions.Emitter = HASH) -> DataFrame:
+    """Every token's label, prefix, tier and confidence for each head, before windows copy it."""
+    n = max(len(x) for _, x in emitter.space.heads.values())
+    return spans.with_labels(emissions.decode(emitter.score(texts), floor, emitter.temperatures, n), emitter.space)
 
-def raw_spans(docs: DataFrame, floor: float | None = None, window: int = tokens.WINDOW, emit: emissions.Emitter = emissions.emit_hash) -> DataFrame:
-    """Every window's spans, with attributes."""
-    return spans.attributes(spans.spans(labelled(docs, floor, window, emit)))
+
+def labelled(docs: DataFrame, floor: float | None = None, emitter: emissions.Emitter = HASH) -> DataFrame:
+    """Every window's tokens with prefix, tier and confidence for each head."""
+    return tokens.in_windows(decoded(tokens.scrubbed(docs), floor, emitter))
+
+
+def text_spans(texts: DataFrame, floor: float | None = None, emitter: emissions.Emitter = HASH, inword: int = 0, proclitics: bool = False, threshold: float | None = None) -> DataFrame:
+    """texts (doc_id, text, next) -> every window's spans, with attributes; those below threshold are left out before attributes are found."""
+    rows = decoded(texts, floor, emitter)
+    if not emitter.subword:  # a span of whole words has nothing to repair
+        found = spans.spans(tokens.in_windows(spans.inside(rows)), emitter)
+        return spans.attributes(found if threshold is None else spans.confident(found, threshold), emitter)
+    candidates = texts if inword > 0 else texts.filter(merges.hebrew(F.col("text")))
+    # the model runs once: its labels are kept, and all tokens of texts that repairs may touch
+    rows = rows.join(candidates.select("doc_id", F.lit(True).alias("open")), "doc_id", "left").filter("start <> end AND (prefix <> 'O' OR open)").drop("open")
+    rows = tokens.in_windows(files.kept(rows))
+    found = repair(spans.spans(rows.filter("prefix <> 'O'"), emitter), candidates, rows, emitter, inword, proclitics)
+    return spans.attributes(found if threshold is None else spans.confident(found, threshold), emitter)
+
+
+def repair(found: DataFrame, texts: DataFrame, rows: DataFrame, emitter: emissions.Emitter, inword: int, proclitics: bool) -> DataFrame:
+    """found with the repairs of each window's list, where the text is among texts. What has grown averages anew over the tokens it overlaps."""
+    fields = [c for c in found.columns if c not in ("doc_id", "window_no", "span_no")]
+    item = F.struct("start", "end", "head_idx", "first_tok", *(c for c in fields if c not in ("start", "end", "head_idx", "first_tok")), F.lit(False).alias("joined"))
+    lists = found.groupBy("doc_id", "window_no").agg(F.array_sort(F.collect_list(item)).alias("e")).join(texts.select("doc_id", "text"), "doc_id", "left")
+    mended = lists.withColumn("e", F.when(F.col("text").isNull(), F.col("e")).otherwise(merges.repaired(F.col("text"), F.col("e"), inword, proclitics)))
+    mended = mended.select("doc_id", "window_no", F.explode("e").alias("e")).select("doc_id", "window_no", "e.*")
+    key = ["doc_id", "window_no", "head", "start", "end"]
+    base = [f"b{i}" for i in range(emitter.width)]
+    means = spans.overlapping(mended.filter("joined"), emitter.base(rows), *base).groupBy(*key).agg(*(F.avg(b).alias(f"n{b}") for b in base))
+    return mended.join(means, key, "left").withColumns({b: F.when(F.col("joined"), F.col(f"n{b}")).otherwise(F.col(b)) for b in base}).select("doc_id", "window_no", *fields)
+
+
+def raw_spans(docs: DataFrame, **options) -> DataFrame:
+    return text_spans(tokens.scrubbed(docs), **options)
 
 
 def whole(docs: DataFrame, **options) -> DataFrame:
     return spans.suppress(raw_spans(docs, **options))
 
 
-def analyze(docs: DataFrame, threshold: float = spans.THRESHOLD, merge: bool = True, **options) -> DataFrame:
+def sentencewise(docs: DataFrame, **options) -> DataFrame:
+    """Entities of each sentence-sized piece by itself, suppressed in the piece and then in the document."""
+    pieces = segments.as_texts(segments.piece_rows(tokens.scrubbed(docs)))
+    return spans.suppress(segments.lifted(spans.suppress(text_spans(pieces, **options)))).drop("piece_no")
+
+
+def united(docs: DataFrame, threshold: float | None = None, **options) -> DataFrame:
+    """Entities of the whole texts, and for long texts the sure ones of the sentence pass that overlap none of them.
+
+    threshold: what the caller asks for later. Whole-text entities below it still keep extras away, so they go last.
+    """
+    long = docs.filter(F.length(F.coalesce("text", F.lit(""))) > segments.AUTO)
+    both = segments.unite(whole(docs, **options), sentencewise(long, threshold=segments.SURE, **options)).drop("extra")
+    return both if threshold is None else spans.confident(both, threshold)
+
+
+def entities(docs: DataFrame, threshold: float | None = None, segment: str = "none", **options) -> DataFrame:
+    """Entities in internal form. segment: none (whole texts), sentence (piece by piece) or auto (both, for long texts).
+
+    For none and sentence the threshold comes before overlap suppression, because there it does not count: an entity never yields to a less
+    confident one.
+    """
+    if segment not in ("none", "sentence", "auto"):
+        raise ValueError(f"segment must be none, sentence or auto, not {segment!r}")
+    return {"none": whole, "sentence": sentencewise, "auto": united}[segment](docs, threshold=threshold, **options)
+
+
+def analyze(docs: DataFrame, threshold: float = spans.THRESHOLD, merge: bool = True, segment: str = "none", emitter: emissions.Emitter = HASH, **options) -> DataFrame:
     """documents (doc_id, text) -> entities in public form.
 
-    The threshold comes before name merging, as that order counts. It comes before overlap suppression because there it does not: an entity
-    never yields to a less confident one.
+    The threshold comes before name merging, as that order counts. emitter: where scores come from; options: floor, inword and proclitics.
     """
-    found = spans.suppress(spans.confident(raw_spans(docs, **options), threshold))
+    found = entities(docs, threshold=threshold, segment=segment, emitter=emitter, **options)
     if merge:
         found = spans.merge_names(found)
-    return spans.projected(found)
+    return spans.projected(found, emitter.space)
+
+

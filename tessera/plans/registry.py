@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels, text
-from ..operators import emissions, merges, segments, service, spans, tokens
+from ..operators import emissions, golden, merges, segments, service, spans, tokens
 from ..sources import files
 from ..streaming import analyze as streams
 from . import detect, oracle
@@ -89,17 +90,20 @@ def validate_request(spark, sf):
     return _requests(spark, sf).select("request_id", service.request_status(["v1.1", "v1.3"], 2, 5000).alias("status"))
 
 
-_LABELS = labels.label_rows()
+_LABELS = labels.DEFAULT.label_rows()
 
 
 @query(f"SELECT * FROM {_values(_LABELS, 'head, head_idx, label_id, label, prefix, tier')}")
 def src_label_space(spark, sf):
-    return labels.label_dim(spark)
+    """The label space of a YAML file."""
+    folder = files.scratch(spark)
+    files.put(spark, f"{folder}/own.yaml", labels.DEFAULT_TEXT)
+    return labels.label_dim(spark, files.label_space(spark, f"{folder}/own.yaml"))
 
 
-@query(f"SELECT attr, class_id, class, head FROM {_values(labels.attribute_rows(), 'attr, class_id, class, head')}")
+@query(f"SELECT attr, class_id, class, head FROM {_values(labels.DEFAULT.attribute_rows(), 'attr, class_id, class, head')}")
 def src_attributes(spark, sf):
-    return _rows(spark, "attr string, class_id int, class string, head string", labels.attribute_rows())
+    return _rows(spark, "attr string, class_id int, class string, head string", labels.DEFAULT.attribute_rows())
 
 
 _SPECS = [("a", "v1.3=/m/v1.3, v1.10=/m/v1.10,v1.6=hf://org/repo@r2"), ("b", "x=/m/x,,broken,y="), ("c", "v2=hf://org/two,v2=/m/two"), ("d", "plain=/m/plain,v0=/m/v0")]
@@ -163,14 +167,17 @@ def guard_labels_file(spark, sf):
     return _rows(spark, "name string", _NAMES).select("name", service.plain_file_name(F.col("name")).alias("plain"))
 
 
-_MANIFEST = "SELECT doc_id AS file, CASE WHEN doc_id % 7 = 0 THEN 'bad' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 5 <> 0"
+_ARTIFACTS = [("model-fp32.onnx", "weights of the first"), ("model-q8.onnx", "weights of the second"), ("config.json", "{}")]
 
 
-@query(f"SELECT d.doc_id AS file, CASE WHEN m.sha IS NULL THEN 'skipped' WHEN m.sha = sha256(d.text) THEN 'verified' ELSE 'mismatch' END AS verdict FROM documents d LEFT JOIN ({_MANIFEST}) m ON m.file = d.doc_id")
+@query(f"SELECT file, sha256(body) AS sha256, CASE WHEN file = 'config.json' THEN 'skipped' ELSE 'verified' END AS verdict FROM {_values(_ARTIFACTS, 'file, body')}")
 def verify_sha256(spark, sf):
-    files = documents(spark, sf).select(F.col("doc_id").alias("file"), F.sha2("text", 256).alias("digest"))
-    manifest = files.filter("file % 5 <> 0").select("file", F.when(F.col("file") % 7 == 0, "bad").otherwise(F.col("digest")).alias("sha"))
-    return files.join(manifest, "file", "left").select("file", F.when(F.col("sha").isNull(), "skipped").when(F.col("sha") == F.col("digest"), "verified").otherwise("mismatch").alias("verdict"))
+    """Files in a folder against a manifest that lists the models alone."""
+    folder = files.scratch(spark)
+    for name, body in _ARTIFACTS:
+        files.put(spark, f"{folder}/{name}", body)
+    listed = _rows(spark, "file string, body string", _ARTIFACTS[:2]).select("file", F.sha2("body", 256).alias("sha256"))
+    return files.verified(spark, folder, listed)
 
 
 _MARKERS = [("o/r", "main", ["a.onnx", "b.json"], "o/r", "main", "a.onnx"), ("o/r", "r2", ["a.onnx"], "o/r", "main", "a.onnx"), ("o/r", "main", ["b.json"], "o/r", "main", "a.onnx"), ("o/x", "main", ["a.onnx"], "o/r", "main", "a.onnx")]
@@ -198,11 +205,20 @@ def _files(spark):
     return f.withColumns({"claimed": service.claimed_precision(F.col("path")), "scanned": service.scanned_precision(F.col("content")), "declared": service.manifest_precision(F.col("format"))})
 
 
-for _name, _col in (("claimed_precision", "claimed"), ("scan_precision", "scanned"), ("manifest_precision", "declared")):
+for _name, _col in (("claimed_precision", "claimed"), ("manifest_precision", "declared")):
     QUERIES[_name] = lambda spark, sf, c=_col: _files(spark).select("path", c)
     SQL[_name] = f"WITH {_FILE_SQL} SELECT path, {_col} FROM files"
 
 
+@query(f"WITH {_FILE_SQL} SELECT 'n' || (row_number() OVER () - 1) || '.onnx' AS file, scanned AS precision FROM files")
+def scan_precision(spark, sf):
+    """The same contents as files with bytes that are no text around them."""
+    folder = files.scratch(spark)
+    for i, (_, content, _) in enumerate(_FILES):
+        files.put(spark, f"{folder}/n{i}.onnx", b"\x08\xff\x00" + content.encode() + b"\xfe")
+    return files.scanned(spark, folder)
+
+
 @query(f"WITH {_FILE_SQL} SELECT path, scanned AS precision, coalesce(claimed <> scanned, false) AS mismatch FROM files")
 def resolve_precision(spark, sf):
     return _files(spark).select("path", F.col("scanned").alias("precision"), F.coalesce(F.col("claimed") != F.col("scanned"), F.lit(False)).alias("mismatch"))
@@ -222,7 +238,7 @@ def precision_warning(spark, sf):
     return _files(spark).select("path", service.precision_warning(F.col("scanned"), F.lit(True)).alias("warning"))
 
 
-_PROV = [("auto", ["CPUExecutionProvider"]), ("auto", ["CUDAExecutionProvider", "CPUExecutionProvider"]), ("cpu", ["CUDAExecutionProvider"]), ("cuda", ["CPUExecutionProvider"])]
+_PROV = [("auto", ["CPUExecutionProvider"]), ("auto", ["CUDAExecutionProvider", "CPUExecutionProvider"]), ("cpu", ["CUDAExecutionProvider"]), ("cuda", ["CUDAExecutionProvider", "CPUExecutionProvider"])]
 
 
 @query(f"SELECT setting, len(available) AS n, CASE WHEN setting = 'cpu' THEN 'CPUExecutionProvider' WHEN list_contains(available, 'CUDAExecutionProvider') THEN 'CUDAExecutionProvider,CPUExecutionProvider' WHEN setting = 'auto' THEN 'CPUExecutionProvider' END AS providers FROM {_values(_PROV, 'setting, available')}")
@@ -317,9 +333,10 @@ def window_params(spark, sf):
 _TRIM = f"regexp_replace(regexp_replace(raw, '^[{text.WS}]+', ''), '[{text.WS}]+$', '')"
 
 
-@query(f"WITH {oracle.SCRUBBED} SELECT doc_id, {_TRIM} AS surface, 5 + length(raw) - length(regexp_replace(raw, '^[{text.WS}]+', '')) AS start FROM (SELECT doc_id, substr(text, 6, 20) AS raw FROM scrubbed) q WHERE {_TRIM} <> ''")
+@query(f"WITH {oracle.SCRUBBED} SELECT doc_id, {_TRIM} AS surface, 5 + length(raw) - length(regexp_replace(raw, '^[{text.WS}]+', '')) AS start FROM (SELECT doc_id, substr(text, 6, greatest(0, length(text) - 12)) AS raw FROM scrubbed) q WHERE {_TRIM} <> ''")
 def span_trim(spark, sf):
-    surface, start, _ = text.trimmed_span(F.col("text"), F.lit(5), F.lit(25))
+    """The span of each text without its first 5 and last 7 characters."""
+    surface, start, _ = text.trimmed_span(F.col("text"), F.lit(5), F.length("text") - 7)
     return tokens.scrubbed(documents(spark, sf)).select("doc_id", surface.alias("surface"), start.cast("long").alias("start")).filter("surface <> ''")
 
 
@@ -333,30 +350,52 @@ def auto_long(spark, sf):
     return tokens.scrubbed(documents(spark, sf)).filter(F.length("text") > segments.AUTO).select("doc_id")
 
 
-def _pieces(spark, sf):
-    return segments.piece_rows(tokens.scrubbed(documents(spark, sf)))
+def _texts(spark, sf):
+    return tokens.scrubbed(documents(spark, sf))
+
+
+@query(f'WITH {oracle.SENTENCES} SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM sentences')
+def piece_trim(spark, sf):
+    """Sentences without white space at either end."""
+    return segments.sentence_rows(_texts(spark, sf)).filter("start < end").select("doc_id", "start", "end")
+
+
+@query(f'WITH RECURSIVE {oracle.PIECES} SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(tail AS BIGINT) AS "end" FROM isles')
+def piece_glue(spark, sf):
+    """Long sentences with the short ones behind them."""
+    return segments.island_rows(_texts(spark, sf)).select("doc_id", "start", F.col("tail").alias("end"))
+
+
+@query(f"WITH RECURSIVE {oracle.PIECES} SELECT doc_id, piece_no, start, \"end\", text, next FROM cutouts")
+def piece_cut(spark, sf):
+    return segments.piece_rows(_texts(spark, sf))
+
+
+def _piece_words(spark, sf):
+    return tokens.word_tokens(segments.as_texts(segments.piece_rows(_texts(spark, sf)))).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word")
 
 
-QUERIES["piece_cut"] = QUERIES["piece_glue"] = QUERIES["piece_trim"] = lambda spark, sf: _pieces(spark, sf)
+_OWNER = "tokens t JOIN cutouts c ON t.doc_id = c.doc_id || ':' || c.piece_no"
 
 
-@query()
+@query(f'WITH RECURSIVE {oracle.tokens("piecewise")} SELECT c.doc_id, c.piece_no, CAST(t.start AS BIGINT) AS start, t.word, c."end" - c.start AS length FROM {_OWNER}')
 def join_piece_owner(spark, sf):
-    """Words of each piece, shifted to the document's offsets."""
-    p = _pieces(spark, sf).withColumn("key", segments.piece_key())
-    words = tokens.word_tokens(p.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
-    owner = p.select("key", F.col("doc_id").alias("doc_id"), "piece_no", F.col("start").alias("piece_start"))
-    return words.join(owner, "key").select("doc_id", "piece_no", (F.col("start") + F.col("piece_start")).alias("start"), (F.col("end") + F.col("piece_start")).alias("end"), "word")
+    """Words of each piece with their owner and its length, in the piece's offsets."""
+    words = _piece_words(spark, sf).select("doc_id.doc_id", "doc_id.piece_no", "start", "word")
+    return words.join(segments.piece_rows(_texts(spark, sf)).select("doc_id", "piece_no", (F.col("end") - F.col("start")).alias("length")), ["doc_id", "piece_no"])
 
 
-QUERIES["shift_offsets"] = join_piece_owner
+@query(f'WITH RECURSIVE {oracle.tokens("piecewise")} SELECT c.doc_id, c.piece_no, CAST(t.start + c.start AS BIGINT) AS start, CAST(t."end" + c.start AS BIGINT) AS "end", t.word FROM {_OWNER}')
+def shift_offsets(spark, sf):
+    """Words of each piece in the document's offsets."""
+    return segments.lifted(_piece_words(spark, sf)).select("doc_id", "piece_no", "start", "end", "word")
 
 
 # ---- scores and labels
 
 
-def _decoded(spark, sf, floor=None):
-    return emissions.decode(emissions.emit_hash(tokens.with_window_range(tokens.word_tokens(tokens.scrubbed(documents(spark, sf))))), floor)
+def _decoded(spark, sf, floor=None, emitter=detect.HASH):
+    return detect.decoded(_texts(spark, sf), floor, emitter)
 
 
 _DECODED = "SELECT doc_id, CAST(tok AS BIGINT) AS tok, head, CAST(label_id AS INT) AS label_id, round(confidence, 6) AS confidence FROM decoded"
@@ -376,11 +415,13 @@ def recall_floor(spark, sf):
     return _decoded_columns(_decoded(spark, sf, 0.6).filter("rescued"))
 
 
-@query("SELECT event_id, round(exp(a / 2 - m) / t, 6) AS p0, round(exp(b / 2 - m) / t, 6) AS p1 FROM (SELECT *, exp(a / 2 - m) + exp(b / 2 - m) AS t FROM (SELECT event_id, CAST(event_id % 7 AS DOUBLE) AS a, CAST(user_id % 5 AS DOUBLE) AS b, greatest(event_id % 7, user_id % 5) / 2.0 AS m FROM events) q) r")
+_TEMPERATURES = {"PERSON": 1.5, "CITY": 0.0, "ORG": 2.5}
+
+
+@query(f"WITH {oracle.labelled(temperatures=_TEMPERATURES)} {_DECODED}")
 def softmax_temp(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.array((F.col("event_id") % 7).cast("double"), (F.col("user_id") % 5).cast("double")).alias("l"))
-    p = emissions.softmax(F.col("l"), 2.0)
-    return e.select("event_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"))
+    """Decoded with a temperature for each head, as a bundle's calibration.json has them."""
+    return _decoded_columns(_decoded(spark, sf, emitter=emissions.emit_hash(temperatures=_TEMPERATURES)))
 
 
 @query(f"WITH {oracle.labelled()} SELECT doc_id, CAST(tok AS BIGINT) AS tok, CAST(window_no AS BIGINT) AS window_no, head, prefix, tier FROM labelled WHERE prefix <> 'O'")
@@ -395,7 +436,7 @@ def join_label_dim(spark, sf):
 
 
 def _islands(spark, sf):
-    return spans.islands(detect.labelled(documents(spark, sf)))
+    return spans.islands(tokens.in_windows(spans.inside(_decoded(spark, sf))))
 
 
 _ISLAND = "doc_id, CAST(window_no AS BIGINT) AS window_no, head, CAST(tok AS BIGINT) AS tok, CAST(span_no AS BIGINT) AS span_no"
@@ -426,18 +467,27 @@ def _register_span(name: str, sql: str, frame, *more, sql_more: str = ""):
 
 
 _register_span("iob2_spans", oracle.spans(), detect.raw_spans, "surface", "tier", sql_more=", surface, tier")
-_register_span("join_token_span", oracle.spans(), detect.raw_spans, "CAST(first_tok AS BIGINT) AS first_tok", "CAST(last_tok AS BIGINT) AS last_tok", sql_more=", CAST(first_tok AS BIGINT) AS first_tok, CAST(last_tok AS BIGINT) AS last_tok")
-_register_span("span_conf_mean", oracle.spans(), detect.raw_spans, "round(confidence + 1e-9D, 5) AS confidence", sql_more=", round(confidence + 1e-9, 5) AS confidence")
+_register_span("span_conf_mean", oracle.spans(), detect.raw_spans, "confidence", sql_more=", confidence")
 _register_span("span_evidence", oracle.spans(0.6), lambda d: detect.raw_spans(d, floor=0.6), "evidence", sql_more=", evidence")
 _register_span("attr_pool", oracle.spans(), detect.raw_spans, "origin", "gender", "name_part", sql_more=", origin, gender, name_part")
-_register_span("nms_windows", oracle.suppressed(0.6), lambda d: spans.suppress(spans.confident(detect.raw_spans(d), 0.6)))
-_register_span("overlap_same_type", oracle.suppressed(None), lambda d: spans.suppress(detect.raw_spans(d)))
+_register_span("nms_windows", oracle.suppressed(0.6), lambda d: detect.entities(d, threshold=0.6))
+_register_span("overlap_same_type", oracle.suppressed(None), detect.whole)
 _register_span("threshold_gate", oracle.spans(), lambda d: spans.confident(detect.raw_spans(d)))
 SQL["threshold_gate"] += " WHERE confidence >= CAST(0.7 AS DOUBLE)"
 _register_span("auto_min_conf", oracle.spans(), lambda d: spans.confident(detect.raw_spans(d), segments.SURE))
 SQL["auto_min_conf"] += " WHERE confidence >= CAST(0.95 AS DOUBLE)"
 
 
+@query(f"""WITH {oracle.spans()} SELECT s.doc_id, CAST(s.window_no AS BIGINT) AS window_no, s.head, CAST(s.start AS BIGINT) AS start, count(*) AS n, CAST(min(t.tok) AS BIGINT) AS first_tok, CAST(max(t.tok) AS BIGINT) AS last_tok
+  FROM spans s JOIN labelled t ON t.doc_id = s.doc_id AND t.window_no = s.window_no AND t.head = s.head AND t.start < s."end" AND t."end" > s.start GROUP BY ALL""")
+def join_token_span(spark, sf):
+    """The tokens that each span overlaps."""
+    docs = documents(spark, sf)
+    both = spans.overlapping(detect.raw_spans(docs), detect.labelled(docs))
+    both = both.groupBy("doc_id", F.col("window_no").cast("long").alias("window_no"), "head", F.col("start").cast("long").alias("start"), "end")
+    return both.agg(F.count("*").alias("n"), F.min("tok").cast("long").alias("first_tok"), F.max("tok").cast("long").alias("last_tok")).drop("end")
+
+
 @query(oracle.analyzed())
 def analyze(spark, sf):
     return flagship(spark, sf)
@@ -448,20 +498,44 @@ def analyze_floor(spark, sf):
     return detect.analyze(documents(spark, sf), threshold=0.6, floor=0.6)
 
 
+@query(oracle.analyzed(threshold=0.8, segment="sentence"))
+def analyze_sentence(spark, sf):
+    return detect.analyze(documents(spark, sf), threshold=0.8, segment="sentence")
+
+
+@query(oracle.analyzed(threshold=0.8, segment="auto"))
+def analyze_auto(spark, sf):
+    return detect.analyze(documents(spark, sf), threshold=0.8, segment="auto")
+
+
 @query(f"WITH {oracle.merged(threshold=0.5)} SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", surface, gender, evidence FROM merged WHERE head = 'PERSON' AND name_part = 'full'")
 def merge_persons(spark, sf):
-    found = spans.merge_names(spans.suppress(spans.confident(detect.raw_spans(documents(spark, sf)), 0.5)))
+    found = spans.merge_names(detect.entities(documents(spark, sf), threshold=0.5))
     return found.filter("head = 'PERSON' AND name_part = 'full'").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "surface", "gender", "evidence")
 
 
-for _name, _cols in (("api_type", "type"), ("origin_region", "region"), ("city_size", "size"), ("round_conf", "confidence"), ("sort_entities", "end_index")):
+for _name, _cols in (("api_type", "type"), ("origin_region", "region"), ("city_size", "size"), ("round_conf", "confidence")):
     QUERIES[_name] = lambda spark, sf, c=_cols: flagship(spark, sf).select("doc_id", "start_index", "text", c)
     SQL[_name] = f"SELECT doc_id, start_index, text, {_cols} FROM ({oracle.analyzed()}) a"
 
 
-@query(f"SELECT doc_id, type, lang, count(*) AS n, max(confidence) AS top FROM ({oracle.analyzed()}) a JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id) GROUP BY ALL")
+_ORDER = "start_index, end_index, type, tier, text"
+
+
+@query(f"SELECT doc_id, start_index, text, type, row_number() OVER (PARTITION BY doc_id ORDER BY {_ORDER}) AS place FROM ({oracle.analyzed()}) a")
+def sort_entities(spark, sf):
+    """Entities numbered in their order."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*_ORDER.split(", "))).cast("long")
+    return flagship(spark, sf).select("doc_id", "start_index", "text", "type", place.alias("place"))
+
+
+@query(f"SELECT doc_id, lang, count(*) AS n, max(confidence) AS top, string_agg(type || '@' || start_index || '-' || end_index, ' ' ORDER BY {_ORDER}) AS entities FROM ({oracle.analyzed()}) a JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id) GROUP BY ALL")
 def doc_entities(spark, sf):
-    return flagship(spark, sf).join(documents(spark, sf).select("doc_id", "lang"), "doc_id").groupBy("doc_id", "type", "lang").agg(F.count("*").alias("n"), F.max("confidence").alias("top"))
+    """Each document's entities as one ordered list."""
+    one = F.struct(*_ORDER.split(", "))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.concat(x["type"], F.lit("@"), x["start_index"], F.lit("-"), x["end_index"])), " ")
+    found = flagship(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("top"), listed.alias("entities"))
+    return found.join(documents(spark, sf).select("doc_id", "lang"), "doc_id")
 
 
 @query(f"SELECT a.doc_id, a.start_index FROM ({oracle.analyzed()}) a JOIN documents d USING (doc_id) WHERE substr(d.text, CAST(a.start_index AS INT) + 1, CAST(a.end_index - a.start_index AS INT)) <> a.text")
@@ -471,71 +545,109 @@ def sliceback_check(spark, sf):
     return found.join(tokens.scrubbed(documents(spark, sf)).withColumnRenamed("text", "body"), "doc_id").select("doc_id", F.explode(bad).alias("x")).select("doc_id", "x.start_index")
 
 
-@query()
+_FIELDS = ("start_index", "end_index", "text", "type", "tier", "confidence", "region", "evidence", "size")
+_JSON = " || ".join(f"coalesce('{',' if i else ''}\"{c}\":' || to_json({c})::VARCHAR, '')" for i, c in enumerate(_FIELDS))
+
+
+@query(f"""SELECT doc_id, '{{"model":"stimulus","entities":[' || string_agg('{{' || {_JSON} || '}}', ',' ORDER BY {', '.join(_FIELDS)}) || ']}}' AS envelope FROM ({oracle.analyzed()}) a GROUP BY doc_id""")
 def sink_envelope(spark, sf):
     e = flagship(spark, sf)
-    item = F.struct("start_index", "end_index", "text", "type", "tier", "confidence", "region", "evidence", "size")
-    return e.groupBy("doc_id").agg(F.to_json(F.struct(F.lit("stimulus").alias("model"), F.array_sort(F.collect_list(item)).alias("entities"))).alias("envelope"))
+    return e.groupBy("doc_id").agg(F.to_json(F.struct(F.lit("stimulus").alias("model"), F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("entities"))).alias("envelope"))
 
 
-@query()
-def union_auto(spark, sf):
-    """Whole-text entities and sure entities of the sentence pass of long texts."""
+_UNITED = 'doc_id, head, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", confidence'
+
+
+def _united(spark, sf):
     docs = documents(spark, sf)
-    cols = ("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "head", "confidence")
-    base = detect.whole(docs).select(*cols)
-    p = segments.piece_rows(tokens.scrubbed(docs.filter(F.length("text") > segments.AUTO))).withColumn("key", segments.piece_key())
-    found = spans.confident(detect.raw_spans(p.select(F.col("key").alias("doc_id"), "text")), segments.SURE)
-    own = p.select("key", F.col("doc_id").alias("owner"), F.col("start").alias("offset"))
-    extra = found.join(own, found["doc_id"] == own["key"]).select(F.col("owner").alias("doc_id"), (found["start"] + F.col("offset")).cast("long").alias("start"), (found["end"] + F.col("offset")).cast("long").alias("end"), "head", "confidence")
-    return segments.unite(base, extra)
+    long = docs.filter(F.length("text") > segments.AUTO)
+    both = segments.unite(detect.whole(docs), detect.sentencewise(long, threshold=segments.SURE))
+    return both.select("doc_id", "head", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "confidence", "extra")
+
 
+@query(f"WITH {oracle.united()} SELECT {_UNITED}, extra FROM entities")
+def union_auto(spark, sf):
+    """Whole-text entities, and sure entities of the sentence pass of long texts that overlap nothing accepted so far."""
+    return _united(spark, sf)
 
-QUERIES["anti_overlap_any"] = union_auto
 
-# ---- golden comparison: two model variants' entities of the same texts
+@query(f"WITH {oracle.united()} SELECT {_UNITED} FROM either m WHERE extra AND NOT EXISTS (SELECT 1 FROM entities e WHERE e.extra AND e.doc_id = m.doc_id AND e.start = m.start AND e.\"end\" = m.\"end\" AND e.head = m.head)")
+def anti_overlap_any(spark, sf):
+    """Sure entities of the sentence pass that an accepted one keeps out."""
+    long = documents(spark, sf).filter(F.length("text") > segments.AUTO)
+    extra = detect.sentencewise(long, threshold=segments.SURE)
+    extra = extra.select("doc_id", "head", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "confidence")
+    return extra.join(_united(spark, sf).filter("extra"), ["doc_id", "head", "start", "end"], "left_anti")
+
+
+# ---- golden comparison: the flagship's entities as expected ones, a variant's as found ones
 
 
 def _golden(spark, sf):
-    key = ["doc_id", "start_index", "end_index", "type"]
-    want = detect.analyze(documents(spark, sf)).select(*key, F.col("confidence").alias("want"))
-    got = detect.analyze(documents(spark, sf), threshold=0.75).select(*key, (F.col("confidence") + 0.01).alias("got"))
-    return want, got, key
+    """The variant has another threshold and a recall floor; of its confidences some are moved beyond the tolerance and some within it, and
+    some tiers are lost."""
+    docs = documents(spark, sf)
+    got = detect.analyze(docs, threshold=0.75, floor=0.75)
+    moved = F.when(F.col("start_index") % 3 == 0, 0.01).when(F.col("start_index") % 3 == 1, 0.0005).otherwise(0.0)
+    return detect.analyze(docs), got.withColumns({"confidence": F.col("confidence") + moved, "tier": F.when(F.col("end_index") % 7 != 0, F.col("tier"))})
 
 
-_GOLD = f"w AS ({oracle.analyzed()}), g AS ({oracle.analyzed(threshold=0.75)})"
-_GOLD_KEY = "doc_id, start_index, end_index, type"
+_GOLD = f"""w AS ({oracle.analyzed()}), g AS (SELECT * REPLACE (confidence + CASE start_index % 3 WHEN 0 THEN CAST(0.01 AS DOUBLE) WHEN 1 THEN CAST(0.0005 AS DOUBLE) ELSE 0 END AS confidence, CASE WHEN end_index % 7 <> 0 THEN tier END AS tier) FROM ({oracle.analyzed(threshold=0.75, floor=0.75)}) v)"""
+_GOLD_KEY = ", ".join(golden.KEY)
+_COMPARED = f"""compared AS (SELECT {", ".join(f"coalesce(w.{k}, g.{k}) AS {k}" for k in golden.KEY)}, CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'unexpected' WHEN abs(w.confidence - g.confidence) > CAST({golden.TOLERANCE} AS DOUBLE) THEN 'drift' ELSE 'equal' END AS kind
+  FROM w FULL OUTER JOIN g ON w.doc_id = g.doc_id AND w.start_index = g.start_index AND w.end_index = g.end_index AND w.text = g.text AND w.type = g.type AND w.tier IS NOT DISTINCT FROM g.tier)"""
 
 
-@query(f"WITH {_GOLD} SELECT CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'unexpected' ELSE 'drift' END AS kind, count(*) AS n FROM w FULL OUTER JOIN g USING ({_GOLD_KEY}) GROUP BY ALL")
+@query(f"WITH {_GOLD}, {_COMPARED} SELECT * FROM compared")
 def join_golden(spark, sf):
-    want, got, key = _golden(spark, sf)
-    kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unexpected").otherwise("drift")
-    return want.join(got, key, "full").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return golden.compare(*_golden(spark, sf)).drop("delta")
 
 
-@query(f"WITH {_GOLD} SELECT {_GOLD_KEY} FROM w EXCEPT ALL SELECT {_GOLD_KEY} FROM g")
+@query(f"""WITH {_GOLD} SELECT 'missing' AS side, * FROM (SELECT {_GOLD_KEY} FROM w EXCEPT ALL SELECT {_GOLD_KEY} FROM g) a UNION ALL SELECT 'unexpected', * FROM (SELECT {_GOLD_KEY} FROM g EXCEPT ALL SELECT {_GOLD_KEY} FROM w) b
+  UNION ALL SELECT 'both', * FROM (SELECT {_GOLD_KEY} FROM w INTERSECT ALL SELECT {_GOLD_KEY} FROM g) c""")
 def except_golden(spark, sf):
-    want, got, key = _golden(spark, sf)
-    return want.select(*key).exceptAll(got.select(*key))
+    want, got = (x.select(*golden.KEY) for x in _golden(spark, sf))
+    sides = (("missing", want.exceptAll(got)), ("unexpected", got.exceptAll(want)), ("both", want.intersectAll(got)))
+    a, b, c = (rows.select(F.lit(side).alias("side"), *golden.KEY) for side, rows in sides)
+    return a.union(b).union(c)
 
 
-@query(f"WITH {_GOLD} SELECT doc_id, type, start_index FROM w EXCEPT SELECT doc_id, type, start_index FROM g")
+_GUARD = ("doc_id", "type", "start_index", "end_index")
+
+
+@query(f"WITH {_GOLD} SELECT 'missing' AS side, * FROM (SELECT {', '.join(_GUARD)} FROM w EXCEPT SELECT {', '.join(_GUARD)} FROM g) a UNION ALL SELECT 'unexpected', * FROM (SELECT {', '.join(_GUARD)} FROM g EXCEPT SELECT {', '.join(_GUARD)} FROM w) b")
 def except_guard(spark, sf):
-    want, got, _ = _golden(spark, sf)
-    return want.select("doc_id", "type", "start_index").subtract(got.select("doc_id", "type", "start_index"))
+    """What differs in type and span alone, both ways."""
+    want, got = (x.select(*_GUARD) for x in _golden(spark, sf))
+    return want.subtract(got).select(F.lit("missing").alias("side"), *_GUARD).union(got.subtract(want).select(F.lit("unexpected").alias("side"), *_GUARD))
 
 
-@query(f"WITH {_GOLD} SELECT {_GOLD_KEY} FROM (SELECT {_GOLD_KEY} FROM w EXCEPT SELECT {_GOLD_KEY} FROM g) q ORDER BY doc_id, start_index, end_index, type LIMIT 20")
+@query(f"WITH {_GOLD}, {_COMPARED} SELECT {_GOLD_KEY}, kind FROM compared WHERE kind <> 'equal' ORDER BY {_GOLD_KEY}, kind LIMIT 20")
 def limit_failures(spark, sf):
-    return except_golden(spark, sf).distinct().orderBy("doc_id", "start_index", "end_index", "type").limit(20)
+    """The first 20 failures of the strict comparison."""
+    return golden.compare(*_golden(spark, sf)).filter("kind <> 'equal'").select(*golden.KEY, "kind").orderBy(*golden.KEY, "kind").limit(20)
+
 
+#: model, its mode of self-test, precision, whether it has a golden file, and what it finds: the expected, the variant's, or nothing.
+_TESTED = [("a", "strict", "fp32", True, "same"), ("b", "warn", "fp32", True, "variant"), ("c", "warn", "q8", True, "variant"), ("d", "strict", "int4", True, "nothing"), ("e", "warn", "fp32", False, "variant"), ("f", "off", "fp32", True, "nothing"), ("g", None, "fp32", True, "same")]
 
-@query(f"WITH {_GOLD} SELECT count(*) FILTER (WHERE g.doc_id IS NULL) AS missing, count(*) FILTER (WHERE w.doc_id IS NULL) AS unexpected, CASE WHEN count(*) FILTER (WHERE g.doc_id IS NULL OR w.doc_id IS NULL) > 0 THEN 'failed' ELSE 'passed' END AS verdict FROM w FULL OUTER JOIN g USING ({_GOLD_KEY})")
+
+@query(f"""WITH {_GOLD}, {_COMPARED}, n AS (SELECT count(*) AS expected, (SELECT count(*) FROM compared WHERE kind <> 'equal') AS different,
+    (SELECT count(*) FROM (SELECT doc_id FROM w EXCEPT SELECT doc_id FROM g) x) AS empty, (SELECT count(DISTINCT doc_id) FROM w) AS cases FROM w)
+  SELECT model, strict_failures, lenient_failures, CASE WHEN mode IS NULL THEN 'not_run' WHEN mode = 'off' THEN 'off' WHEN NOT golden THEN 'skipped' WHEN (CASE WHEN precision = 'fp32' THEN strict_failures ELSE lenient_failures END) > 0 THEN 'failed' ELSE 'passed' END AS verdict
+  FROM (SELECT m.*, CASE finds WHEN 'same' THEN 0 WHEN 'variant' THEN different ELSE expected END AS strict_failures, CASE finds WHEN 'same' THEN 0 WHEN 'variant' THEN empty ELSE cases END AS lenient_failures FROM {_values(_TESTED, 'model, mode, precision, golden, finds')} m, n) q""")
 def golden_selftest(spark, sf):
-    want, got, key = _golden(spark, sf)
-    both = want.join(got, key, "full").agg(F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("unexpected"))
-    return both.withColumn("verdict", F.when(F.col("missing") + F.col("unexpected") > 0, "failed").otherwise("passed"))
+    """Each model's verdict, with the failures of the strict and of the lenient comparison."""
+    want, variant = map(files.kept, _golden(spark, sf))  # each is compared several times
+    counts = None
+    for finds, got in (("same", want), ("variant", variant), ("nothing", want.limit(0))):
+        strict = golden.compare(want, got).filter("kind <> 'equal'").agg(F.count("*").alias("strict_failures"))
+        lenient = golden.lenient_failures(want, got, _texts(spark, sf)).agg(F.count("*").alias("lenient_failures"))
+        row = strict.withColumn("finds", F.lit(finds)).join(lenient.withColumn("finds", F.lit(finds)), "finds")
+        counts = row if counts is None else counts.unionByName(row)
+    models = _rows(spark, "model string, mode string, precision string, golden boolean, finds string", _TESTED).join(counts, "finds")
+    v = golden.verdict(F.col("mode"), F.col("golden"), F.col("precision"), F.col("strict_failures"), F.col("lenient_failures"))
+    return models.select("model", "strict_failures", "lenient_failures", v.alias("verdict"))
 
 
 # ---- metrics
@@ -545,21 +657,22 @@ def _log(spark, sf):
     return service.request_log(table(spark, sf, "events"))
 
 
+_LAST = 'max(epoch_us(ts)) OVER (PARTITION BY model)'
 _LOG = "SELECT event_id, ts, user_id AS model, value AS ms, event_type = 'error' AS failed FROM events"
 
 
-@query(f"SELECT model, count(*) AS requests, count(*) FILTER (WHERE failed) AS failures FROM ({_LOG}) l GROUP BY model")
+@query(f"SELECT model, count(*) AS requests, count(*) FILTER (WHERE failed) AS failures, count(*) FILTER (WHERE ms IS NULL OR epoch_us(ts) + ms * 1000 > last) AS active FROM (SELECT *, {_LAST} AS last FROM ({_LOG}) l) q GROUP BY model")
 def metrics_totals(spark, sf):
-    return _log(spark, sf).groupBy("model").agg(F.count("*").alias("requests"), F.count_if("failed").alias("failures"))
+    return service.totals(_log(spark, sf))
 
 
 _Q = (0.5, 0.95, 0.99)
 
 
-@query("SELECT model, " + ", ".join(f"round(l[CAST(round_even(CAST({q} AS DOUBLE) * (len(l) - 1), 0) AS INT) + 1], 4) AS p{round(q * 100)}" for q in _Q) + f" FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
+@query("SELECT model, " + ", ".join(f"round(l[CAST(round_even(CAST({q} AS DOUBLE) * (len(l) - 1), 0) AS INT) + 1], 1) AS p{round(q * 100)}" for q in _Q) + f" FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
 def nearest_rank_serve(spark, sf):
     r = service.nearest_ranks(_log(spark, sf), _Q, True)
-    return r.select("model", *(F.round(f"p{round(q * 100)}", 4).alias(f"p{round(q * 100)}") for q in _Q))
+    return r.select("model", *(F.round(f"p{round(q * 100)}", 1).alias(f"p{round(q * 100)}") for q in _Q))
 
 
 @query("SELECT model, " + ", ".join(f"round(l[least(len(l) - 1, CAST(floor(CAST({q} AS DOUBLE) * len(l)) AS INT)) + 1], 4) AS p{round(q * 100)}" for q in _Q) + f", round(l[1], 4) AS low, round(l[-1], 4) AS high FROM (SELECT model, list(ms ORDER BY ms) AS l FROM ({_LOG}) l GROUP BY model) q")
@@ -568,10 +681,12 @@ def nearest_rank_bench(spark, sf):
     return r.select("model", *(F.round(f"p{round(q * 100)}", 4).alias(f"p{round(q * 100)}") for q in _Q), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query(f"SELECT model, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000000.0, 6) AS per_s FROM ({_LOG}) l GROUP BY model HAVING count(*) > 1")
+@query(f"""SELECT model, round(n / span, 6) AS per_s, round(mean * n / span, 6) AS tokens_per_s, round(mean / (ms / 1000), 4) AS local_tokens_per_s FROM
+  (SELECT model, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span, avg(event_id % 100 + 1) AS mean, avg(ms) AS ms FROM ({_LOG}) l GROUP BY model) q WHERE n > 1 AND span > 0""")
 def throughput(spark, sf):
-    g = _log(spark, sf).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).groupBy("model").agg(F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("span"))
-    return g.filter("n > 1").select("model", F.round(F.col("n") / F.col("span") * 1e6, 6).alias("per_s"))
+    """The tokens of a request are made up from its id."""
+    t = service.throughput(_log(spark, sf), F.col("event_id") % 100 + 1)
+    return t.select("model", F.round("per_s", 6).alias("per_s"), F.round("tokens_per_s", 6).alias("tokens_per_s"), F.round("local_tokens_per_s", 4).alias("local_tokens_per_s"))
 
 
 @query(f"SELECT event_id, count(*) OVER w AS n_recent FROM ({_LOG}) l WINDOW w AS (PARTITION BY model ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)")
@@ -596,33 +711,95 @@ def join_registry(spark, sf):
     return c.join(used, "model", "left").select(F.col("model"), "on_demand", F.coalesce("n", F.lit(0)).alias("requests"), state.alias("state"))
 
 
-# ---- Hebrew and in-word repairs: the test documents have no such text, so two texts are made from each id
+# ---- repairs inside words: the test documents have no such text, so texts of two words are made from each id
+
+_BEFORE, _BODY, _JOINT, _REST = ["", "ב", "וב", "שה", "xב", "גר", "וְלַ", "כשמ"], ["נחל", "צ", "ab", "ירושלים", "八千"], ["׳", "״", "'", "", "־", " ", "-", ".", "''"], ["רלי", "דקה", "cd", "出版"]
+_HEADS = ["PERSON", "CITY"]
 
-_HEBREW = "גר בבית־כהן ליד צ׳רלי ובירושלים"
+
+def _pick(n, options: list[str], every: int):
+    return F.element_at(F.array(*map(F.lit, options)), (F.floor(n / every) % len(options) + 1).cast("int"))
 
 
 def _repair_input(spark, sf):
-    """A Hebrew text for each document, with entities over parts of it."""
-    at = [(0, 2, "CITY"), (8, 11, "PERSON"), (17, 18, "PERSON"), (18, 22, "PERSON"), (25, 31, "CITY")]
-    e = F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(h).alias("head"), (F.lit(0.5) + (F.col("doc_id") % 50) / 100.0).alias("confidence"), F.lit("argmax").alias("evidence")) for a, b, h in at))
-    return documents(spark, sf).select("doc_id", F.lit(_HEBREW).alias("text"), e.alias("entities"))
+    """Eight variants of each id: a lead, a body, a joint and a rest, twice; entities over bodies and rests, some with another head."""
+    d = documents(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("v")).withColumn("n", F.col("doc_id") * 8 + F.col("v"))
+    n, entities, at = F.col("n"), [], F.lit(0)
+    parts, k = [], 0
+    for word in range(2):
+        before, body, joint, rest = (_pick(n + 3 * word, o, e) for o, e in ((_BEFORE, 1), (_BODY, 3), (_JOINT, 2), (_REST, 5)))
+        for part, marked in ((before, False), (body, True), (joint, False), (rest, True), (F.lit(" "), False)):
+            end = at + F.length(part)
+            if marked:
+                head = F.element_at(F.array(*map(F.lit, _HEADS)), F.when((n + k) % 5 == 0, 2).otherwise(1))
+                entities.append(F.struct(
+                    at.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(0).alias("head_idx"), F.lit(k).alias("first_tok"), F.lit(k).alias("last_tok"), head.alias("head"),
+                    (F.lit(0.5) + ((n + 7 * k) % 50) / 100.0).alias("confidence"), F.when((n + k) % 11 == 0, "floor").otherwise("argmax").alias("evidence"), part.alias("surface"), F.lit("").alias("after"), F.lit(False).alias("joined"),
+                ))
+                k += 1
+            parts.append(part)
+            at = end
+    return d.select("doc_id", "v", F.concat(*parts).alias("text"), F.array(*entities).alias("e"))
 
 
 def _repaired(spark, sf, repair):
-    return merges.repaired(_repair_input(spark, sf), repair).select("doc_id", F.inline("entities"))
+    rows = _repair_input(spark, sf)
+    rows = rows.select("doc_id", F.col("v").cast("long").alias("v"), F.explode(repair(F.col("text"), F.col("e"))).alias("e"))
+    return rows.select("doc_id", "v", "e.start", "e.end", "e.head", "e.surface", F.round("e.confidence", 6).alias("confidence"), "e.evidence")
+
+
+def _repair_sql(fold: str, final: str = "list") -> str:
+    pick = lambda o, e, w: f"[{', '.join(repr(x) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in o)}][((n + {3 * w}) // {e}) % {len(o)} + 1]"
+    names, k, entities, at = [], 0, [], "0"
+    for w in range(2):
+        for part, o, e in (("before", _BEFORE, 1), ("body", _BODY, 3), ("joint", _JOINT, 2), ("rest", _REST, 5)):
+            names.append(f"{pick(o, e, w)} AS {part}{w}")
+            if part in ("body", "rest"):
+                entities.append(f"""{{'s': CAST({at} AS BIGINT), 'e': CAST({at} + length({part}{w}) AS BIGINT), 'h': CASE WHEN (n + {k}) % 5 = 0 THEN 'CITY' ELSE 'PERSON' END, 'c': CAST(0.5 AS DOUBLE) + ((n + {7 * k}) % 50) / CAST(100 AS DOUBLE), 'v': CASE WHEN (n + {k}) % 11 = 0 THEN 'floor' ELSE 'argmax' END}}""")
+                k += 1
+            at += f" + length({part}{w})"
+        at += " + 1"
+    return f"""WITH made AS (SELECT doc_id, v, n, {', '.join(names)} FROM (SELECT *, doc_id * 8 + v AS n FROM (SELECT doc_id, unnest(range(0, 8)) AS v FROM documents) a) b),
+lists AS (SELECT doc_id, v, before0 || body0 || joint0 || rest0 || ' ' || before1 || body1 || joint1 || rest1 || ' ' AS text, [{', '.join(entities)}] AS l FROM made),
+folded AS (SELECT doc_id, v, text, {fold} AS l FROM lists)
+{final}"""
+
+
+_CUTS = "substr(text, CAST(acc[-1].e AS INT) + 1, CAST(x[1].s - acc[-1].e AS INT))", "substr(text, CAST(acc[-1].s AS INT) + 1, CAST(x[1].e - acc[-1].s AS INT))"
 
 
-@query()
+def _join_sql(allowed: str) -> str:
+    """A fold that joins neighbours of one head; gap and joined stand for the texts between and of both."""
+    for name, cut in zip(("gap", "whole"), _CUTS):
+        allowed = allowed.replace(name, cut)
+    return f"""list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN acc[-1].h = x[1].h AND x[1].s >= acc[-1].e AND {allowed}
+  THEN list_concat(acc[:-2], [{{'s': acc[-1].s, 'e': x[1].e, 'h': acc[-1].h, 'c': round((acc[-1].c + x[1].c) / 2, 6), 'v': CASE WHEN x[1].v = 'floor' THEN 'floor' ELSE acc[-1].v END}}]) ELSE list_concat(acc, x) END)"""
+
+
+_REPAIRED = "SELECT doc_id, v, x.s AS start, x.e AS \"end\", x.h AS head, substr(text, CAST(x.s AS INT) + 1, CAST(x.e - x.s AS INT)) AS surface, round(x.c, 6) AS confidence, x.v AS evidence FROM (SELECT doc_id, v, text, unnest(l) AS x FROM folded) q"
+_GERESH = "[" + merges.GERESH.replace("'", "''") + "]"
+_STOPS = merges._class(merges.STOPS)
+
+
+@query(_repair_sql(_join_sql(f"regexp_full_match(gap, '{_GERESH}*') AND regexp_matches(whole, '{_GERESH}') AND NOT regexp_matches(whole, '[{text.WS}]') AND (regexp_matches(substr(text, CAST(acc[-1].e AS INT), 1), '[א-ת]') OR regexp_matches(substr(text, CAST(x[1].s AS INT) + 1, 1), '[א-ת]'))"), _REPAIRED))
 def merge_geresh(spark, sf):
     return _repaired(spark, sf, merges.merge_geresh)
 
 
-@query()
+@query(_repair_sql(_join_sql(f"length(gap) <= 1 AND NOT regexp_matches(gap, '{_STOPS}') AND NOT regexp_matches(whole, '[{text.WS}]')"), _REPAIRED))
 def merge_inword(spark, sf):
-    return _repaired(spark, sf, lambda t, e: merges.merge_inword(t, e, 2))
+    return _repaired(spark, sf, lambda t, e: merges.merge_inword(t, e, 1))
+
+
+#: Letter by letter: the word so far without marks, and what stands before it.
+_WORD = "regexp_extract(substr(text, 1, CAST(x.s AS INT)), '[א-ת֑-ֽֿ-ׇׂׅׄ]*$')"
+_BARE = f"regexp_replace({_WORD}, '[֑-ֽֿ-ׇׂׅׄ]', '', 'g')"
 
 
-@query()
+@query(_repair_sql("l", f"""SELECT doc_id, v, CASE WHEN moves THEN s - length(word) ELSE s END AS start, e AS "end", h AS head, substr(text, CAST(CASE WHEN moves THEN s - length(word) ELSE s END AS INT) + 1, CAST(e - CASE WHEN moves THEN s - length(word) ELSE s END AS INT)) AS surface, round(c, 6) AS confidence, ev AS evidence FROM (
+  SELECT *, s > 0 AND regexp_full_match(substr(text, CAST(s AS INT), 2), '[א-ת][א-ת]') AND length(bare) > 0 AND regexp_full_match(bare, '(?:ו|ש|כש)?(?:ב|ל|מ|כ)?(?:ה)?')
+    AND NOT regexp_matches(substr(text, 1, CAST(s - length(word) AS INT)), '\\p{{L}}$') AND s - length(word) >= coalesce(max(e) OVER (PARTITION BY doc_id, v, h ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS moves FROM (
+  SELECT doc_id, v, text, x.s AS s, x.e AS e, x.h AS h, x.c AS c, x.v AS ev, {_WORD} AS word, {_BARE} AS bare FROM (SELECT doc_id, v, text, unnest(l) AS x FROM folded) q) r) t"""))
 def proclitic_he(spark, sf):
     return _repaired(spark, sf, merges.complete_proclitics)
 
@@ -637,22 +814,26 @@ def join_window_text(spark, sf):
 SQL["join_window_text"] = SQL["join_window_text"].replace("min(w.start)", "CAST(min(w.start) AS BIGINT)").replace('max(w."end")', 'CAST(max(w."end") AS BIGINT)')
 
 
-@query(f"WITH {oracle.labelled()} SELECT head, prefix, count(*) AS n FROM labelled WHERE start <> \"end\" GROUP BY ALL")
+@query(f"""WITH {oracle.labelled()}, real AS (SELECT doc_id, head, tok, prefix FROM (SELECT DISTINCT doc_id, head, tok, word, prefix FROM labelled) d WHERE length(word) > 2),
+  marked AS (SELECT *, prefix = 'B' OR (prefix = 'I' AND coalesce(lag(prefix) OVER (PARTITION BY doc_id, head ORDER BY tok), 'O') = 'O') AS opens FROM real) SELECT doc_id, head, count(*) AS tokens, count(*) FILTER (WHERE opens) AS spans FROM marked WHERE prefix <> 'O' GROUP BY ALL""")
 def skip_special(spark, sf):
-    return detect.labelled(documents(spark, sf)).filter("start <> end").groupBy("head", "prefix").agg(F.count("*").alias("n"))
+    """Words of one or two letters are taken for special tokens, so their neighbours meet across them."""
+    rows = _decoded(spark, sf).withColumn("end", F.when(F.length("word") > 2, F.col("end")).otherwise(F.col("start")))
+    found = spans.islands(spans.inside(spans.numbered(rows)).withColumn("window_no", F.lit(0)))
+    return found.groupBy("doc_id", "head").agg(F.count("*").alias("tokens"), F.count_if("opens").alias("spans"))
 
 
 @query(f"WITH {oracle.TOKENS} SELECT doc_id, count(*) AS n, round(exp(8.0) / (exp(8.0) + 6), 6) AS confidence FROM tokens GROUP BY doc_id")
 def emit_constant(spark, sf):
     """One PERSON entity for each word, by the constant stimulus, whose confidence has a closed form."""
-    found = detect.raw_spans(documents(spark, sf), window=10**6, emit=emissions.emit_constant)
+    found = detect.raw_spans(documents(spark, sf), emitter=emissions.emit_constant(window=10**6))
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
 
-@query()
+@query(f"""SELECT model, start_s, count(*) AS requests, count(*) FILTER (WHERE failed) AS failures, round(avg(ms), 4) AS ms FROM (SELECT *, epoch_us(ts) // 60000000 * 60 - 60 * unnest(range(0, 5)) AS start_s FROM ({_LOG}) l) q GROUP BY ALL""")
 def stream_metrics(spark, sf):
     """The latency windows of the stream, run over the whole log as one batch."""
-    return streams.latency_stream(_log(spark, sf)).select("model", F.col("w.start").alias("start"), "requests", "failures", F.round("ms", 4).alias("ms"))
+    return streams.latency_stream(_log(spark, sf)).select("model", F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_s"), "requests", "failures", F.round("ms", 4).alias("ms"))
 
 
 # ---- files, streams and benchmark helpers

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels
+from ..operators import service
+
 ENTITY = "span array<int>, text string, type string, tier string, confidence double, attrs map<string,string>"
 GOLDEN = f"text string, entities array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in ENTITY.split(', '))}>>"
 MANIFEST = "report_version string, artifacts array<struct<file:string,format:string,size_bytes:bigint,sha256:string>>"
@@ -21,6 +24,11 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     return e.select("case_text", F.col("e.span")[0].alias("start"), F.col("e.span")[1].alias("end"), "e.text", "e.type", "e.tier", "e.confidence")
 
 
+def label_space(spark: SparkSession, path: str) -> labels.LabelSpace:
+    """The label space of a YAML file anywhere that Spark reads."""
+    return labels.parse(spark.read.text(path, wholetext=True).first()[0])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.inline("artifacts"))
 
@@ -35,30 +43,56 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def verified(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """(file, sha256, verdict) of the files in a folder, against a manifest's entries (file, sha256): verified, or skipped where the manifest has none. A
+    file that differs from its entry is an error."""
+    m = entries.select("file", F.col("sha256").alias("wanted"))
+    both = artifacts(spark, path).join(F.broadcast(m), "file", "left")
+    bad = F.raise_error(F.concat(F.lit("SHA-256 differs from the manifest: "), "file")).cast("string")
+    return both.select("file", "sha256", F.when(F.col("wanted").isNull(), "skipped").when(F.col("wanted") == F.col("sha256"), "verified").otherwise(bad).alias("verdict"))
+
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """(file, precision) of the models in a folder, by what their graphs hold. A file is one cell, so up to 2 GB."""
+    models = spark.read.format("binaryFile").option("pathGlobFilter", "*.onnx").option("recursiveFileLookup", "true").load(path)
+    # Latin-1 maps each byte to a character, so names in the graph stay findable
+    return models.select(F.element_at(F.split("path", "/"), -1).alias("file"), service.scanned_precision(F.decode("content", "ISO-8859-1")).alias("precision"))
+
+
 def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master gets a local one; a cluster has to
+    name one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: it is computed once, and lost executors cost nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _path(spark: SparkSession, path: str):
     """(file system, path) of the file system that the path names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def put(spark: SparkSession, path: str, content: str) -> None:
+def put(spark: SparkSession, path: str, content: str | bytes) -> None:
     """Write one small file."""
     fs, p = _path(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(content.encode()))
+    out.write(bytearray(content.encode() if isinstance(content, str) else content))
     out.close()
 
 
