@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +45,11 @@ def version_key(name: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(-1)))
 
 
+def newest_name(names: list[str]) -> str:
+    """The same choice on a list: the highest version, the earlier of equals."""
+    return max(names, key=lambda n: [int(x) for x in re.findall(r"\d+", n)] or [-1])
+
+
 def newest(specs: DataFrame) -> DataFrame:
     """The model of the highest version in each config; the earlier of equals."""
     w = Window.partitionBy("config").orderBy(version_key(F.col("name")).desc(), "pos")
@@ -73,6 +80,27 @@ def providers(setting: Column, available: Column) -> Column:
     return F.when(setting == "cpu", "CPUExecutionProvider").when(cuda, both).when(setting == "cuda", none).otherwise("CPUExecutionProvider")
 
 
+def authorized(header: Column, key: str | None) -> Column:
+    """Whether a request may pass: any, without a key; else one whose header is "Bearer " and the key. Digests of both are compared, so time doesn't
+    tell how much is right."""
+    if key is None:
+        return F.lit(True)
+    return F.coalesce(F.sha2(header, 256) == F.sha2(F.lit(f"Bearer {key}"), 256), F.lit(False))
+
+
+def gate(log: DataFrame) -> DataFrame:
+    """event_id, model, begin_us, end_us of requests that a model serves one at a time, first come first served: each begins when it has come and the
+    one before has ended.
+
+    With the work summed up, a request ends at the largest arrival minus the work before it, plus the work up to itself; so it is two running
+    window functions. One model's requests are one sorted sequence; it spills, but does not spread.
+    """
+    w = Window.partitionBy("model").orderBy("_t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select("event_id", "model", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.greatest(F.lit(0), F.floor(F.coalesce("ms", F.lit(0.0)) * 1000)).cast("long").alias("_d"))
+    rows = rows.withColumn("_work", F.sum("_d").over(w)).withColumn("end_us", F.max(F.col("_t") - (F.col("_work") - F.col("_d"))).over(w) + F.col("_work"))
+    return rows.select("event_id", "model", (F.col("end_us") - F.col("_d")).alias("begin_us"), "end_us")
+
+
 def plain_file_name(name: Column) -> Column:
     return ~(F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")) | F.contains(name, F.lit("..")) | (name == ""))
 

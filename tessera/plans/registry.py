@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import config
 from ..functions import labels, text
 from ..operators import emissions, golden, merges, segments, service, spans, tokens
-from ..sources import files
+from ..sources import files, onnx
 from ..streaming import analyze as streams
 from . import detect, oracle
 
@@ -916,3 +918,89 @@ def synth_text(spark, sf):
     """Texts of a wanted number of words, made from given sentences."""
     least = F.col("doc_id") % 60
     return documents(spark, sf).select("doc_id", text.synthetic(_SENTENCES, _WORDS, least, least + F.col("doc_id") % 3 * 4).alias("text"))
+
+
+# ---- settings, access, model life
+
+_ENVS = [
+    ("plain", [("MODELS", "v1.3=/m/a, v1.10=/m/b")], "v1.10"), ("pinned", [("MODELS", "v1.3=/m/a,v1.10=/m/b"), ("DEFAULT_MODEL", "v1.3"), ("LAZY_MODELS", "v1.10")], "v1.3"), ("none", [], None), ("twice", [("MODELS", "a=/x,a=/y")], None),
+    ("malformed", [("MODELS", "a=/x,b")], None), ("lazy default", [("MODELS", "a=/x"), ("LAZY_MODELS", "a")], None), ("unknown lazy", [("MODELS", "a=/x"), ("LAZY_MODELS", "b")], None), ("unknown default", [("MODELS", "a=/x"), ("DEFAULT_MODEL", "b")], None),
+    ("int4", [("MODELS", "a=/x"), ("PRECISION", "int4")], None), ("int4 allowed", [("MODELS", "a=/x"), ("PRECISION", "INT4"), ("ALLOW_INT4", "1")], "a"), ("precision", [("MODELS", "a=/x"), ("PRECISION", "fp8")], None),
+    ("concurrent", [("MODELS", "a=/x"), ("MAX_CONCURRENT", "2")], None), ("too small", [("MODELS", "a=/x"), ("MAX_TEXTS", "0")], None), ("no number", [("MODELS", "a=/x"), ("MAX_TEXTS", "many")], None), ("key", [("MODELS", "a=/x"), ("API_KEY", "schl\u00fcssel")], None),
+]
+
+
+@query(f"SELECT * FROM {_values([(n, d is not None, d) for n, _, d in _ENVS], 'name, valid, default_model')}")
+def settings_parse(spark, sf):
+    """Settings that are refused before anything is loaded, and the default model of the others."""
+    out = []
+    for name, env, _ in _ENVS:
+        try:
+            out.append((name, True, config.settings({f"TESSERA_{k}": v for k, v in env}).default_model))
+        except ValueError:
+            out.append((name, False, None))
+    return _rows(spark, "name string, valid boolean, default_model string", out)
+
+
+_HEADERS = [("Bearer key",), ("Bearer kez",), ("bearer key",), ("Bearer key ",), ("",), (None,)]
+
+
+@query(f"SELECT header, coalesce(header = 'Bearer key', false) AS passes, true AS open FROM {_values(_HEADERS, 'header')}")
+def require_auth(spark, sf):
+    """With a key and without one."""
+    return _rows(spark, "header string", _HEADERS).select("header", service.authorized(F.col("header"), "key").alias("passes"), service.authorized(F.col("header"), None).alias("open"))
+
+
+@query(f"""WITH RECURSIVE asked AS (SELECT event_id, model, epoch_us(ts) AS t, greatest(0, CAST(floor(coalesce(ms, 0) * 1000) AS BIGINT)) AS d, row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS k FROM ({_LOG}) l),
+  served AS (SELECT event_id, model, k, t AS begin_us, t + d AS end_us FROM asked WHERE k = 1 UNION ALL SELECT a.event_id, a.model, a.k, greatest(a.t, s.end_us), greatest(a.t, s.end_us) + a.d FROM served s JOIN asked a ON a.model = s.model AND a.k = s.k + 1)
+  SELECT event_id, model, begin_us, end_us FROM served""")
+def gate_fifo(spark, sf):
+    """When each request is served, if a model takes one at a time."""
+    return service.gate(_log(spark, sf))
+
+
+@query("SELECT range AS id, 'loaded' AS model, true AS held FROM range(0, 64)")
+def activate_once(spark, sf):
+    """Tasks ask for one model twice each; both times they get the object that their process loaded first."""
+
+    def ask(batches):
+        loads = []
+        for b in batches:
+            one, two = (onnx.activate("query", lambda: loads.append(1) or {"model": "loaded"}) for _ in range(2))
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([one["model"]] * b.num_rows), pa.array([one is two and len(loads) <= 1] * b.num_rows)], names=["id", "model", "held"])
+
+    return spark.range(0, 64, 1, 8).mapInArrow(ask, "id long, model string, held boolean")
+
+
+_SUBSET = ["config.json", "quant/model-fp32.onnx"]
+
+
+@query("SELECT * FROM (VALUES ('first', 'config.json', 'one'), ('first', 'model-fp32.onnx', 'graph'), ('again', 'config.json', 'one'), ('again', 'model-fp32.onnx', 'graph'), ('revision', 'config.json', 'two'), ('revision', 'model-fp32.onnx', 'graph')) v(run, file, body)")
+def src_bundle_acquire(spark, sf):
+    """A model copied to a cache, asked for again after its source has changed, and asked for in another revision."""
+    top, found = files.scratch(spark), None
+    for name, body in (("config.json", "one"), ("quant/model-fp32.onnx", "graph"), ("training.log", "not served")):
+        files.put(spark, f"{top}/source/{name}", body)
+    for run, revision in (("first", "main"), ("again", "main"), ("revision", "r2")):
+        folder = files.acquire(spark, f"{top}/source", f"{top}/cache", "m", _SUBSET, revision)
+        files.put(spark, f"{top}/source/config.json", "two")
+        rows = [(run, f.rsplit("/", 1)[-1], files.read(spark, f"{folder}/{f}").decode()) for f in _SUBSET]
+        found = [*(found or []), *rows]
+    return _rows(spark, "run string, file string, body string", found)
+
+
+_PAYLOADS, _LANES = [("S", 62), ("P", 317), ("L", 1136), ("D", 10000)], [1, 2, 4]
+
+
+@query(f"""SELECT payload, lanes, CAST(least AS BIGINT) AS least, (SELECT min(j) FROM range(0, 3000) r(j) WHERE {_SUM.format('j')} >= least) AS sentences FROM {_values(_PAYLOADS, 'payload, least')} p, (SELECT unnest({_LANES}) AS lanes) l""")
+def bench_cells(spark, sf):
+    """The cells of a benchmark: each payload, filled up with sentences to its size, with each number of lanes."""
+    cells = _rows(spark, "payload string, least long", _PAYLOADS).withColumn("lanes", F.explode(F.array(*map(F.lit, _LANES))))
+    made = text.synthetic(_SENTENCES, _WORDS, F.col("least"), F.col("least") + 1000)
+    return cells.select("payload", "lanes", "least", F.regexp_count(made, F.lit(r"[.!?]")).cast("long").alias("sentences"))
+
+
+@query("SELECT name, true AS known FROM (VALUES ('cpus'), ('machine'), ('memory_mb'), ('python'), ('spark'), ('system')) v(name)")
+def src_fingerprint(spark, sf):
+    """The machine that a benchmark ran on, without its name."""
+    return _rows(spark, "name string, value string", sorted(files.fingerprint(spark).items())).select("name", (F.length("value") > 0).alias("known"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import platform
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +67,11 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master gets a local one; a cluster has to
     name one."""
@@ -70,8 +79,7 @@ def scratch(spark: SparkSession) -> str:
     if not top:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _local_folder()
     return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
@@ -96,6 +104,44 @@ def put(spark: SparkSession, path: str, content: str | bytes) -> None:
     out.close()
 
 
+def read(spark: SparkSession, path: str) -> bytes:
+    """One small file's content, on the driver."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def acquire(spark: SparkSession, source: str, cache: str, name: str, wanted: list[str], revision: str = "main") -> str:
+    """The folder of a model's files: cache/name, copied from source unless its marker names the same source, revision and files and they are there.
+
+    The copy is staged beside it and renamed at the end, so a half copy is never taken for a model. A missing file is an error.
+    """
+    folder, note = f"{cache}/{name}", f"{cache}/{name}/installed.json"
+    fs, to = _path(spark, folder)
+    if exists(spark, note):
+        m = json.loads(read(spark, note))
+        if (m["repo"], m["revision"]) == (source, revision) and set(wanted) <= set(m["files"]) and all(exists(spark, f"{folder}/{f}") for f in wanted):
+            return folder
+    staged = f"{cache}/.{name}-{uuid.uuid4().hex}"
+    for f in wanted:
+        from_fs, p = _path(spark, f"{source}/{f}")
+        _, q = _path(spark, f"{staged}/{f}")
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, p, fs, q, False, spark.sparkContext._jsc.hadoopConfiguration())
+    put(spark, f"{staged}/installed.json", json.dumps({"name": name, "repo": source, "revision": revision, "files": sorted(wanted)}))
+    fs.delete(to, True)
+    fs.rename(_path(spark, staged)[1], to)
+    return folder
+
+
+def fingerprint(spark: SparkSession) -> dict[str, str]:
+    """What a benchmark's figures depend on; not the machine's name."""
+    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 1_000_000
+    return {"system": platform.system(), "machine": platform.machine(), "cpus": str(os.cpu_count()), "memory_mb": str(memory), "python": platform.python_version(), "spark": spark.version}
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.mkdirs(p)
