@@ -19,6 +19,8 @@ SHARD_SLOTS = 256
 #: Documents whose ids a task holds at once.
 AT_ONCE = 256
 ROUNDS = 6
+#: A range of shards, which becomes one file, has about so many bytes at most, where that takes more ranges than shuffle partitions.
+RANGE_BYTES = 256_000_000
 #: A record's head; the ids follow, padded with the end-of-text id.
 HEAD = np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("tokens", "<i4")])
 
@@ -98,12 +100,16 @@ def shards(docs: DataFrame, key: str = "epoch-0", sequence: int = SEQUENCE, shar
     end-of-text id. Global slot s is record s % shard_slots of shard s // shard_slots, so a reader resumes from a slot number alone. A slot
     is the keyed Feistel permutation of the sequence's index; another key gives another order from the same tokens.
 
-    Texts are tokenised once, into the shared folder; a lost executor repeats its tasks without changing what others wrote. Then one
-    shuffle brings each shard's range of slots together; slots are uniform, so shards are even whatever the sources' sizes.
+    Texts are tokenised once, into the shared folder; a lost executor repeats its tasks without changing what others wrote. Then one shuffle
+    brings each range of slots to the partition of its number; slots are uniform, so ranges are even whatever the sources' sizes. A
+    partition packs its shards in order, one at a time, and is written as one file: files in the order of their names hold the slots in
+    theirs, and a reader skips files by the bounds of shard in them. A sequence's index is its place among the rows that the tokenising
+    tasks wrote, so another cut of the input into files gives another, equally random, order.
 
     Null and empty texts are one sequence of the end-of-text id. A null id is written as -1. Repeated rows are sequences of their own.
     An empty table gives no shard; other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = materialise(sequences(docs, sequence, vocabulary, id_col, text_col))
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a task
     order = sorted(sizes)
@@ -117,25 +123,44 @@ def shards(docs: DataFrame, key: str = "epoch-0", sequence: int = SEQUENCE, shar
     def slot(part: pd.Series, place: pd.Series) -> pd.Series:
         return pd.Series(permutation.slot(base[part.to_numpy()] + place.to_numpy()))
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
+    def packed(table: pa.Table) -> pa.RecordBatch:
         out = np.zeros(table.num_rows, record)
         out["doc_id"] = table["doc_id"].fill_null(-1).to_numpy()
         out["sequence"], out["tokens"] = table["sequence"].to_numpy(), table["tokens"].to_numpy()
         out["ids"] = END_OF_TEXT
         for r, b in enumerate(table["ids"].to_pylist()):
             out["ids"][r, : len(b) // 2] = np.frombuffer(b, "<u2")
-        payload = out.tobytes()
-        one = {"shard": table["shard"][0].as_py(), "first_slot": table["slot"][0].as_py(), "slots": len(out), "stride": record.itemsize, "tokens": int(out["tokens"].sum()), "checksum": hashlib.sha256(payload).hexdigest(), "payload": payload}
-        return pa.table({k: [v] for k, v in one.items()})
+        payload, first = out.tobytes(), table["slot"][0].as_py()
+        one = {"shard": first // shard_slots, "first_slot": first, "slots": len(out), "stride": record.itemsize, "tokens": int(out["tokens"].sum()), "checksum": hashlib.sha256(payload).hexdigest(), "payload": payload}
+        return pa.RecordBatch.from_pydict({k: [v] for k, v in one.items()})
+
+    def pack(batches):
+        """Rows come in the order of their slots; a shard leaves as soon as the next one begins."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            shard = b["slot"].to_numpy() // shard_slots
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if held and z > a and held[0]["slot"][0].as_py() // shard_slots != shard[a]:
+                    yield packed(pa.Table.from_batches(held))
+                    held = []
+                if z > a:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield packed(pa.Table.from_batches(held))
+        release()
 
-    placed = rows.withColumn("slot", slot("part", "place")).withColumn("shard", F.floor(F.col("slot") / shard_slots))
-    placed = placed.select("shard", "slot", "doc_id", "sequence", "tokens", "ids")
-    return placed.groupBy("shard").applyInArrow(pack, "shard long, first_slot long, slots long, stride long, tokens long, checksum string, payload binary")
+    shards_ = -(-total // shard_slots)
+    parts = max(1, min(shards_, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * record.itemsize // RANGE_BYTES)))
+    placed = rows.select(slot("part", "place").alias("slot"), "doc_id", "sequence", "tokens", "ids")
+    ranges = F.floor(F.floor(F.col("slot") / shard_slots) * parts / max(1, shards_)).cast("int")
+    placed = placed.withColumn("range", ranges).repartitionById(parts, F.col("range")).drop("range").sortWithinPartitions("slot")
+    return placed.mapInArrow(pack, "shard long, first_slot long, slots long, stride long, tokens long, checksum string, payload binary")
 
 
 def read_slots(spark: SparkSession, path: str, first: int, count: int, shard_slots: int = SHARD_SLOTS, sequence: int = SEQUENCE):
-    """Records of slots first .. first + count - 1 from a table written from shards(); only the shards that hold them are read."""
+    """Records of slots first .. first + count - 1 from a table written from shards(); only files whose
+    bounds of shard meet them are read."""
     record = record_type(sequence)
     wanted = spark.read.parquet(path).filter(F.col("shard").between(first // shard_slots, (first + count - 1) // shard_slots)).select("first_slot", "payload").orderBy("first_slot")
     for r in wanted.toLocalIterator():
