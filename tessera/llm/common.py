@@ -7,6 +7,7 @@ import gc
 import math
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,19 @@ BATCH_BYTES = 8_000_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master gets a local one; a cluster has to
+    name one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _local_folder()
     return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
@@ -185,9 +193,10 @@ def bucket_bits(blocks: int) -> int:
     return min(30, max(0, math.ceil(math.log2(blocks)) + 1))
 
 
-def count_keys(blocks: DataFrame, n_blocks: int, emit, full: int = FULL_EXCHANGE) -> tuple[DataFrame, dict | None]:
-    """emit(texts, doc_ids) gives the kinds of (sorted distinct keys, counts) of a block. Returns, for each block, the counts of its keys
-    over all blocks: (block, bucket, kind, counts), with the kind's sums in that bucket: total, distinct, once.
+def count_keys(blocks: DataFrame, n_blocks: int, emit, full: int = FULL_EXCHANGE, given: DataFrame | None = None) -> tuple[DataFrame, dict | None]:
+    """emit(texts, doc_ids) gives the kinds of (sorted distinct keys, counts) of a block; with given, a table with a column block,
+    emit(texts, doc_ids, the block's rows of given). Returns, for each block, the counts of its keys over all blocks: (block, bucket,
+    kind, counts), with the kind's sums in that bucket: total, distinct, once.
 
     Keys travel once, packed by block and range; a key's holders are merged in the task of its range, so that a frequent key costs
     one entry a block, however many rows have it.
@@ -198,12 +207,17 @@ def count_keys(blocks: DataFrame, n_blocks: int, emit, full: int = FULL_EXCHANGE
     """
     bits, every = bucket_bits(n_blocks), n_blocks <= full
 
-    def keys(table: pa.Table) -> pa.Table:
-        rows = key_rows(table["block"][0].as_py(), emit(table["text"].to_pylist(), table["doc_id"].to_pylist()), bits, every)
+    def keys(table: pa.Table, *more: pa.Table) -> pa.Table:
+        kinds = emit(table["text"].to_pylist(), table["doc_id"].to_pylist(), *more)
+        rows = key_rows(table["block"][0].as_py(), kinds, bits, every)
         release()
         return rows
 
-    answers = blocks.groupBy("block").applyInArrow(keys, ddl(KEYS)).groupBy("bucket", "kind").applyInArrow(_merge, ddl(ANSWERS))
+    if given is None:
+        sent = blocks.groupBy("block").applyInArrow(keys, ddl(KEYS))
+    else:
+        sent = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda a, b: keys(a, b), ddl(KEYS))
+    answers = sent.groupBy("bucket", "kind").applyInArrow(_merge, ddl(ANSWERS))
     if every:
         return answers, None
     answers = materialise(answers)

@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import FULL_EXCHANGE, answers_by_kind, chain, count_keys, ddl, in_blocks, release, word_hashes
+from .common import FULL_EXCHANGE, answers_by_kind, chain, count_keys, ddl, in_blocks, materialise, release, word_hashes
 
 END, START = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -19,43 +21,106 @@ def held_out_of(doc_ids, folds: int, fold: int) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in doc_ids], bool)
 
 
-def _block(texts, doc_ids, folds: int, fold: int):
-    """The block's tokens: local word numbers, sorted distinct word hashes, offsets; and pairs of neighbours likewise."""
-    flat, at = word_hashes(texts, [END])
-    train = np.repeat(~held_out_of(doc_ids, folds, fold), np.diff(at))
-    words, ids = np.unique(np.concatenate([flat, np.array([START], np.uint64)]), return_inverse=True)
-    start, ids = int(ids[-1]), ids[:-1].astype(np.int64)
-    before = np.concatenate([[start], ids[:-1]]).astype(np.int64) if len(ids) else ids
-    before[at[:-1]] = start
-    pairs, pair_ids = np.unique(before * len(words) + ids, return_inverse=True)
-    hashes = chain(words[pairs // len(words)], words[pairs % len(words)])
-    return words, ids, at, start, train, pairs, pair_ids, hashes
+#: A trigram is counted if both of its bigrams occur so often in training; rarer ones tell no more than their bigrams.
+SUPPORT = 2
+
+
+class Block:
+    """A block's tokens: ids of its sorted distinct words, START among them; pairs of neighbours, as before * width + word, sorted and distinct."""
+
+    def __init__(self, texts, doc_ids, folds: int, fold: int):
+        flat, self.at = word_hashes(texts, [END])
+        self.train_docs = ~held_out_of(doc_ids, folds, fold)
+        self.train = np.repeat(self.train_docs, np.diff(self.at))
+        self.words, ids = np.unique(np.concatenate([flat, np.array([START], np.uint64)]), return_inverse=True)
+        self.width, self.start, self.ids = len(self.words), int(ids[-1]), ids[:-1].astype(np.int64)
+        before = np.concatenate([[self.start], self.ids[:-1]]).astype(np.int64) if len(self.ids) else self.ids
+        before[self.at[:-1]] = self.start
+        self.pairs, self.pair_ids = np.unique(before * self.width + self.ids, return_inverse=True)
+        self.hashes = chain(self.words[self.pairs // self.width], self.words[self.pairs % self.width])
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.plain = np.flatnonzero(np.arange(self.width) != self.start)
+
+    def first(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Kinds of the first exchange: words, pairs, and the texts begun."""
+        counts = np.bincount(self.ids, weights=self.train, minlength=self.width).astype(np.int64)
+        pair_counts = np.bincount(self.pair_ids, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
+        return [(self.words[self.plain], counts[self.plain]), (self.hashes[self.order], pair_counts[self.order]), (np.array([START], np.uint64), np.array([self.train_docs.sum()], np.int64))]
+
+    def learn(self, answers: pa.Table, sums: dict | None) -> None:
+        """Corpus counts of the first exchange, and the trigrams that are worth counting: pair * width + word, sorted and distinct."""
+        (counts, self.total, self.distinct, self.once), (pair_counts, _, self.distinct_pairs, _), (begun, *_) = answers_by_kind(answers, 3, sums)
+        self.counts = np.zeros(self.width, np.int64)
+        self.counts[self.plain] = counts.astype(np.int64)
+        self.context = self.counts.copy()
+        self.context[self.start] = begun.astype(np.int64).sum()
+        self.pair_counts = np.empty(len(self.pairs), np.int64)
+        self.pair_counts[self.order] = pair_counts
+        often = (self.pair_counts >= SUPPORT)[self.pair_ids]
+        inner = np.ones(len(self.ids), bool)
+        inner[self.at[:-1]] = False  # a text's first token has no pair before it
+        self.places = np.flatnonzero(inner[1:] & often[1:] & often[:-1]) + 1
+        self.triples, self.triple_ids = np.unique(self.pair_ids[self.places - 1] * self.width + self.ids[self.places], return_inverse=True)
+        pair = self.pairs[self.triples // self.width]
+        self.triple_hashes = chain(self.words[pair // self.width], self.words[pair % self.width], self.words[self.triples % self.width])
+        self.triple_order = np.argsort(self.triple_hashes, kind="stable")
+        # whatever follows a frequent pair here, other blocks may count trigrams behind it
+        self.heads = np.unique(self.pair_ids[:-1][inner[1:] & often[:-1]])
+        self.head_order = np.argsort(self.hashes[self.heads], kind="stable")
+
+    def second(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Kinds of the second exchange: trigrams, and the pairs that any could begin with, with the sum of theirs."""
+        train = self.train[self.places]
+        counts = np.bincount(self.triple_ids, weights=train, minlength=len(self.triples)).astype(np.int64)
+        heads = np.bincount(np.searchsorted(self.heads, self.triples // self.width), weights=counts, minlength=len(self.heads)).astype(np.int64)  # 0 for some
+        return [(self.triple_hashes[self.triple_order], counts[self.triple_order]), (self.hashes[self.heads][self.head_order], heads[self.head_order])]
+
+    def learn_more(self, answers: pa.Table, sums: dict | None) -> None:
+        (counts, _, self.distinct_triples, _), (heads, _, self.distinct_heads, _) = answers_by_kind(answers, 2, sums)
+        self.triple_counts, self.head_counts = np.empty(len(self.triples), np.int64), np.empty(len(self.heads), np.int64)
+        self.triple_counts[self.triple_order], self.head_counts[self.head_order] = counts, heads
 
 
 class Automaton:
     """The backoff automaton over the n-grams of one block of documents.
 
-    States are the empty context (0) and one for each known word w (context w). A state's arc for a word carries the log10 probability of
-    a seen bigram and leads to the word's state. Where a state has no arc for a word, its failure arc leads to the empty context with the
-    log10 backoff weight, and the empty context has an arc for every word. Smoothing adds kappa observations of the unigram distribution
-    to each context: P(w | h) = (c(h w) + kappa P(w)) / (c(h) + kappa); the probability of a word never seen in training, as one
-    class, is the share of training tokens that occur once.
+    States are contexts: the empty one (0), each known word w (1 + w), and each pair that counted trigrams begin with. A state's arc for a word
+    carries the log10 probability of a seen n-gram, and leads to the longest context that the text now ends in. Where a state has no arc
+    for a word, its failure arc leads, with the log10 backoff weight, to the context without its first word: from a pair to a word, from a
+    word to the empty context, which has an arc for every word. Smoothing adds kappa observations of the shorter context's distribution
+    to each context: P(w | h) = (c(h w) + kappa P(w | shorter h)) / (c(h) + kappa), where c(h) of a pair is the sum of its counted
+    trigrams, and kappa of an order is the mean number of different words behind its contexts. The probability of a word never seen in
+    training, as one class, is the share of training tokens that occur once.
     """
 
-    def __init__(self, word_counts, pairs, pair_counts, start: int, total: int, once: int, kappa: float):
-        self.width = len(word_counts)
-        unseen = min(max(once, 1) / max(total, 1), 0.5) if total else 1.0
-        p = np.where(word_counts > 0, (1 - unseen) * word_counts / max(total, 1), unseen)
-        self.root = np.log10(p)
-        self.state = np.where(word_counts > 0, np.arange(1, self.width + 1), 0)
-        context = np.concatenate([[0], word_counts]).astype(np.float64)
-        self.fail = np.log10(kappa / (context + kappa))
-        self.fail[0] = 0.0
-        seen = (pair_counts > 0) & (word_counts[pairs // self.width] > 0)
-        h, w = pairs[seen] // self.width, pairs[seen] % self.width
-        self.arcs = (h + 1) * self.width + w  # sorted, as pairs are
-        self.weight = np.log10((pair_counts[seen] + kappa * p[w]) / (word_counts[h] + kappa))
-        self.start = start + 1 if word_counts[start] else 0
+    def __init__(self, b: Block):
+        width = b.width
+        unseen = min(max(b.once, 1) / max(b.total, 1), 0.5) if b.total else 1.0
+        p = np.where(b.counts > 0, (1 - unseen) * b.counts / max(b.total, 1), unseen)
+        two, three = max(1.0, b.distinct_pairs / (b.distinct + 1)), max(1.0, b.distinct_triples / max(1, b.distinct_heads))
+        of_pair = np.full(len(b.pairs), -1, np.int64)
+        known = b.heads[b.head_counts > 0]
+        of_pair[known] = 1 + width + np.arange(len(known))
+        of_word = np.where(b.context > 0, 1 + np.arange(width), 0)
+        h, w = b.pairs // width, b.pairs % width
+        smooth = (b.pair_counts + two * p[w]) / (b.context[h] + two)  # a context never seen has p[w]
+        sums = b.head_counts[b.head_counts > 0]
+        self.fail = np.log10(np.concatenate([[1.0], two / (b.context + two), three / (sums + three)]))
+        self.shorter = np.concatenate([[0], np.zeros(width, np.int64), of_word[w[known]]])
+        end = np.where(of_pair >= 0, of_pair, of_word[w])  # where a text that ends in the pair is
+        seen = (b.pair_counts > 0) & (b.context[h] > 0)
+        head, last = b.triples // width, b.triples % width
+        kept = b.triple_counts > 0
+        head, last, counts = head[kept], last[kept], b.triple_counts[kept]
+        tail = np.searchsorted(b.pairs, w[head] * width + last)  # the trigram's second pair, which the block has too
+        sums_of = np.zeros(len(b.pairs))
+        sums_of[b.heads] = b.head_counts
+        arcs = np.concatenate([(1 + h[seen]) * width + w[seen], of_pair[head] * width + last])
+        weight = np.log10(np.concatenate([smooth[seen], (counts + three * smooth[tail]) / (sums_of[head] + three)]))
+        to = np.concatenate([end[seen], end[tail]])
+        order = np.argsort(arcs, kind="stable")
+        self.arcs, self.weight, self.to = np.append(arcs[order], np.iinfo(np.int64).max), np.append(weight[order], 0.0), np.append(to[order], 0)
+        self.width, self.root, self.word, self.start = width, np.log10(p), of_word, int(of_word[b.start])
 
     def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """One left-to-right traversal of all texts in step: each carries its state and adds up log-probabilities."""
@@ -64,68 +129,72 @@ class Automaton:
         at, length = at[:-1][order], length[order]
         state, acc = np.full(len(order), self.start, np.int64), np.zeros(len(order))
         alive = len(order)
-        arcs = np.append(self.arcs, np.int64(-1)) if not len(self.arcs) else self.arcs
-        weight = self.weight if len(self.weight) else np.zeros(1)
         for t in range(int(length[0]) if len(length) else 0):
             while length[alive - 1] <= t:
                 alive -= 1
-            s, w = state[:alive], ids[at[:alive] + t]
-            key = s * self.width + w
-            k = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
-            acc[:alive] += np.where(arcs[k] == key, weight[k], self.fail[s] + self.root[w])
-            state[:alive] = self.state[w]
+            w = ids[at[:alive] + t]
+            open_ = np.arange(alive)
+            while len(open_):
+                s = state[open_]
+                empty = s == 0
+                done = open_[empty]
+                acc[done] += self.root[w[done]]
+                state[done] = self.word[w[done]]
+                open_, s = open_[~empty], s[~empty]
+                key = s * self.width + w[open_]
+                k = np.searchsorted(self.arcs, key)
+                hit = self.arcs[k] == key
+                on = open_[hit]
+                acc[on] += self.weight[k[hit]]
+                state[on] = self.to[k[hit]]
+                open_, s = open_[~hit], s[~hit]
+                acc[open_] += self.fail[s]
+                state[open_] = self.shorter[s]
         out = np.empty(len(order))
         out[order] = acc
         return out
 
 
-def _score(docs: pa.Table, answers: pa.Table, folds: int, fold: int, kappa: float, sums: dict | None) -> pa.Table:
-    doc_ids = docs["doc_id"].to_pylist()
-    words, ids, at, start, _, pairs, pair_ids, hashes = _block(docs["text"].to_pylist(), doc_ids, folds, fold)
-    found = answers_by_kind(answers, 3, sums)
-    counts, total, distinct, once = found[0]
-    counts = counts.astype(np.int64)
-    starts = found[2][0].astype(np.int64)
-    pair_counts = np.empty(len(pairs), np.int64)
-    pair_counts[np.argsort(hashes, kind="stable")] = found[1][0]
-    at_words = np.flatnonzero(np.arange(len(words)) != start)
-    context = np.zeros(len(words), np.int64)
-    context[at_words] = counts
-    known = np.append(0, np.cumsum(context[ids] > 0))
-    base = np.log10((context[ids] + 1) / (total + 1 * (distinct + 1)))
-    context[start] = starts.sum()
-    auto = Automaton(context, pairs, pair_counts, start, total, once, kappa)
-    sums = np.add.reduceat(base, at[:-1])  # every text has its end, so no slice is empty
-    cols = (doc_ids, held_out_of(doc_ids, folds, fold), np.diff(at), known[at[1:]] - known[at[:-1]], [total] * len(doc_ids), sums, auto.scores(ids, at))
+def _score(b: Block, doc_ids, held_out: np.ndarray) -> pa.Table:
+    known = np.append(0, np.cumsum(b.counts[b.ids] > 0))
+    base = np.log10((b.counts[b.ids] + 1) / (b.total + 1 * (b.distinct + 1)))
+    sums = np.add.reduceat(base, b.at[:-1])  # every text has its end, so no slice is empty
+    cols = (doc_ids, held_out, np.diff(b.at), known[b.at[1:]] - known[b.at[:-1]], [b.total] * len(doc_ids), sums, Automaton(b).scores(b.ids, b.at))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCORES)], schema=SCORES)
 
 
-def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, kappa: float = 100.0, full: int = FULL_EXCHANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, full: int = FULL_EXCHANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the whole text).
 
     Tokens are words (A-Z lower-cased, runs without ASCII white space) and one end. Training counts come from all documents whose
     crc32(doc_id as text) mod folds is not fold. Blocks of documents exchange packed word and bigram hashes by range and get back the
-    corpus counts of just the n-grams they hold; from these each block builds its part of the automaton and traverses its texts.
-    So the model grows with the corpus, and no task or driver holds all of it. Hashes have 64 bits.
+    corpus counts of just the n-grams they hold; then the same with the trigrams whose bigrams both occur SUPPORT times or more. From
+    these each block builds its part of the automaton and traverses its texts. So the model grows with the corpus, and no task or
+    driver holds all of it. Hashes have 64 bits.
 
     Null or empty text: the end alone. Null id: counted in training, kept as null. Repeated rows give repeated rows and count twice. With
     no training document, every token is unseen and costs nothing. An empty table gives no rows.
     """
     blocks, n_blocks = in_blocks(docs, id_col, text_col)
+    one, sums = count_keys(blocks, n_blocks, lambda texts, ids: Block(texts, ids, folds, fold).first(), full)
+    one = materialise(one)
 
-    def emit(texts, doc_ids):
-        words, ids, at, start, train, pairs, pair_ids, hashes = _block(texts, doc_ids, folds, fold)
-        counts = np.bincount(ids, weights=train, minlength=len(words)).astype(np.int64)
-        pair_counts = np.bincount(pair_ids, weights=train, minlength=len(pairs)).astype(np.int64)
-        keep, order = np.arange(len(words)) != start, np.argsort(hashes, kind="stable")
-        begun = np.array([train[at[:-1]].sum()], np.int64)
-        return [(words[keep], counts[keep]), (hashes[order], pair_counts[order]), (np.array([START], np.uint64), begun)]
+    def worthwhile(texts, ids, answers: pa.Table):
+        b = Block(texts, ids, folds, fold)
+        b.learn(answers, sums)
+        return b.second()
 
-    counts, sums = count_keys(blocks, n_blocks, emit, full)
+    two, more = count_keys(blocks, n_blocks, worthwhile, full, one)
+    both = one.withColumn("phase", F.lit(1)).unionByName(two.withColumn("phase", F.lit(2)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _score(left, right, folds, fold, kappa, sums)
+        ids = left["doc_id"].to_pylist()
+        b = Block(left["text"].to_pylist(), ids, folds, fold)
+        b.learn(right.filter(pc.equal(right["phase"], 1)), sums)
+        b.learn_more(right.filter(pc.equal(right["phase"], 2)), more)
+        rows = _score(b, ids, held_out_of(ids, folds, fold))
+        del b
         release()
         return rows
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, ddl(SCORES))
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(score, ddl(SCORES))

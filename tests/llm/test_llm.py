@@ -149,19 +149,34 @@ def test_surrogates_of_phones_in_pairs_and_ipv6():
 
 
 @pytest.mark.parametrize("full", [2048, 0])
-def test_lm_scores_by_brute_force(docs, full):
-    texts = {r.doc_id: r.text.encode().lower().split() + [None] for r in docs.collect()}
-    train = [v for i, v in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, bi = Counter(w for v in train for w in v), Counter(p for v in train for p in zip(["<s>", *v], v))
-    n, v1, kappa = sum(uni.values()), len(uni), 100.0
+def test_lm_scores_by_brute_force(spark, docs, full, monkeypatch):
+    more = [(9000 + i, "the old train left the station . the old train came back " * 3 + f"x{i % 3}") for i in range(12)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([*more, (9100, ""), (9101, None)], "doc_id long, text string"))
+    texts = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in d.collect()}
+    train = [["<s>", *v] for i, v in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni, bi = Counter(w for v in train for w in v[1:]), Counter(p for v in train for p in zip(v, v[1:]))
+    tri = Counter(t for v in train for t in zip(v, v[1:], v[2:]) if bi[t[:2]] >= 2 and bi[t[1:]] >= 2)
+    heads = Counter()
+    for t, c in tri.items():
+        heads[t[:2]] += c
+    n, v1 = sum(uni.values()), len(uni)
+    context = Counter(uni) + Counter({"<s>": len(train)})
+    two, three = max(1.0, len(bi) / (v1 + 1)), max(1.0, len(tri) / max(1, len(heads)))
     unseen = min(max(sum(c == 1 for c in uni.values()), 1) / n, 0.5)
     p1 = lambda w: (1 - unseen) * uni[w] / n if uni[w] else unseen
-    for r in ngram_lm.automaton_scores(docs, full=full).collect():
-        v = texts[r.doc_id]
-        want = sum(math.log10((bi[h, w] + kappa * p1(w)) / ((len(train) if h == "<s>" else uni[h]) + kappa)) for h, w in zip(["<s>", *v], v))
-        base = sum(math.log10((uni[w] + 1) / (n + v1 + 1)) for w in v)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(v), sum(uni[w] > 0 for w in v), n)
+    p2 = lambda h, w: (bi[h, w] + two * p1(w)) / (context[h] + two)
+    p3 = lambda g, h, w: (tri[g, h, w] + three * p2(h, w)) / (heads[g, h] + three)
+    seen = 0
+    blocks = ngram_lm.in_blocks(d, block_bytes=60_000)
+    monkeypatch.setattr(ngram_lm, "in_blocks", lambda *_: blocks)
+    for r in ngram_lm.automaton_scores(d, full=full).collect():
+        v = ["<s>", *texts[r.doc_id]]
+        want = math.log10(p2(*v[:2])) + sum(math.log10(p3(*t)) for t in zip(v, v[1:], v[2:]))
+        base = sum(math.log10((uni[w] + 1) / (n + v1 + 1)) for w in v[1:])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(v) - 1, sum(uni[w] > 0 for w in v[1:]), n)
         assert math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
+        seen += 1
+    assert seen == len(texts) and len(tri) > 20
 
 
 def test_shards_round_trip(spark, docs, tmp_path):
@@ -174,6 +189,8 @@ def test_shards_round_trip(spark, docs, tmp_path):
         parts.setdefault(int(x["doc_id"]), {})[int(x["sequence"])] = x["ids"][: x["tokens"]].tolist()
     for r in docs.collect():
         assert sum((parts[r.doc_id][k] for k in sorted(parts[r.doc_id])), []) == [*encode(r.text), END_OF_TEXT]
+    files = spark.read.parquet(path).select("shard", F.input_file_name().alias("f")).groupBy("f").agg(F.min("shard").alias("a"), F.max("shard").alias("z")).orderBy("f").collect()
+    assert len(files) > 1 and all(x.z < y.a for x, y in zip(files, files[1:]))  # files follow one another, so bounds skip all but those wanted
     some = [int(x["doc_id"]) for x in token_shards.read_slots(spark, path, 30, 7, 16, 64)]
     assert some == [int(x["doc_id"]) for x in token_shards.read_slots(spark, path, 0, total, 16, 64)][30:37]
 
@@ -227,6 +244,24 @@ def test_exact_dedup_smallest(spark, awkward):
     assert got[2].text_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("keep, fan_in, block", [("smallest", 2, 4), ("largest", 8, 8192), ("smallest", 3, 1), ("largest", 2, 30)])
+def test_exact_dedup_by_brute_force(spark, keep, fan_in, block):
+    rows = [(i if i % 17 else None, f"text {i * i % 37}" if i % 3 else "hot") for i in range(400)] + [(None, "alone"), (None, "alone")]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    best = {"smallest": min, "largest": max}[keep]
+    kept = {t: best((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted((str(i), str(kept[t]), len(groups[t]), i == kept[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep, fan_in, block).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
+
+
+def test_exact_dedup_merges_runs_without_hashing_digests(spark, docs):
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[digest" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_decontamination_catches_changed_slots_but_not_mixed_ones(spark):
     item = "A train leaves the old station at 60 km and Anna waits there for 60 minutes before going home again"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -265,3 +300,33 @@ def test_pipeline_stage_by_stage(spark, sf, docs):
         kept = after
     ids = {int(x["doc_id"]) for r in shards for x in np.frombuffer(r.payload, token_shards.record_type())}
     assert ids == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("n, stride", [(1, 5), (37, 5), (256, 16)])
+def test_slots_by_a_scalar_model(spark, tmp_path, n, stride):
+    """Slot by slot: a Feistel network over whole numbers, walked until it falls below n."""
+    d = spark.createDataFrame([(i, f"text number {i}") for i in range(n)], "doc_id long, text string").coalesce(1)
+    f = token_shards.Feistel(n, "k")
+    half, keys = int(f.half), [int(k) for k in f.keys]
+
+    def scramble(h):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = ((h ^ h >> 33) * m) % 2**64
+        return h ^ h >> 33
+
+    def slot(x):
+        while True:
+            left, right = x >> half, x % 2**half
+            for k in keys:
+                left, right = right, left ^ scramble((right + k) % 2**64) % 2**half
+            x = left << half | right
+            if x < n:
+                return x
+
+    path = str(tmp_path / "s")
+    token_shards.shards(d, key="k", shard_slots=stride).write.parquet(path)
+    got = [int(x["doc_id"]) for x in token_shards.read_slots(spark, path, 0, n, stride)]
+    want = [None] * n
+    for r in token_shards.sequences(d).collect():
+        want[slot(r.place)] = r.doc_id
+    assert got == want
