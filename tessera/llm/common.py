@@ -45,11 +45,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()  # lets Spark's cleaner drop the shuffle files of the plan just finished
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_BYTES. The JVM keeps the largest buffers it ever needed, outside its heap."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -193,10 +198,14 @@ def bucket_bits(blocks: int) -> int:
     return min(30, max(0, math.ceil(math.log2(blocks)) + 1))
 
 
-def count_keys(blocks: DataFrame, n_blocks: int, emit, full: int = FULL_EXCHANGE, given: DataFrame | None = None) -> tuple[DataFrame, dict | None]:
-    """emit(texts, doc_ids) gives the kinds of (sorted distinct keys, counts) of a block; with given, a table with a column block,
-    emit(texts, doc_ids, the block's rows of given). Returns, for each block, the counts of its keys over all blocks: (block, bucket,
-    kind, counts), with the kind's sums in that bucket: total, distinct, once.
+def sent_keys(block: int, kinds: list[tuple[np.ndarray, np.ndarray]], n_blocks: int, full: int = FULL_EXCHANGE) -> pa.Table:
+    """What a block of n_blocks sends to count_keys, with the same full: its kinds of (sorted distinct keys, counts)."""
+    return key_rows(block, kinds, bucket_bits(n_blocks), n_blocks <= full)
+
+
+def count_keys(sent: DataFrame, n_blocks: int, full: int = FULL_EXCHANGE) -> tuple[DataFrame, dict | None]:
+    """sent: all blocks' rows from sent_keys. Returns, for each block, the counts of its keys over all blocks: (block, bucket, kind,
+    counts), with the kind's sums in that bucket: total, distinct, once.
 
     Keys travel once, packed by block and range; a key's holders are merged in the task of its range, so that a frequent key costs
     one entry a block, however many rows have it.
@@ -205,20 +214,8 @@ def count_keys(blocks: DataFrame, n_blocks: int, emit, full: int = FULL_EXCHANGE
     would be a square of blocks, it has rows only where it has keys, and the second value holds the sums over all buckets:
     kind -> (total, distinct, once).
     """
-    bits, every = bucket_bits(n_blocks), n_blocks <= full
-
-    def keys(table: pa.Table, *more: pa.Table) -> pa.Table:
-        kinds = emit(table["text"].to_pylist(), table["doc_id"].to_pylist(), *more)
-        rows = key_rows(table["block"][0].as_py(), kinds, bits, every)
-        release()
-        return rows
-
-    if given is None:
-        sent = blocks.groupBy("block").applyInArrow(keys, ddl(KEYS))
-    else:
-        sent = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda a, b: keys(a, b), ddl(KEYS))
     answers = sent.groupBy("bucket", "kind").applyInArrow(_merge, ddl(ANSWERS))
-    if every:
+    if n_blocks <= full:
         return answers, None
     answers = materialise(answers)
     stats = ("total", "distinct", "once")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FULL_EXCHANGE, answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, unplanes, word_hashes
+from .common import FULL_EXCHANGE, KEYS, answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, sent_keys, unplanes, word_hashes
 
 #: Prefixes grow by up to so many tokens beyond the plain prefix filter's.
 MOST_EXTRA = 16
@@ -212,11 +212,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
     """
     blocks, n_blocks = in_blocks(docs, id_col, text_col)
 
-    def emit(texts, _):
-        keys, counts = np.unique(shingle_hashes(texts, width)[1], return_counts=True)
-        return [(keys, counts)]
+    def keys(table: pa.Table) -> pa.Table:
+        kinds = [np.unique(shingle_hashes(table["text"].to_pylist(), width)[1], return_counts=True)]
+        rows = sent_keys(table["block"][0].as_py(), kinds, n_blocks, full)
+        del kinds
+        release()
+        return rows
 
-    frequencies, _ = count_keys(blocks, n_blocks, emit, full)
+    frequencies, _ = count_keys(blocks.groupBy("block").applyInArrow(keys, ddl(KEYS)), n_blocks, full)
 
     def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = _sketch(left, right, width, percent)

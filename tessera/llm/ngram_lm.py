@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FULL_EXCHANGE, answers_by_kind, chain, count_keys, ddl, in_blocks, materialise, release, word_hashes
+from .common import FULL_EXCHANGE, KEYS, answers_by_kind, chain, count_keys, ddl, in_blocks, materialise, pack_sorted, planes, release, sent_keys, tidy, unpack_sorted, unplanes, word_hashes
 
 END, START = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -25,16 +25,28 @@ def held_out_of(doc_ids, folds: int, fold: int) -> np.ndarray:
 SUPPORT = 2
 
 
+#: A block as one row: its texts' ids, its sorted distinct words (START among them), its tokens as numbers of words, and where texts begin.
+PACKED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("words", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
+
+
+def pack_block(table: pa.Table) -> pa.Table:
+    flat, at = word_hashes(table["text"].to_pylist(), [END])
+    words, ids = np.unique(np.concatenate([flat, np.array([START], np.uint64)]), return_inverse=True)
+    one = (table["block"][0].as_py(), table["doc_id"].to_pylist(), pack_sorted(words), planes(ids[:-1].astype(np.uint32)), planes(at))
+    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(one, PACKED)], schema=PACKED)
+
+
 class Block:
-    """A block's tokens: ids of its sorted distinct words, START among them; pairs of neighbours, as before * width + word, sorted and distinct."""
-
-    def __init__(self, texts, doc_ids, folds: int, fold: int):
-        flat, self.at = word_hashes(texts, [END])
-        self.train_docs = ~held_out_of(doc_ids, folds, fold)
-        self.train = np.repeat(self.train_docs, np.diff(self.at))
-        self.words, ids = np.unique(np.concatenate([flat, np.array([START], np.uint64)]), return_inverse=True)
-        self.width, self.start, self.ids = len(self.words), int(ids[-1]), ids[:-1].astype(np.int64)
-        before = np.concatenate([[self.start], self.ids[:-1]]).astype(np.int64) if len(self.ids) else self.ids
+    """One row of PACKED, with pairs of neighbours as before * width + word, sorted and distinct."""
+
+    def __init__(self, row: dict, folds: int, fold: int):
+        self.number, self.doc_ids = row["block"], row["doc_ids"]
+        self.words, self.at = unpack_sorted(row["words"]), unplanes(row["at"], np.int64)
+        self.ids = unplanes(row["ids"], np.uint32).astype(np.int64)
+        self.held_out = held_out_of(self.doc_ids, folds, fold)
+        self.train = np.repeat(~self.held_out, np.diff(self.at))
+        self.width, self.start = len(self.words), int(np.searchsorted(self.words, np.uint64(START)))
+        before = np.concatenate([[self.start], self.ids[:-1]]).astype(np.int64)
         before[self.at[:-1]] = self.start
         self.pairs, self.pair_ids = np.unique(before * self.width + self.ids, return_inverse=True)
         self.hashes = chain(self.words[self.pairs // self.width], self.words[self.pairs % self.width])
@@ -45,7 +57,7 @@ class Block:
         """Kinds of the first exchange: words, pairs, and the texts begun."""
         counts = np.bincount(self.ids, weights=self.train, minlength=self.width).astype(np.int64)
         pair_counts = np.bincount(self.pair_ids, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
-        return [(self.words[self.plain], counts[self.plain]), (self.hashes[self.order], pair_counts[self.order]), (np.array([START], np.uint64), np.array([self.train_docs.sum()], np.int64))]
+        return [(self.words[self.plain], counts[self.plain]), (self.hashes[self.order], pair_counts[self.order]), (np.array([START], np.uint64), np.array([(~self.held_out).sum()], np.int64))]
 
     def learn(self, answers: pa.Table, sums: dict | None) -> None:
         """Corpus counts of the first exchange, and the trigrams that are worth counting: pair * width + word, sorted and distinct."""
@@ -155,11 +167,11 @@ class Automaton:
         return out
 
 
-def _score(b: Block, doc_ids, held_out: np.ndarray) -> pa.Table:
+def _score(b: Block) -> pa.Table:
     known = np.append(0, np.cumsum(b.counts[b.ids] > 0))
     base = np.log10((b.counts[b.ids] + 1) / (b.total + 1 * (b.distinct + 1)))
     sums = np.add.reduceat(base, b.at[:-1])  # every text has its end, so no slice is empty
-    cols = (doc_ids, held_out, np.diff(b.at), known[b.at[1:]] - known[b.at[:-1]], [b.total] * len(doc_ids), sums, Automaton(b).scores(b.ids, b.at))
+    cols = (b.doc_ids, b.held_out, np.diff(b.at), known[b.at[1:]] - known[b.at[:-1]], [b.total] * len(b.doc_ids), sums, Automaton(b).scores(b.ids, b.at))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCORES)], schema=SCORES)
 
 
@@ -167,32 +179,51 @@ def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, full: int =
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the whole text).
 
     Tokens are words (A-Z lower-cased, runs without ASCII white space) and one end. Training counts come from all documents whose
-    crc32(doc_id as text) mod folds is not fold. Blocks of documents exchange packed word and bigram hashes by range and get back the
-    corpus counts of just the n-grams they hold; then the same with the trigrams whose bigrams both occur SUPPORT times or more. From
-    these each block builds its part of the automaton and traverses its texts. So the model grows with the corpus, and no task or
-    driver holds all of it. Hashes have 64 bits.
+    crc32(doc_id as text) mod folds is not fold. Texts are read once, into blocks of word numbers. Blocks exchange packed word and
+    bigram hashes by range and get back the corpus counts of just the n-grams they hold; then the same with the trigrams whose bigrams
+    both occur SUPPORT times or more. From these each block builds its part of the automaton and traverses its texts. So the model
+    grows with the corpus, and no task or driver holds all of it. Hashes have 64 bits.
 
     Null or empty text: the end alone. Null id: counted in training, kept as null. Repeated rows give repeated rows and count twice. With
     no training document, every token is unseen and costs nothing. An empty table gives no rows.
     """
-    blocks, n_blocks = in_blocks(docs, id_col, text_col)
-    one, sums = count_keys(blocks, n_blocks, lambda texts, ids: Block(texts, ids, folds, fold).first(), full)
+    spark = docs.sparkSession
+    texts, n_blocks = in_blocks(docs, id_col, text_col)
+
+    def packed(table: pa.Table) -> pa.Table:
+        row = pack_block(table)
+        release()
+        return row
+
+    blocks = materialise(texts.groupBy("block").applyInArrow(packed, "block long, doc_ids array<long>, words binary, ids binary, at binary"))
+    del texts
+
+    def first(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from sent_keys(row["block"], Block(row, folds, fold).first(), n_blocks, full).to_batches()
+                release()
+
+    one, sums = count_keys(blocks.mapInArrow(first, ddl(KEYS)), n_blocks, full)
     one = materialise(one)
+    tidy(spark)  # the texts' and first keys' shuffle files
 
-    def worthwhile(texts, ids, answers: pa.Table):
-        b = Block(texts, ids, folds, fold)
-        b.learn(answers, sums)
-        return b.second()
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = Block(left.to_pylist()[0], folds, fold)
+        b.learn(right, sums)
+        rows = sent_keys(b.number, b.second(), n_blocks, full)
+        del b
+        release()
+        return rows
 
-    two, more = count_keys(blocks, n_blocks, worthwhile, full, one)
+    two, more = count_keys(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, ddl(KEYS)), n_blocks, full)
     both = one.withColumn("phase", F.lit(1)).unionByName(two.withColumn("phase", F.lit(2)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left["doc_id"].to_pylist()
-        b = Block(left["text"].to_pylist(), ids, folds, fold)
+        b = Block(left.to_pylist()[0], folds, fold)
         b.learn(right.filter(pc.equal(right["phase"], 1)), sums)
         b.learn_more(right.filter(pc.equal(right["phase"], 2)), more)
-        rows = _score(b, ids, held_out_of(ids, folds, fold))
+        rows = _score(b)
         del b
         release()
         return rows
