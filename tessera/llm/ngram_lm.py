@@ -21,8 +21,10 @@ def held_out_of(doc_ids, folds: int, fold: int) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in doc_ids], bool)
 
 
-#: A trigram is counted if both of its bigrams occur so often in training; rarer ones tell no more than their bigrams.
-SUPPORT = 2
+#: A pair is a state, and the trigrams that begin with it are counted, if it occurs so often in training.
+SUPPORT = 4
+#: Tokens of a text that the traversal takes in a row; longer texts go in slices, side by side.
+SLICE = 256
 
 
 #: A block as one row: its texts' ids, its sorted distinct words (START among them), its tokens as numbers of words, and where texts begin.
@@ -68,40 +70,34 @@ class Block:
         self.context[self.start] = begun.astype(np.int64).sum()
         self.pair_counts = np.empty(len(self.pairs), np.int64)
         self.pair_counts[self.order] = pair_counts
-        often = (self.pair_counts >= SUPPORT)[self.pair_ids]
         inner = np.ones(len(self.ids), bool)
         inner[self.at[:-1]] = False  # a text's first token has no pair before it
-        self.places = np.flatnonzero(inner[1:] & often[1:] & often[:-1]) + 1
+        self.places = np.flatnonzero(inner[1:] & (self.pair_counts >= SUPPORT)[self.pair_ids[:-1]]) + 1
         self.triples, self.triple_ids = np.unique(self.pair_ids[self.places - 1] * self.width + self.ids[self.places], return_inverse=True)
         pair = self.pairs[self.triples // self.width]
         self.triple_hashes = chain(self.words[pair // self.width], self.words[pair % self.width], self.words[self.triples % self.width])
         self.triple_order = np.argsort(self.triple_hashes, kind="stable")
-        # whatever follows a frequent pair here, other blocks may count trigrams behind it
-        self.heads = np.unique(self.pair_ids[:-1][inner[1:] & often[:-1]])
-        self.head_order = np.argsort(self.hashes[self.heads], kind="stable")
 
     def second(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Kinds of the second exchange: trigrams, and the pairs that any could begin with, with the sum of theirs."""
-        train = self.train[self.places]
-        counts = np.bincount(self.triple_ids, weights=train, minlength=len(self.triples)).astype(np.int64)
-        heads = np.bincount(np.searchsorted(self.heads, self.triples // self.width), weights=counts, minlength=len(self.heads)).astype(np.int64)  # 0 for some
-        return [(self.triple_hashes[self.triple_order], counts[self.triple_order]), (self.hashes[self.heads][self.head_order], heads[self.head_order])]
+        """The kind of the second exchange: trigrams."""
+        counts = np.bincount(self.triple_ids, weights=self.train[self.places], minlength=len(self.triples)).astype(np.int64)
+        return [(self.triple_hashes[self.triple_order], counts[self.triple_order])]
 
     def learn_more(self, answers: pa.Table, sums: dict | None) -> None:
-        (counts, _, self.distinct_triples, _), (heads, _, self.distinct_heads, _) = answers_by_kind(answers, 2, sums)
-        self.triple_counts, self.head_counts = np.empty(len(self.triples), np.int64), np.empty(len(self.heads), np.int64)
-        self.triple_counts[self.triple_order], self.head_counts[self.head_order] = counts, heads
+        ((counts, _, self.distinct_triples, _),) = answers_by_kind(answers, 1, sums)
+        self.triple_counts = np.empty(len(self.triples), np.int64)
+        self.triple_counts[self.triple_order] = counts
 
 
 class Automaton:
     """The backoff automaton over the n-grams of one block of documents.
 
-    States are contexts: the empty one (0), each known word w (1 + w), and each pair that counted trigrams begin with. A state's arc for a word
+    States are contexts: the empty one (0), each known word w (1 + w), and each pair seen SUPPORT times. A state's arc for a word
     carries the log10 probability of a seen n-gram, and leads to the longest context that the text now ends in. Where a state has no arc
     for a word, its failure arc leads, with the log10 backoff weight, to the context without its first word: from a pair to a word, from a
     word to the empty context, which has an arc for every word. Smoothing adds kappa observations of the shorter context's distribution
-    to each context: P(w | h) = (c(h w) + kappa P(w | shorter h)) / (c(h) + kappa), where c(h) of a pair is the sum of its counted
-    trigrams, and kappa of an order is the mean number of different words behind its contexts. The probability of a word never seen in
+    to each context: P(w | h) = (c(h w) + kappa P(w | shorter h)) / (c(h) + kappa), where kappa of an order is the number of different
+    n-grams counted over that of different (n-1)-grams, 1 at least. The probability of a word never seen in
     training, as one class, is the share of training tokens that occur once.
     """
 
@@ -109,15 +105,14 @@ class Automaton:
         width = b.width
         unseen = min(max(b.once, 1) / max(b.total, 1), 0.5) if b.total else 1.0
         p = np.where(b.counts > 0, (1 - unseen) * b.counts / max(b.total, 1), unseen)
-        two, three = max(1.0, b.distinct_pairs / (b.distinct + 1)), max(1.0, b.distinct_triples / max(1, b.distinct_heads))
+        two, three = max(1.0, b.distinct_pairs / (b.distinct + 1)), max(1.0, b.distinct_triples / max(1, b.distinct_pairs))
         of_pair = np.full(len(b.pairs), -1, np.int64)
-        known = b.heads[b.head_counts > 0]
+        known = np.flatnonzero(b.pair_counts >= SUPPORT)
         of_pair[known] = 1 + width + np.arange(len(known))
         of_word = np.where(b.context > 0, 1 + np.arange(width), 0)
         h, w = b.pairs // width, b.pairs % width
         smooth = (b.pair_counts + two * p[w]) / (b.context[h] + two)  # a context never seen has p[w]
-        sums = b.head_counts[b.head_counts > 0]
-        self.fail = np.log10(np.concatenate([[1.0], two / (b.context + two), three / (sums + three)]))
+        self.fail = np.log10(np.concatenate([[1.0], two / (b.context + two), three / (b.pair_counts[known] + three)]))
         self.shorter = np.concatenate([[0], np.zeros(width, np.int64), of_word[w[known]]])
         end = np.where(of_pair >= 0, of_pair, of_word[w])  # where a text that ends in the pair is
         seen = (b.pair_counts > 0) & (b.context[h] > 0)
@@ -125,26 +120,29 @@ class Automaton:
         kept = b.triple_counts > 0
         head, last, counts = head[kept], last[kept], b.triple_counts[kept]
         tail = np.searchsorted(b.pairs, w[head] * width + last)  # the trigram's second pair, which the block has too
-        sums_of = np.zeros(len(b.pairs))
-        sums_of[b.heads] = b.head_counts
         arcs = np.concatenate([(1 + h[seen]) * width + w[seen], of_pair[head] * width + last])
-        weight = np.log10(np.concatenate([smooth[seen], (counts + three * smooth[tail]) / (sums_of[head] + three)]))
+        weight = np.log10(np.concatenate([smooth[seen], (counts + three * smooth[tail]) / (b.pair_counts[head] + three)]))
         to = np.concatenate([end[seen], end[tail]])
         order = np.argsort(arcs, kind="stable")
         self.arcs, self.weight, self.to = np.append(arcs[order], np.iinfo(np.int64).max), np.append(weight[order], 0.0), np.append(to[order], 0)
         self.width, self.root, self.word, self.start = width, np.log10(p), of_word, int(of_word[b.start])
+        self.after = end[b.pair_ids]
 
     def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """One left-to-right traversal of all texts in step: each carries its state and adds up log-probabilities."""
-        length = np.diff(at)
+        """One left-to-right traversal of all texts in step: each carries its state and adds up log-probabilities. The last two words give the
+        state, so a long text's slices begin in theirs and walk side by side."""
+        begin = np.concatenate([np.arange(a, z, SLICE) for a, z in zip(at[:-1], at[1:])]) if len(at) > 1 else np.empty(0, np.int64)
+        first = np.isin(begin, at[:-1])
+        length = np.diff(np.append(begin, len(ids)))
         order = np.argsort(-length, kind="stable")
-        at, length = at[:-1][order], length[order]
-        state, acc = np.full(len(order), self.start, np.int64), np.zeros(len(order))
+        sorted_at, length = begin[order], length[order]
+        state = np.where(first, self.start, self.after[begin - 1])[order]
+        acc = np.zeros(len(order))
         alive = len(order)
         for t in range(int(length[0]) if len(length) else 0):
             while length[alive - 1] <= t:
                 alive -= 1
-            w = ids[at[:alive] + t]
+            w = ids[sorted_at[:alive] + t]
             open_ = np.arange(alive)
             while len(open_):
                 s = state[open_]
@@ -164,7 +162,7 @@ class Automaton:
                 state[open_] = self.shorter[s]
         out = np.empty(len(order))
         out[order] = acc
-        return out
+        return np.add.reduceat(out, np.flatnonzero(first)) if len(out) else out
 
 
 def _score(b: Block) -> pa.Table:
@@ -180,8 +178,8 @@ def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, full: int =
 
     Tokens are words (A-Z lower-cased, runs without ASCII white space) and one end. Training counts come from all documents whose
     crc32(doc_id as text) mod folds is not fold. Texts are read once, into blocks of word numbers. Blocks exchange packed word and
-    bigram hashes by range and get back the corpus counts of just the n-grams they hold; then the same with the trigrams whose bigrams
-    both occur SUPPORT times or more. From these each block builds its part of the automaton and traverses its texts. So the model
+    bigram hashes by range and get back the corpus counts of just the n-grams they hold; then the same with the trigrams whose
+    first two words occur together SUPPORT times or more. From these each block builds its part of the automaton and traverses its texts. So the model
     grows with the corpus, and no task or driver holds all of it. Hashes have 64 bits.
 
     Null or empty text: the end alone. Null id: counted in training, kept as null. Repeated rows give repeated rows and count twice. With
@@ -217,6 +215,8 @@ def automaton_scores(docs: DataFrame, folds: int = 7, fold: int = 2, full: int =
         return rows
 
     two, more = count_keys(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, ddl(KEYS)), n_blocks, full)
+    two = materialise(two)
+    tidy(spark)
     both = one.withColumn("phase", F.lit(1)).unionByName(two.withColumn("phase", F.lit(2)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

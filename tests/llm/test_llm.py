@@ -155,18 +155,17 @@ def test_lm_scores_by_brute_force(spark, docs, full, monkeypatch):
     texts = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in d.collect()}
     train = [["<s>", *v] for i, v in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     uni, bi = Counter(w for v in train for w in v[1:]), Counter(p for v in train for p in zip(v, v[1:]))
-    tri = Counter(t for v in train for t in zip(v, v[1:], v[2:]) if bi[t[:2]] >= 2 and bi[t[1:]] >= 2)
-    heads = Counter()
-    for t, c in tri.items():
-        heads[t[:2]] += c
+    tri = Counter(t for v in train for t in zip(v, v[1:], v[2:]) if bi[t[:2]] >= ngram_lm.SUPPORT)
+    heads = {p: c if c >= ngram_lm.SUPPORT else 0 for p, c in bi.items()}
     n, v1 = sum(uni.values()), len(uni)
     context = Counter(uni) + Counter({"<s>": len(train)})
-    two, three = max(1.0, len(bi) / (v1 + 1)), max(1.0, len(tri) / max(1, len(heads)))
+    two, three = max(1.0, len(bi) / (v1 + 1)), max(1.0, len(tri) / len(bi))
     unseen = min(max(sum(c == 1 for c in uni.values()), 1) / n, 0.5)
     p1 = lambda w: (1 - unseen) * uni[w] / n if uni[w] else unseen
     p2 = lambda h, w: (bi[h, w] + two * p1(w)) / (context[h] + two)
-    p3 = lambda g, h, w: (tri[g, h, w] + three * p2(h, w)) / (heads[g, h] + three)
+    p3 = lambda g, h, w: (tri[g, h, w] + three * p2(h, w)) / (heads.get((g, h), 0) + three)
     seen = 0
+    monkeypatch.setattr(ngram_lm, "SLICE", 50)
     blocks = ngram_lm.in_blocks(d, block_bytes=60_000)
     monkeypatch.setattr(ngram_lm, "in_blocks", lambda *_: blocks)
     for r in ngram_lm.automaton_scores(d, full=full).collect():
