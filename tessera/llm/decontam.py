@@ -119,7 +119,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containm
 
     Numbers, units and names become typed placeholders; every window of width template words of a document is looked up among the
     benchmark's windows. Windows lined up by the same shift form one occurrence, and it counts only if its slots are consistent: one
-    benchmark value always stands for the same value in the document. A document is contaminated by an item when consistent occurrences
+    benchmark value always stands for the same value in the document. The longest occurrence is taken, and others, as words put in or
+    left out shift them, as far as their slots agree with it and among each other. A document is contaminated by an item when these
     cover at least containment of the item's distinct windows. reparameterised: some slot's value differs from the benchmark's.
 
     Whether a capitalised word is a name depends on its case and on the word before, which a copy need not keep. So windows are looked up with
@@ -143,17 +144,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containm
     kept = F.transform("item_kept", lambda t: F.struct(t.alias("item_slots"), t.alias("slots")))
     pairs = F.concat(F.arrays_zip("item_slots", F.coalesce("slots", F.array().cast("array<string>")).alias("slots")), kept)
     runs = hits.groupBy("doc_id", "item_id", "way", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    steady = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    runs = runs.filter(steady).withColumn("changed", changed).join(hint(sizes), ["item_id", "way"])
-    runs = runs.filter(F.col("way").isin(0, 1) | ((F.size("covered") == F.col("wanted")) & ~(F.col("equal") & F.col("changed"))))
-    found = runs.groupBy("doc_id", "item_id", "way", "wanted").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched"), F.max("changed").alias("reparameterised"))
+    steady = lambda pairs: F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"])))
+    runs = runs.filter(steady(F.col("pairs"))).join(hint(sizes), ["item_id", "way"])
+    changed = lambda pairs: F.exists(pairs, lambda p: p["item_slots"] != p["slots"])
+    runs = runs.filter(F.col("way").isin(0, 1) | ((F.size("covered") == F.col("wanted")) & ~(F.col("equal") & changed(F.col("pairs")))))
+    # the longest occurrence first; another joins it only if its slots agree with all before, so shifted parts can't mix parameters
+    one = F.struct((-F.size("covered")).alias("k"), "shift", "covered", "pairs")
+    both = runs.groupBy("doc_id", "item_id", "way", "wanted").agg(F.sort_array(F.collect_list(one)).alias("runs"))
+    both = both.filter(F.size(F.array_distinct(F.flatten("runs.covered"))) >= containment * F.col("wanted"))
+
+    def join(acc: Column, x: Column) -> Column:
+        pairs = F.array_distinct(F.concat(acc["pairs"], x["pairs"]))
+        more = F.struct(F.array_distinct(F.concat(acc["covered"], x["covered"])).alias("covered"), pairs.alias("pairs"))
+        return F.when(steady(pairs), more).otherwise(acc)
+
+    first = F.get("runs", F.lit(0))
+    whole = F.aggregate(F.slice("runs", 2, 1 << 30), F.struct(first["covered"].alias("covered"), first["pairs"].alias("pairs")), join)
+    found = both.select("doc_id", "item_id", "way", "wanted", F.when(F.size("runs") == 1, F.struct(first["covered"].alias("covered"), first["pairs"].alias("pairs"))).otherwise(whole).alias("w"))
+    found = found.select("doc_id", "item_id", "way", "wanted", F.size("w.covered").alias("matched"), changed(F.col("w.pairs")).alias("reparameterised"))
     found = found.withColumn("containment", F.col("matched") / F.col("wanted")).filter(F.col("containment") >= containment)
     best = F.max_by(F.struct("item_id", "containment", "reparameterised"), F.struct("containment", -F.col("item_id"), -F.col("way")))
     return found.groupBy("doc_id").agg(best.alias("best")).select("doc_id", "best.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, that no benchmark item contaminates. A null id stays."""
+    """The documents, with all their columns, that no benchmark item contaminates. Rows that share an id are judged together, as one document;
+    null ids are one such id. Ids are taken as whole numbers; others raise."""
     bad = materialise(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("bad_id")))
-    return docs.join(bad, docs[id_col].cast("long") == bad["bad_id"], "left_anti")
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
