@@ -8,6 +8,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .common import materialise, text_of
 STATS = "log_words word_length letters upper digits symbols hashes pipes bangs lines distinct repeats longest_run twin_lines short_words stops".split()
 FOURIER = 160
 FOLDS = 4
+#: Sums of partitions that one task of a round adds up, and a fold's sums that reach the driver; 250 kB each at most.
+BRANCH = 32
 RIDGE = 1.0
 SEED = 20_240_501
 
@@ -107,9 +110,9 @@ def _sums(parts) -> np.ndarray:
     return np.sum([np.frombuffer(p) for p in parts], axis=0)
 
 
-def _tree_sum(rated: DataFrame, of, branch: int = 16) -> dict[int, np.ndarray]:
-    """of(stats, y) -> vector. Sum it by fold: once in each partition, then by groups of partitions, then on the driver, which gets
-    FOLDS * branch rows whatever the number of partitions."""
+def _tree_sum(rated: DataFrame, of, branch: int = BRANCH) -> dict[int, np.ndarray]:
+    """of(stats, y) -> vector. Sum it by fold: once in each partition, then in rounds that make one of at most `branch` sums each, until `branch` rows
+    of a fold are left, which the driver adds up."""
 
     def partial(batches):
         sums: dict[int, np.ndarray] = {}
@@ -118,12 +121,18 @@ def _tree_sum(rated: DataFrame, of, branch: int = 16) -> dict[int, np.ndarray]:
                 v = of(_matrix(g["stats"]), g["y"].to_numpy(float))
                 sums[fold] = sums[fold] + v if fold in sums else v
         if sums:
-            yield pd.DataFrame({"fold": list(sums), "v": [v.tobytes() for v in sums.values()]})
+            yield pd.DataFrame({"fold": list(sums), "part": TaskContext.get().partitionId(), "v": [v.tobytes() for v in sums.values()]})
 
-    merge = lambda g: pd.DataFrame({"fold": g["fold"].iloc[:1], "v": [_sums(g["v"]).tobytes()]})
-    parts = rated.mapInPandas(partial, "fold int, v binary").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(branch)))
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fold": g["fold"].iloc[:1], "part": g["part"].iloc[:1] // branch, "v": [_sums(g["v"]).tobytes()]})
+
+    parts = materialise(rated.mapInPandas(partial, "fold int, part long, v binary"))
+    last = parts.agg(F.max("part")).first()[0] or 0
+    while last >= branch:
+        parts = materialise(parts.groupBy("fold", F.floor(F.col("part") / branch)).applyInPandas(merge, "fold int, part long, v binary"))
+        last //= branch
     out: dict[int, list[bytes]] = {}
-    for r in parts.groupBy("fold", "branch").applyInPandas(merge, "fold int, v binary").collect():
+    for r in parts.orderBy("fold", "part").collect():
         out.setdefault(r["fold"], []).append(bytes(r["v"]))
     return {k: _sums(v) for k, v in out.items()}
 
