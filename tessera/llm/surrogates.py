@@ -18,6 +18,10 @@ KEY = "surrogate-key-1"
 #: Entities whose first surrogate was taken are passed to tasks as one table up to this number, and joined to their documents beyond.
 OVERRIDES_ON_DRIVER = 50_000
 ROUNDS = 8
+#: From this attempt on, a replacement need not have its entity's shape; after so many attempts, there is something wrong.
+WIDEN, MOST_ATTEMPTS = 4, 64
+#: Entities that one task replaces; they are few bytes each, so their number says more than their size.
+ENTITIES_PER_TASK = 5_000
 
 EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_+/=-]{8,})")
@@ -32,20 +36,30 @@ DATE = re.compile(r"\d{1,2}[ ./-]\d{1,2}[ ./-](?:19|20)\d\d(?!\d)")
 DIGITS = range(8, 16)
 IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f:]*[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4})?(?![\w:])")
 #: Titles and the gender they tell; fixed values.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n", "מר": "m", "גברת": "f", "גב׳": "f", "ד״ר": "n", "السيد": "m", "السيدة": "f", "الدكتور": "n", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 TITLE = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \u00a0]+")
 #: A word of a name and what follows it before the next one; an initial may have a full stop.
 PART = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)(?:(?<=\b[^\W\d_])\.)?([ \u00a0]*)")
+#: Words that follow a title in scripts without capitals, as a name, at most; a name of Chinese characters stands before its title.
+UNCASED_WORDS = 2
+HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "博士": "n"}
+HAN = re.compile(rf"([\u4e00-\u9fff]{{2,3}})(?={'|'.join(HAN_TITLES)})")
 PARTICLES = frozenset("von van vom zu zum zur der den de del della di da das do dos du la las le les los y e i bin ibn ben al el af av ten ter".split())
 #: Syllables that names are built from, by script, and endings by script and gender.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ha he ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
     "cyrillic": "ба бе би бо ва ве ви во га го да де ди до за зе ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то".split(),
+    "hebrew": "בא בו גי דא דו זי חן טל יע כר לי מא נו סי עד פר צי קר רו שי תם".split(),
+    "arabic": "با بو جي دا سا شي عا فا قا كا لي ما نا نو را رو طا هي وا يا".split(),
+    "cjk": list("安白柏昌晨达德东方丰光国海浩和恒宏华嘉建江杰金景俊凯康兰乐林龙明宁平青荣瑞山书思松泰天文武祥晓新星雅阳永宇元云泽志中"),
     "greek": "βα βε βι βο γα γε δα δε δι δο ζα ζε θα θε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το".split(),
 }
 ENDINGS = {
     "latin": {"m": "n", "f": "na", "n": "ris", "s": "rin"},
     "cyrillic": {"m": "н", "f": "на", "n": "рис", "s": "рин"},
+    "hebrew": {"m": "ון", "f": "ית", "n": "אל", "s": "ני"},
+    "arabic": {"m": "د", "f": "ة", "n": "ن", "s": "ي"},
+    "cjk": {"m": "", "f": "", "n": "", "s": ""},
     "greek": {"m": "νος", "f": "να", "n": "ρις", "s": "ριν"},
 }
 KINDS = ("secret", "email", "iban", "ip", "ssn", "card", "phone", "name")
@@ -72,15 +86,17 @@ def _is_ipv6(value: str) -> bool:
 
 
 def names(text: str) -> list[tuple[int, int, str, str]]:
-    """Names after titles: initials, particles (which stay) and all capitalised words; and every other mention of such a word in the text."""
+    """Names after titles: initials, particles (which stay) and all capitalised words, or, of scripts without capitals, UNCASED_WORDS; Chinese ones
+    before titles; and every other mention of such a word in the text."""
     hits, known = [], {}
     for title in TITLE.finditer(text):
         words, at = [], title.end()
         while m := PART.match(text, at):
             word = m[1]
-            if word in TITLES or not (word[0].isupper() or word in PARTICLES):
+            uncased = word[0].upper() == word[0].lower()
+            if word in TITLES or not (word[0].isupper() or word in PARTICLES or (uncased and len(words) < UNCASED_WORDS)):
                 break
-            if word[0].isupper():
+            if word[0].isupper() or uncased:
                 words.append((*m.span(1), "initial" if len(word) == 1 else "name", TITLES[title[1]]))
             at = m.end()
             if not m[2]:
@@ -92,10 +108,15 @@ def names(text: str) -> list[tuple[int, int, str, str]]:
             for a, b, k, g in words:
                 if k == "name":
                     known.setdefault(text[a:b], g)
+    for m in HAN.finditer(text):
+        hits.append((*m.span(1), "name", HAN_TITLES[text[m.end() : m.end() + 2]]))
+        known.setdefault(m[1], hits[-1][3])
     if known:
         known |= {w.upper(): g for w, g in known.items() if w.upper() not in known}
         taken = {h[0] for h in hits}
-        mention = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![^\W_])")
+        spelled = sorted(known, key=len, reverse=True)
+        words, inside = ("|".join(map(re.escape, (w for w in spelled if (script_of(w) == "cjk") == cjk))) or "(?!)" for cjk in (False, True))
+        mention = re.compile(rf"(?<![^\W_])(?:{words})(?![^\W_])|(?:{inside})")  # Chinese has no spaces
         hits += [(*m.span(), "name", known[m[0]]) for m in mention.finditer(text) if m.start() not in taken]
     return hits
 
@@ -114,7 +135,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         hits += [(*m.span(), "phone", "") for m in GROUPED.finditer(text) if sum(map(str.isdigit, m[0])) in DIGITS and not DATE.match(m[0])]
     if text.count(":") > 1:
         hits += [(*m.span(), "ip", "") for m in IPV6.finditer(text) if _is_ipv6(m[0])]
-    if _ANY_TITLE.search(text):
+    if _ANY_TITLE.search(text) or HAN.search(text):
         hits += names(text)
     out, end = [], set()
     for h in sorted(hits, key=lambda h: _RANK[h[2]]):
@@ -179,9 +200,16 @@ _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     """The replacement of a canonical entity, itself canonical; another attempt gives another one."""
     key = f"{key}/{kind}/{attempt}"
+    if attempt >= WIDEN and kind != "name":
+        return _other_shape(kind, entity, key, attempt)
     if kind == "name":
         script, gender, word = entity.split(":", 2)
         n, syllables, out = _number(key, script, word), SYLLABLES[script], ""
+        if script == "cjk":  # a character for each, and one more for every few attempts
+            n = _number(key, script, word, "cjk")
+            for i in range(len(word) + attempt // 3):
+                out += syllables[_number(key, n, i) % len(syllables)]
+            return f"{script}:{gender}:{out}"
         for _ in range(2 + attempt // 3 + len(word) // 5):
             n, k = divmod(n, len(syllables))
             out += syllables[k]
@@ -211,10 +239,35 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     if kind == "phone":
         return permute(entity, key, {0, 1} if entity.startswith("+") else {0} if entity.startswith("0") else set())
     if kind == "iban":
+        country, body = entity[:2], entity[4:]
+        if entity[2:4] == _iban_check(country, body):  # a valid number stays one
+            body = permute(entity, key, {0, 1, 2, 3})[4:]
+            return country + _iban_check(country, body) + body
         return permute(entity, key, {0, 1})
     return permute(entity, key, hexadecimal=kind == "secret" and bool(re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", entity)))
 
 
+def _other_shape(kind: str, entity: str, key: str, attempt: int) -> str:
+    """For shapes with too few values, or none to choose from: drawn anew, longer with every few attempts, in the kind's general form."""
+    n, more = _number(key, entity), attempt - WIDEN
+    if kind == "ip":
+        return str(ipaddress.IPv6Address(n << 64 | _number(key, entity, 2))) if ":" in entity else ".".join(map(str, n.to_bytes(8, "big")[:4]))
+    alphabet = _ALPHABETS[2] if kind in ("card", "phone", "ssn") else _ALPHABETS[0] + _ALPHABETS[2]
+    size = max(8, len(entity)) + more // 4
+    out = ""
+    while len(out) < size:
+        n, k = divmod(n, len(alphabet)) if n else divmod(_number(key, entity, len(out) + 3), len(alphabet))
+        out += alphabet[k]
+    if kind == "email":
+        return f"{out}@example.org"
+    return "+" + out if kind == "phone" and entity.startswith("+") else entity[:2] + out.upper() if kind == "iban" else out
+
+
+def _iban_check(country: str, body: str) -> str:
+    """The two digits that make country, digits and body a valid account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
 def dress(kind: str, replacement: str, value: str) -> str:
     """The canonical replacement in the format of one mention: its case, spacing and punctuation."""
     if kind == "name":
@@ -222,8 +275,8 @@ def dress(kind: str, replacement: str, value: str) -> str:
         return word.upper() if value.isupper() and len(value) > 1 else word[:1].upper() + word[1:]
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(replacement.replace("+", ""))
-        return "".join(next(chars) if c.isalnum() else c for c in value)
-    if kind == "email" and value != value.lower():
+        return "".join(next(chars, "") if c.isalnum() else c for c in value) + "".join(chars)
+    if kind == "email" and value != value.lower() and len(value) == len(replacement):
         return "".join(r.upper() if v.isupper() else r for r, v in zip(replacement, value))
     return replacement
 
@@ -266,15 +319,18 @@ def resolve(known: DataFrame, key: str = KEY) -> DataFrame:
     """known: distinct (kind, entity). Returns those that need another attempt than the first: (kind, entity, attempt).
 
     A surrogate is refused if it is an entity of the corpus itself or belongs to an entity that comes first (by attempts, then name). Refused
-    ones try again until none is, so different entities keep different surrogates, and one entity has one everywhere.
+    ones try again until none is, from attempt WIDEN on in a wider shape, so that even a shape with one value ends; so different entities keep different surrogates, and one entity has one everywhere.
     """
 
     @F.pandas_udf("string")
     def replace(kind: pd.Series, entity: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, e, key, int(a)) for k, e, a in zip(kind, entity, attempt)])
 
-    taken = materialise(known.withColumn("attempt", F.lit(0)).withColumn("replacement", replace("kind", "entity", "attempt")))
-    while True:
+    known = materialise(known)
+    parts = max(1, -(-known.count() // ENTITIES_PER_TASK))
+    spread = lambda df: df.repartition(parts, "kind", "entity").withColumn("replacement", replace("kind", "entity", "attempt"))
+    taken = materialise(spread(known.withColumn("attempt", F.lit(0))))
+    for _ in range(MOST_ATTEMPTS):
         real = known.select("kind", F.col("entity").alias("replacement"), F.lit(True).alias("real"))
         first = taken.groupBy("kind", "replacement").agg(F.min(F.struct("attempt", "entity")).alias("first"))
         judged = taken.join(first, ["kind", "replacement"]).join(real, ["kind", "replacement"], "left")
@@ -282,9 +338,9 @@ def resolve(known: DataFrame, key: str = KEY) -> DataFrame:
         judged = materialise(judged.select("kind", "entity", "attempt", "replacement", refused.alias("refused")))
         if judged.filter("refused").isEmpty():
             return judged.filter("attempt > 0").select("kind", "entity", "attempt")
-        again = judged.filter("refused").withColumn("attempt", F.col("attempt") + 1)
-        again = again.withColumn("replacement", replace("kind", "entity", "attempt"))
-        taken = materialise(judged.filter("not refused").unionByName(again).drop("refused"))
+        again = judged.filter("refused").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        taken = materialise(judged.filter("not refused").drop("refused").unionByName(spread(again)))
+    raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts")
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
