@@ -22,12 +22,11 @@ SUPPORT = 6
 FOLDS = 5
 #: The cut-off is the one of best F1 on out-of-fold probabilities within these bounds.
 CUTS = (0.4, 0.6)
-#: The labels tell toxic from not; these word lists split the toxic ones into categories for training. A category's label is 1 if the
-#: row is toxic and has one of its words.
-CATEGORIES = {
-    "insult": "idiot moron loser clown scum fool jerk",
-    "contempt": "worthless pathetic disgusting stupid trash garbage useless",
-}
+#: Where labels name no categories, the toxic rows are split into so many by the words that they share: toxic_1 around the word of strongest
+#: evidence, toxic_2 around the strongest word that rarely comes with the first, and so on.
+CATEGORIES = 2
+#: A word is another category's seed if it shares less than this part of its rows (or the seed's, if fewer) with each seed.
+APART = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 #: Besides words, features are stems: the first STEM letters of longer words, with "at least k different words of this stem" as one
 #: feature for each k up to STEM_COUNTS; languages inflect their insults.
@@ -93,58 +92,92 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, rounds: int = 1
     return w
 
 
-def fit_chain(rows: pd.DataFrame, categories: list[str], words: list[str], folds: int = FOLDS) -> Chain:
-    """rows: found (features), size, fold, and a 0/1 column for each category. Later categories train on earlier ones' out-of-fold probabilities, so that
-    they see inputs as uncertain as at scoring time; the stored weights of each are then fitted on all rows.
+def split_categories(found: list[set], toxic: np.ndarray, evidence: list[str], n: int = CATEGORIES) -> dict[str, np.ndarray]:
+    """evidence: features of toxic rows, strongest first. A category's label is 1 for toxic rows with one of its features: those that come with
+    its seed more often than with the others'. Without another seed, the categories that are left have no rows."""
+    at = {w: {i for i, f in enumerate(found) if toxic[i] and w in f} for w in evidence}
+    seeds: list[str] = []
+    for w in evidence:
+        if len(seeds) < n and at[w] and all(len(at[w] & at[s]) < APART * min(len(at[w]), len(at[s])) for s in seeds):
+            seeds.append(w)
+    rows: list[set] = [set() for _ in range(n)]
+    for w in evidence:
+        if seeds:
+            rows[max(range(len(seeds)), key=lambda k: (len(at[w] & at[seeds[k]]) / len(at[w] | at[seeds[k]]) if at[w] else 0, -k))] |= at[w]
+    return {f"toxic_{k + 1}": np.array([i in r for i in range(len(found))], float) for k, r in enumerate(rows)}
+
+
+def strongest(counts: pd.DataFrame, n: int, toxic: int, features: int) -> pd.DataFrame:
+    """counts: word, a (toxic rows with it), n (rows with it). The features whose rows differ most from the share of toxic ones, with z, strongest
+    first."""
+    share = toxic / max(n, 1)
+    seen = counts[counts.n >= SUPPORT]
+    z = (seen.a - seen.n * share) / np.sqrt(seen.n * (share * (1 - share)) + 1e-9)
+    return seen.assign(z=z, size=-z.abs()).sort_values(["size", "word"]).head(features)
+
+
+def fit_chain(found: list[set], sizes, fold: np.ndarray, labels: dict[str, np.ndarray], words: list[str], words_of_fold: list[list[str]] | None = None) -> Chain:
+    """labels: a 0/1 vector for each category, in chain order. Later categories train on earlier ones' out-of-fold probabilities, so that
+    they see inputs as uncertain as at scoring time; the stored weights of each are then fitted on all rows. words_of_fold: the features
+    chosen without each fold's rows; out-of-fold models know no others.
     """
-    model = Chain(categories, words, [], 0.5)
-    x = model.features(rows["found"].tolist(), rows["size"].tolist())
-    fold = rows["fold"].to_numpy()
-    oof = np.zeros(len(rows))
-    for name in categories:
-        y = rows[name].to_numpy(float)
-        oof = np.zeros(len(rows))
-        for f in range(folds):
-            hold = fold == f
+    model = Chain(list(labels), words, [], 0.5)
+    x = model.features(found, sizes)
+    inner = [x if words_of_fold is None else Chain([], w, [], 0.5).features(found, sizes) for w in words_of_fold or [words] * (int(fold.max(initial=0)) + 1)]
+    before, oof = np.zeros((len(x), 0)), np.zeros(len(x))
+    for y in labels.values():
+        oof = np.zeros(len(x))
+        for f, own in enumerate(inner):
+            hold, own = fold == f, np.column_stack([own, before])
             if hold.any():
-                oof[hold] = _sigmoid(x[hold] @ fit_logistic(x[~hold], y[~hold]))
-        model.weights.append(fit_logistic(x, y))
-        x = np.column_stack([x, oof])
-    y = rows[categories[-1]].to_numpy(float) if categories else np.zeros(0)
+                oof[hold] = _sigmoid(own[hold] @ fit_logistic(own[~hold], y[~hold]))
+        model.weights.append(fit_logistic(np.column_stack([x, before]), y))
+        before = np.column_stack([before, oof])
+    y = list(labels.values())[-1] if labels else np.zeros(0)
     grid = np.linspace(*CUTS, 41)
     f1 = [2 * (y * (oof >= t)).sum() / max(1e-9, y.sum() + (oof >= t).sum()) for t in grid]
     model.threshold = float(np.median(grid[np.array(f1) >= max(f1) - 1e-9])) if len(y) and max(f1) > 0 else 0.5
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_ROWS, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit the chain insult -> contempt -> toxic on at most limit labelled rows (the smallest hashes of the id).
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: tuple[str, ...] = (), limit: int = TRAIN_ROWS, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Fit the chain on at most limit labelled rows (the smallest hashes of the id): the categories, then label.
 
-    Features are chosen by Spark over that sample: those whose document frequencies differ most between toxic and other rows.
+    categories: columns of labels with 0 or 1, in chain order. Where there are none, the toxic rows are split by the words that they
+    share. Features are those whose document frequencies differ most between toxic and other rows of the sample; for out-of-fold
+    models, of the rows outside the fold. Counts come from Spark; the driver gets those of the words with the strongest evidence.
     """
     bound_batches(docs.sparkSession)
-    rated = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("y")).dropna().groupBy("_id").agg(F.max("y").alias("y"))
+    own = [*categories, label]
+    rated = labels.select(F.col(id_col).alias("_id"), *(F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(own)))
+    rated = rated.dropna(subset=["_id", f"y{len(own) - 1}"]).groupBy("_id").agg(*(F.coalesce(F.max(f"y{k}"), F.lit(0)).alias(f"y{k}") for k in range(len(own))))
     chosen = rated.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    ids = chosen.sparkSession.createDataFrame(chosen.toPandas(), "_id long, y double")  # limit rows of 16 bytes
+    ids = chosen.sparkSession.createDataFrame(chosen.toPandas(), "_id long, " + ", ".join(f"y{k} int" for k in range(len(own))))  # limit rows of a few numbers
     sample = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "_id").dropDuplicates(["_id"])
-    patterns = {c: rf"(?i)(?<!\p{{L}})({'|'.join(ws.split())})(?!\p{{L}})" for c, ws in CATEGORIES.items()}
-    parts = [((F.col("y") == 1) & F.col("text").rlike(p)).cast("int").alias(c) for c, p in patterns.items()]
-    sample = sample.select("_id", F.col("y").cast("int").alias("toxic"), *parts, _found("text").alias("found")).persist()
+    y = F.col(f"y{len(own) - 1}")
+    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = sample.select("_id", *(f"y{k}" for k in range(len(own))), fold, _found("text").alias("found")).persist()
     try:
-        n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-        seen = sample.select("toxic", F.explode("found").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-        seen = seen.filter(F.col("n") >= SUPPORT)
+        sizes = sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum(y).alias("a")).toPandas().set_index("fold").reindex(range(FOLDS), fill_value=0)
+        each = [F.sum((F.col("fold") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)] + [F.sum(F.when(F.col("fold") == f, y).otherwise(0)).alias(f"a{f}") for f in range(FOLDS)]
+        seen = sample.select("fold", y.alias(f"y{len(own) - 1}"), F.explode("found").alias("word")).groupBy("word").agg(*each, F.count("*").alias("n"), F.sum(y).alias("a"))
+        n, toxic = int(sizes.n.sum()), int(sizes.a.sum())
         share = toxic / max(n, 1)
-        z = (F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(share * (1 - share) + 1e-9))
-        best = [r[0] for r in seen.orderBy(F.abs(z).desc(), "word").limit(features).select("word").collect()]
+        z = F.abs(F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(share * (1 - share) + 1e-9))
+        counts = seen.filter(F.col("n") >= SUPPORT).orderBy(z.desc(), "word").limit(features * (FOLDS + 1)).toPandas()
+        best = strongest(counts, n, toxic, features)
+        of_fold = [strongest(pd.DataFrame({"word": counts.word, "n": counts.n - counts[f"n{f}"], "a": counts.a - counts[f"a{f}"]}), n - int(sizes.n[f]), toxic - int(sizes.a[f]), features).word.tolist() for f in range(FOLDS)]
         # only the chosen features of each text are needed on the driver
-        kept = F.filter("found", lambda w: w.isin(best or [""]))
-        fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).alias("fold")
-        rows = sample.orderBy("_id").select(kept.alias("found"), F.size("found").alias("size"), fold, *CATEGORIES, "toxic").toPandas()
+        wanted = sorted({*best.word, *(w for ws in of_fold for w in ws)})
+        kept = F.filter("found", lambda w: w.isin(wanted or [""]))
+        rows = sample.orderBy("_id").select(kept.alias("found"), F.size("found").alias("size"), "fold", *(f"y{k}" for k in range(len(own)))).toPandas()
     finally:
         sample.unpersist()
-    rows["found"] = [set(f) for f in rows["found"]]
-    return fit_chain(rows, [*CATEGORIES, "toxic"], best)
+    found = [set(f) for f in rows["found"]]
+    named = {c: rows[f"y{k}"].to_numpy(float) for k, c in enumerate(own)}
+    if not categories:
+        named = {**split_categories(found, named[label], best.word[best.z > 0].tolist()), **named}
+    return fit_chain(found, rows["size"].tolist(), rows["fold"].to_numpy(), named, best.word.tolist(), of_fold)
 
 
 def _found(column: str) -> Column:

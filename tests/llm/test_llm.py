@@ -329,3 +329,108 @@ def test_slots_by_a_scalar_model(spark, tmp_path, n, stride):
     for r in token_shards.sequences(d).collect():
         want[slot(r.place)] = r.doc_id
     assert got == want
+
+
+def test_chain_by_plain_loops():
+    """Out-of-fold inputs, one category after the other, with gradient descent in place of Newton's steps; and scoring word by word."""
+    rng = np.random.default_rng(3)
+    words = ["aa", "bb", "cc", "dd"]
+    found = [{w for w in words if rng.random() < 0.4} for _ in range(120)]
+    first = np.array([float("aa" in f) if rng.random() < 0.9 else 0.0 for f in found])
+    last = np.array([float("aa" in f or "bb" in f) if rng.random() < 0.9 else 1.0 for f in found])
+    fold, sizes = np.arange(120) % 3, [len(f) for f in found]
+    chain = toxicity.fit_chain(found, sizes, fold, {"one": first, "two": last}, words)
+
+    def vector(f, before):
+        return [1.0, *(float(w in f) for w in words), math.log1p(len(f)) / 10, *before]
+
+    def slope(x, y, w):
+        """Largest part of the gradient of the penalised likelihood: none at the optimum."""
+        g = [0.0] * len(w)
+        for v, t in zip(x, y):
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(v, w))))
+            for j, a in enumerate(v):
+                g[j] += (t - p) * a
+        return max(abs(g[j] - (1e-6 if j == 0 else 0.05) * w[j]) for j in range(len(w)))
+
+    plain = [vector(f, []) for f in found]
+    oof = [0.0] * 120
+    for k in range(3):
+        w = toxicity.fit_logistic(np.array([v for v, g in zip(plain, fold) if g != k]), first[fold != k])
+        assert slope([v for v, g in zip(plain, fold) if g != k], first[fold != k], w) < 1e-2
+        for i in np.flatnonzero(fold == k):
+            oof[i] = 1 / (1 + math.exp(-sum(a * b for a, b in zip(plain[i], w))))
+    assert slope(plain, first, chain.weights[0]) < 1e-2
+    assert slope([vector(f, [o]) for f, o in zip(found, oof)], last, chain.weights[1]) < 1e-2
+    p = chain.probabilities(["aa cc", "bb", "", "dd zz zz"])
+    for text, got in zip(["aa cc", "bb", "", "dd zz zz"], p):
+        f = set(text.split())
+        one = 1 / (1 + math.exp(-sum(a * b for a, b in zip(vector(f, []), chain.weights[0])))) if f else 0.0
+        two = 1 / (1 + math.exp(-sum(a * b for a, b in zip(vector(f, [one]), chain.weights[1])))) if f else 0.0
+        assert np.allclose(got, [one, two])
+
+
+def test_categories_from_shared_words():
+    found = [{"aa", "ab"}, {"aa"}, {"ab", "aa"}, {"bb"}, {"bb", "bc"}, {"bc"}, {"aa"}, set()]
+    got = toxicity.split_categories(found, np.array([1, 1, 1, 1, 1, 1, 0, 0.0]), ["aa", "bb", "ab", "bc"])
+    assert got["toxic_1"].tolist() == [1, 1, 1, 0, 0, 0, 0, 0] and got["toxic_2"].tolist() == [0, 0, 0, 1, 1, 1, 0, 0]
+    none = toxicity.split_categories([set()], np.zeros(1), [])
+    assert [v.tolist() for v in none.values()] == [[0.0], [0.0]]
+
+
+def test_quality_sums_in_rounds_alike(spark):
+    rows = [(np.arange(16, dtype=np.float32).tobytes(), float(i % 2), i % 3) for i in range(200)]
+    rated = spark.createDataFrame(rows, "stats binary, y double, fold int").repartition(37)
+    of = lambda x, y: np.array([len(x), y.sum(), x.sum()])
+    for branch in (2, 5, 64):
+        got = quality._tree_sum(rated, of, branch)
+        want = {f: of(np.tile(np.arange(16.0), (sum(r[2] == f for r in rows), 1)), np.array([r[1] for r in rows if r[2] == f])) for f in range(3)}
+        assert {f: v.tolist() for f, v in got.items()} == {f: v.tolist() for f, v in want.items()}
+
+
+def test_quality_by_normal_equations(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float)
+    fold = np.arange(300) % 4
+    model = quality.fit(spark.createDataFrame([(r.tobytes(), float(v), int(f)) for r, v, f in zip(x, y, fold)], "stats binary, y double, fold int"), fourier=40)
+    x = x.astype(float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    a = np.column_stack([np.ones(300), z, np.sqrt(2 / 40) * np.cos(z @ model.freq + model.phase)])
+    assert np.allclose(model.weights, np.linalg.lstsq(np.vstack([a, np.eye(a.shape[1])]), np.append(y, np.zeros(a.shape[1])), rcond=None)[0], atol=1e-6)
+    knots, scores = model.knots, model.score(x)
+    assert (np.diff(knots[1]) > 0).all() and ((scores > 0.5) == (y > 0.5)).mean() > 0.8
+
+
+def test_surrogates_of_values_without_choice(spark):
+    odd = [("secret", "________________"), ("secret", "--------"), ("secret", "========"), ("ssn", "000-00-0000"), *(("phone", str(i)) for i in range(10)), ("email", "a@b.co")]
+    attempts = {(r.kind, r.entity): r.attempt for r in surrogates.resolve(spark.createDataFrame(odd, "kind string, entity string")).collect()}
+    got = [(k, surrogates.surrogate(k, e, surrogates.KEY, attempts.get((k, e), 0))) for k, e in odd]
+    assert len(set(got)) == len(odd) and not set(got) & set(odd)
+    text = "Password: ________________ and then api_key: ========"
+    out = surrogates.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.kinds == "secret=2" and "________________" not in out.text and "========" not in out.text
+
+
+def test_surrogates_keep_account_numbers_valid():
+    for t in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"):
+        out, counts = surrogates.rewrite(f"to {t}, please", "k", {})
+        number = out[3:-8].replace(" ", "")
+        assert counts == {"iban": 1} and t not in out and len(out) == len(t) + 11 and number[:2] == t[:2]
+        assert int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
+def test_surrogates_of_scripts_without_capitals():
+    for t, name in (("מר דוד כהן הלך הביתה. כהן חזר", "כהן"), ("السيد محمد علي وصل", "محمد"), ("王小明先生来了。王小明走了", "王小明")):
+        out, counts = surrogates.rewrite(t, "k", {})
+        assert counts["name"] >= 2 and name not in out
+
+
+def test_decontamination_compares_slots_across_shifts(spark):
+    item = "A train leaves the old station at 60 km and then Anna waits there for 60 minutes before she goes home again"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    half = item.replace("60 km", "75 km").replace("60 minutes", "33 minutes")
+    rows = [(1, half), (2, half.replace("there for", "there quietly for")), (3, item.replace("60", "75").replace("there for", "there quietly for")), (4, f"{item} And {item.replace('60', '99')}")]
+    got = {r.doc_id: r.reparameterised for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, containment=0.75).collect()}
+    assert set(got) == {3, 4} and got[3] is True
