@@ -3,41 +3,141 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialise, text_of
+from .common import bound_batches, materialise, release, text_of
 
-#: Cells (combinations of source, language and topic that occur) up to this number are raked on the driver, 40 bytes each; more are raked
+#: Cells (combinations of source, language and topic that occur) up to this number are raked on the driver, 100 bytes each; more are raked
 #: by Spark, with the same arithmetic.
 DRIVER_CELLS = 200_000
 DIMS = ("source", "lang", "topic")
-#: Share of each marginal that keeps its present proportions; the rest is even: target = (tokens ** POWER) normalised.
+#: How far present proportions are kept: target = (tokens ** POWER) normalised.
 POWER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-ROUNDS = 12
+#: Raking ends once no marginal is further from its target than this part of the budget, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-4, 200
 #: Tokens to sample, as a share of all.
 BUDGET = 0.6
 SALT = "mix-1"
+#: Topics are clusters of texts by the words they use more than others of their language: words fall by hash into WIDTH counts, and TOPICS centres
+#: are fitted in STEPS passes over all texts' counts. The centres start from at most STARTERS texts. Languages fall into LANG_BINS by hash.
+TOPICS, WIDTH, STEPS, STARTERS, LANG_BINS = 8, 64, 6, 2000, 256
+NO_TOPIC = "none"
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from the text's form; the first that holds."""
-    return (
-        F.when(text.contains("icense"), "licence")
-        .when(text.contains("@") | text.contains("token = "), "contact")
-        .when(text.contains(" | "), "listing")
-        .when(F.length(text) < 400, "note")
-        .otherwise("prose")
-    )
+class _Bin(dict):
+    def __missing__(self, word: bytes) -> int:
+        b = self[word] = xxhash.xxh64_intdigest(word) % WIDTH
+        return b
 
 
-def token_count(text: Column) -> Column:
-    """Words: runs of other than ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def word_profile(text: str, bins: _Bin | None = None) -> tuple[int, np.ndarray]:
+    """Words of the text (runs of other than ASCII white space; A-Z count as a-z), and the square roots of their counts by bin, of length 127, as
+    whole numbers."""
+    bins = _Bin() if bins is None else bins
+    words = text.encode("utf-8").lower().split()
+    v = np.sqrt(np.bincount([bins[w] for w in words], minlength=WIDTH)) if words else np.zeros(WIDTH)
+    return len(words), np.rint(v * (127 / max(1e-9, np.sqrt((v * v).sum())))).astype(np.int8)
+
+
+def _profile_udf():
+    @F.pandas_udf("tokens long, profile binary")
+    def profile(texts: pd.Series) -> pd.DataFrame:
+        bins = _Bin()
+        both = [word_profile(t, bins) for t in texts]
+        out = pd.DataFrame({"tokens": [n for n, _ in both], "profile": [v.tobytes() for _, v in both]})
+        del bins
+        release()
+        return out
+
+    return profile
+
+
+def _vectors(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int8).reshape(-1, WIDTH).astype(np.int64)
+
+
+def _lang_bins(langs) -> np.ndarray:
+    known: dict[str, int] = {}
+    return np.array([known[x] if x in known else known.setdefault(x, xxhash.xxh64_intdigest(x) % LANG_BINS) for x in langs], np.int64)
+
+
+@dataclass(frozen=True)
+class Topics:
+    """means: of each bin of languages; centres: of topics, both in whole numbers."""
+
+    means: np.ndarray
+    centres: np.ndarray
+
+    def rest(self, vectors: np.ndarray, langs) -> np.ndarray:
+        """What sets texts apart from their language."""
+        return vectors * FINE - self.means[_lang_bins(langs)]
+
+    def of(self, vectors: np.ndarray, langs) -> np.ndarray:
+        """The number of the centre that the text's rest goes with most, the first of equals; -1 for texts without words."""
+        if not len(self.centres) or not len(vectors):
+            return np.full(len(vectors), -1)
+        return np.where(vectors.any(1), (self.rest(vectors, langs) @ self.centres.T).argmax(1), -1)
+
+    def names(self, vectors: np.ndarray, langs) -> np.ndarray:
+        return np.array([NO_TOPIC if k < 0 else f"topic_{k}" for k in self.of(vectors, langs)], object)
+
+
+#: Means have so many steps between whole numbers of a profile.
+FINE = 64
+
+
+def _centred(sums: np.ndarray) -> np.ndarray:
+    """Whole numbers again, so that sums have no order."""
+    return np.rint(sums * (4096 / np.maximum(np.sqrt((sums.astype(float) ** 2).sum(1, keepdims=True)), 1e-9))).astype(np.int64)
+
+
+def _summed(profiles: DataFrame, rows: int, of) -> tuple[np.ndarray, np.ndarray]:
+    """of(vectors, langs) -> (row, vector) of each text. Sums of the vectors and numbers of texts by row, added up in partitions first: the driver gets rows *
+    (WIDTH + 1) numbers at most, and as whole numbers they don't depend on order."""
+
+    def partial(batches):
+        sums = np.zeros((rows, WIDTH + 1), np.int64)
+        for b in batches:
+            k, v = of(_vectors(b["profile"]), b["__mix_lang"])
+            np.add.at(sums[:, :WIDTH], k[k >= 0], v[k >= 0])
+            sums[:, WIDTH] += np.bincount(k[k >= 0], minlength=rows)
+        c, d = np.nonzero(sums)
+        yield pd.DataFrame({"c": c, "d": d, "s": sums[c, d]})
+
+    out = np.zeros((rows, WIDTH + 1), np.int64)
+    for c, d, s in profiles.select("profile", "__mix_lang").mapInPandas(partial, "c long, d long, s long").groupBy("c", "d").agg(F.sum("s")).collect():
+        out[c, d] = s
+    return out[:, :WIDTH], out[:, WIDTH]
+
+
+def fit_topics(profiles: DataFrame, topics: int = TOPICS, steps: int = STEPS) -> Topics:
+    """profiles: profile and __mix_lang of each text. The starters are the texts of smallest hash, and of those the centres lie far apart; each step sums all
+    texts by their centre."""
+    sums, n = _summed(profiles, LANG_BINS, lambda v, langs: (np.where(v.any(1), _lang_bins(langs), -1), v))
+    means = np.rint(sums * FINE / np.maximum(n, 1)[:, None]).astype(np.int64)
+    model = Topics(means, np.zeros((0, WIDTH), np.int64))
+    h = F.xxhash64("profile", "__mix_lang")
+    starters = profiles.select("profile", "__mix_lang").distinct().orderBy(h, "profile", "__mix_lang").limit(STARTERS).toPandas()
+    unit = _vectors(starters["profile"])
+    unit = _centred(model.rest(unit, starters["__mix_lang"])[unit.any(1)])
+    if not len(unit):
+        return model
+    chosen = [0]
+    near = unit @ unit[0]
+    while len(chosen) < min(topics, len(unit)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    model = Topics(means, unit[chosen])
+    for _ in range(steps):
+        sums, _ = _summed(profiles, len(chosen), lambda v, langs, model=model: (model.of(v, langs), model.rest(v, langs)))
+        model = Topics(means, np.where(sums.any(1, keepdims=True), _centred(sums), model.centres))
+    return model
 
 
 def tempered(tokens: Mapping[str, float], power: float) -> dict[str, float]:
@@ -46,147 +146,134 @@ def tempered(tokens: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> np.ndarray:
-    """Token weight of each cell: start at its tokens, then scale to each target marginal in turn, rounds times. Sums to 1.
+def reachable(goal: np.ndarray, held: np.ndarray, want: float) -> np.ndarray:
+    """Tokens of each value nearest to its goal that can be sampled without taking any twice: the goals times one factor, but no more than there are, so that
+    all are want."""
+    goal = np.where(held > 0, goal, 0.0)
+    order = np.argsort(np.divide(held, goal, out=np.full(len(goal), np.inf), where=goal > 0), kind="stable")
+    full = 0.0
+    for i, k in enumerate(order):
+        rest = goal[order[i:]].sum()
+        factor = (want - full) / rest if rest > 0 else 0.0
+        if factor * goal[k] <= held[k]:
+            return np.minimum(held, np.maximum(factor, 0.0) * goal)
+        full += held[k]
+    return held.astype(float)
 
-    A value without a target keeps a target of 0; targets of values without tokens are spread over the others.
-    """
-    w = cells["tokens"].to_numpy(float)
-    w = w / max(w.sum(), 1e-300)
+
+def _goals(held: pd.Series, dim: str, targets: Mapping[str, Mapping[str, float]] | None, budget: float) -> np.ndarray:
+    """held: tokens of each value. The targets in tokens; a value without a target keeps one of 0."""
+    tokens = held.to_numpy(float)
+    goal = np.array([targets[dim].get(v, 0.0) for v in held.index], float) if targets and dim in targets else tokens ** POWER[dim]
+    return reachable(goal, tokens, budget * tokens.sum())
+
+
+def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> np.ndarray:
+    """Expected tokens of each cell: start at budget of what it has, then scale to each target marginal in turn, no cell beyond what it has, until all
+    marginals agree with their targets."""
+    tokens = cells["tokens"].to_numpy(float)
+    w, total = tokens * budget, max(tokens.sum() * budget, 1e-300)
     codes, goals = [], []
     for d in DIMS:
-        code, names = pd.factorize(cells[d], use_na_sentinel=False)
-        sums = np.bincount(code, weights=cells["tokens"], minlength=len(names))
-        goal = np.array([targets[d].get(v, 0.0) for v in names], float) if targets and d in targets else sums ** POWER[d]
-        goal = np.where(sums > 0, goal, 0)
-        codes.append(code), goals.append(goal / max(goal.sum(), 1e-300))
+        held = cells.groupby(d, sort=True)["tokens"].sum()
+        codes.append(held.index.get_indexer(cells[d]))
+        goals.append(_goals(held, d, targets, budget))
     for _ in range(rounds):
         for code, goal in zip(codes, goals):
             now = np.bincount(code, weights=w, minlength=len(goal))
-            w = w * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[code]
+            w = np.minimum(tokens, w * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[code])
+        if all(np.abs(np.bincount(c, weights=w, minlength=len(g)) - g).max(initial=0) <= TOLERANCE * total for c, g in zip(codes, goals)):
+            break
     return w
 
 
-def rake_by_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The same on a table of cells of any size: each step joins the cells with one marginal's factors."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    cells = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
+def rake_by_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """The same on a table of cells of any size, with w: each step joins the cells with one marginal's factors. A marginal has a row for each value;
+    its goals are found on the driver, as are the factors, up to DRIVER_CELLS values."""
+    spark = cells.sparkSession
+    total = max((cells.agg(F.sum("tokens")).first()[0] or 0) * budget, 1e-300)
+    cells = cells.withColumn("w", F.col("tokens") * F.lit(float(budget)))
+    goals = {}
+    for d in DIMS:
+        held = cells.groupBy(d).agg(F.sum("tokens").alias("tokens")).orderBy(d).toPandas().set_index(d)["tokens"]
+        rows = pd.DataFrame({"_v": held.index, "goal": _goals(held, d, targets, budget)})
+        goals[d] = materialise(spark.createDataFrame(rows, "_v string, goal double"))
     for _ in range(rounds):
+        worst = 0.0
         for d in DIMS:
-            now = cells.groupBy(d).agg(F.sum("w").alias("now"), F.sum("tokens").cast("double").alias("held"))
-            if targets and d in targets:
-                pairs = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, goal double")
-                now = now.join(pairs, d, "left").fillna(0.0, ["goal"]).withColumn("goal", F.when(F.col("held") > 0, F.col("goal")).otherwise(0.0))
-            else:
-                now = now.withColumn("goal", F.pow("held", F.lit(POWER[d])))
-            now = materialise(now)
-            all_goals = now.agg(F.sum("goal")).first()[0] or 1.0
-            factor = now.select(F.col(d).alias("_v"), F.when(F.col("now") > 0, F.col("goal") / F.lit(all_goals) / F.col("now")).otherwise(0.0).alias("f"))
-            cells = cells.join(factor, F.col(d).eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("f")).drop("_v", "f")
+            now = cells.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("now")).join(goals[d], "_v")
+            factor = now.select("_v", F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("f"))
+            cells = cells.join(factor, F.col(d) == F.col("_v")).withColumn("w", F.least(F.col("tokens").cast("double"), F.col("w") * F.col("f"))).drop("_v", "f")
         cells = materialise(cells)
-    return cells
-
-
-def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
-    """Sampling probability of each cell: min(1, c * weight / tokens) with c such that the expected tokens are budget of all.
-
-    Where a cell asks for more than it has, it is taken whole and c grows for the others. The c is exact: cells are taken whole in order
-    of weight per token, and c solves the rest.
-    """
-    ratio = np.divide(weight, tokens, out=np.zeros_like(weight), where=tokens > 0)
-    order = np.argsort(-ratio, kind="stable")
-    want = budget * tokens.sum()
-    whole = np.concatenate([[0.0], np.cumsum(tokens[order])])
-    rest = weight.sum() - np.concatenate([[0.0], np.cumsum(weight[order])])
-    for k in range(len(order)):
-        if rest[k] <= 1e-15 or want <= whole[k]:
+        for d in DIMS:
+            gap = cells.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("now")).join(goals[d], "_v").agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0]
+            worst = max(worst, gap or 0.0)
+        if worst <= TOLERANCE * total:
             break
-        c = (want - whole[k]) / rest[k]
-        if c * ratio[order[k]] <= 1:
-            return np.minimum(1.0, c * ratio)
-    return (ratio > 0).astype(float)
+    return cells
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs and source, lang, topic, tokens, weight, probability and selected, each prefixed with __mix_.
+def _keys(source_col: str, lang_col: str) -> dict[str, Column]:
+    return {"__mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(""))}
 
-    Token counts are raked to source, language and topic marginals (targets, else tempered present ones), and each document is selected with its
-    cell's calibrated probability: the md5 of salt and id, read as a number in [0, 1), is below it. The choice depends on nothing but
-    the id and the probability, so it is the same in every run and partitioning, and rows that repeat an id stay together.
 
-    Null source or language is a value of its own, "". Null and empty texts have no tokens, so weight and probability 0 unless the whole
-    table has none. A null id counts as the id "". One pass counts tokens, one applies; the join is on the cells, broadcast
-    up to DRIVER_CELLS of them. An empty table gives no rows.
-    """
-    text = text_of(text_col)
-    keyed = docs.withColumns({
-        "__mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
-        "__mix_topic": topic_of(text), "__mix_tokens": token_count(text),
-    })
-    cells = materialise(keyed.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_lang").alias("lang"), F.col("__mix_topic").alias("topic")).agg(F.sum("__mix_tokens").alias("tokens")))
+def _fit(profiles: DataFrame, targets, budget: float, rounds: int, topics: int) -> tuple[Topics, DataFrame]:
+    """profiles: __mix_source, __mix_lang, tokens, profile. Topics, and the cells with weight and probability."""
+    model = fit_topics(profiles, topics)
+    cells = profiles.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_lang").alias("lang"), _topic_udf(model)("profile", "__mix_lang").alias("topic")).agg(F.sum("tokens").alias("tokens"))
+    cells = materialise(cells)
     if cells.count() <= DRIVER_CELLS:
         local = cells.orderBy(*DIMS).toPandas()
-        local["w"] = rake(local, targets, rounds)
-        local["p"] = calibrate(local["w"].to_numpy(), local["tokens"].to_numpy(float), budget)
-        raked = F.broadcast(docs.sparkSession.createDataFrame(local[[*DIMS, "w", "p"]], "source string, lang string, topic string, w double, p double"))
+        local["w"] = rake(local, targets, budget, rounds)
+        raked = profiles.sparkSession.createDataFrame(local, "source string, lang string, topic string, tokens long, w double")
+        hint = F.broadcast
     else:
-        raked = _calibrate_by_spark(rake_by_spark(cells, targets, rounds), budget)
-    raked = raked.select(*(F.col(d).alias(f"__mix_{d}") for d in DIMS), F.col("w").alias("__mix_weight"), F.round("p", 9).alias("__mix_probability"))
+        raked, hint = rake_by_spark(cells, targets, budget, rounds), (lambda df: df)
+    total = max(raked.agg(F.sum("w")).first()[0] or 0.0, 1e-300)
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") / F.col("tokens"))).otherwise(0.0)
+    return model, hint(raked.select(*(F.col(d).alias(f"__mix_{d}") for d in DIMS), (F.col("w") / total).alias("__mix_weight"), F.round(p, 9).alias("__mix_probability")))
+
+
+def _drawn(rows: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SALT}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return keyed.join(raked, [f"__mix_{d}" for d in DIMS]).withColumn("__mix_selected", draw < F.col("__mix_probability"))
-
-
-def _calibrate_by_spark(cells: DataFrame, budget: float) -> DataFrame:
-    """calibrate() on a table: bisection for c, one sum a step."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
-    low, high = 0.0, float(total)
-    while cells.agg(F.sum(F.least(F.lit(1.0), high * ratio) * F.col("tokens"))).first()[0] < budget * total * (1 - 1e-12) and high < 1e300:
-        high *= 1e3
-    for _ in range(80):
-        mid = (low + high) / 2
-        got = cells.agg(F.sum(F.least(F.lit(1.0), mid * ratio) * F.col("tokens"))).first()[0] or 0.0
-        low, high = (mid, high) if got < budget * total else (low, mid)
-    return cells.withColumn("p", F.least(F.lit(1.0), F.lit(high) * ratio))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The selected documents, with the columns of docs alone."""
-    return sampled(docs, **options).filter("__mix_selected").select(*(f"`{c}`" for c in docs.columns))
-
-
-def oracle_sql(rounds: int = ROUNDS, budget: float = BUDGET, table: str = "documents") -> str:
-    """DuckDB SQL for the op1 query: the same raking as a chain of window sums, and the exact c by ordered sums."""
-    steps, last = [], "w0"
-    for k in range(rounds * len(DIMS)):
-        d = DIMS[k % len(DIMS)]
-        goals = f"SELECT *, pow(sum(tokens) OVER (PARTITION BY {d}), CAST({POWER[d]} AS DOUBLE)) AS raised, sum(w) OVER (PARTITION BY {d}) AS now FROM {last}"
-        share = f"SELECT *, raised / (SELECT sum(pow(t, CAST({POWER[d]} AS DOUBLE))) FROM (SELECT sum(tokens) AS t FROM cells GROUP BY {d}) q) AS goal FROM ({goals}) g"
-        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN now > 0 THEN w * goal / now ELSE 0 END AS w FROM ({share}) s)")
-        last = f"w{k + 1}"
-    return f"""
-WITH keyed AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
-    CASE WHEN contains(text, 'icense') THEN 'licence' WHEN contains(text, '@') OR contains(text, 'token = ') THEN 'contact'
-         WHEN contains(text, ' | ') THEN 'listing' WHEN length(coalesce(text, '')) < 400 THEN 'note' ELSE 'prose' END AS topic
-  FROM {table}),
-cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM keyed GROUP BY ALL),
-w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM cells) AS w FROM cells),
-{", ".join(steps)},
-ranked AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last}),
-sums AS (SELECT *, CAST({budget} AS DOUBLE) * sum(tokens) OVER () AS want,
-    coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
-    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM ranked),
-solved AS (SELECT (want - whole) / rest AS c FROM sums WHERE rest > 1e-15 AND want > whole AND (want - whole) / rest * ratio <= 1 ORDER BY ratio DESC, source, lang, topic LIMIT 1),
-p AS (SELECT source, lang, topic, w, round(least(1.0, (SELECT c FROM solved) * ratio), 9) AS p FROM ranked)
-SELECT k.doc_id, k.source, k.lang, k.topic, CAST(k.tokens AS BIGINT) AS tokens, round(p.w, 6) AS cell_weight, round(p.p, 6) AS probability,
-  CAST(('0x' || substr(md5('{SALT}:' || CAST(k.doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) < p.p AS selected
-FROM keyed k JOIN p USING (source, lang, topic)"""
-
-
-def mix_report(docs: DataFrame) -> DataFrame:
-    """Marginals before and after sampling: dimension, value, tokens, sampled tokens; for inspection."""
-    rows = sampled(docs)
-    out = [rows.groupBy(F.lit(d).alias("dimension"), F.col(f"__mix_{d}").alias("value")).agg(F.sum("__mix_tokens").alias("tokens"), F.sum(F.when(F.col("__mix_selected"), F.col("__mix_tokens"))).alias("sampled")) for d in DIMS]
-    both = out[0].unionByName(out[1]).unionByName(out[2])
-    return both.withColumn("share", F.col("sampled") / F.sum("sampled").over(Window.partitionBy("dimension")))
+    return rows.join(cells, [f"__mix_{d}" for d in DIMS]).withColumn("__mix_selected", draw < F.col("__mix_probability"))
+
+
+def _topic_udf(model: Topics):
+    @F.pandas_udf("string")
+    def topic(column: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series(model.names(_vectors(column), langs))
+
+    return topic
+
+
+def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, topics: int = TOPICS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """One row per row of docs: doc_id, source, lang, topic, tokens, weight, probability and selected, all but the first prefixed with __mix_.
+
+    Token counts are raked to source, language and topic marginals (targets, else tempered present ones; no value is asked for more
+    than it has), and each document is selected with its cell's probability: the md5 of salt and id, read as a number in [0, 1), is
+    below it. The choice depends on nothing but the id and the probability, so it is the same in every run and partitioning, and rows
+    that repeat an id stay together. Texts are read once; their word profiles (64 bytes) stay in the shared folder and serve topics, cells
+    and choice.
+
+    Null source or language is a value of its own, "". Null and empty texts have no tokens, the topic "none" and probability 0. A null id
+    counts as the id "". The join is on the cells, broadcast up to DRIVER_CELLS of them. Other columns are ignored. An empty table
+    gives no rows.
+    """
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in _keys(source_col, lang_col).items()), _profile_udf()(text_of(text_col)).alias("x"))
+    rows = materialise(rows.select("doc_id", "__mix_source", "__mix_lang", "x.tokens", "x.profile"))
+    model, cells = _fit(rows, targets, budget, rounds, topics)
+    keyed = rows.select("doc_id", "__mix_source", "__mix_lang", _topic_udf(model)("profile", "__mix_lang").alias("__mix_topic"), F.col("tokens").alias("__mix_tokens"))
+    return _drawn(keyed, cells, "doc_id")
+
+
+def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, topics: int = TOPICS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The documents that sampled() selects, with the columns of docs alone, whatever their names. Texts are read a second time instead of being
+    written with their profiles or joined to them. Nulls, empty texts and repeated rows as there; an empty table gives no rows."""
+    bound_batches(docs.sparkSession)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("__mix_id"), *(c.alias(n) for n, c in _keys(source_col, lang_col).items()), text_of(text_col).alias("__mix_text"))
+    rows = packed.select("__mix_source", "__mix_lang", _profile_udf()("__mix_text").alias("x")).select("__mix_source", "__mix_lang", "x.tokens", "x.profile")
+    model, cells = _fit(materialise(rows), targets, budget, rounds, topics)
+    keyed = packed.withColumn("__mix_topic", _topic_udf(model)(_profile_udf()("__mix_text")["profile"], "__mix_lang"))
+    return _drawn(keyed, cells, "__mix_id").filter("__mix_selected").select("row.*")

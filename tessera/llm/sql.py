@@ -1,9 +1,6 @@
 """DuckDB SQL for the queries that SQL can express; the others are tested against brute force, round trips or held-out labels."""
 
-from . import mixing
-
 ORACLE: dict[str, str] = {
-    "op1_mixing": mixing.oracle_sql(),
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(coalesce(text, '')) AS text_sha256

@@ -73,12 +73,54 @@ def test_sql(spark, sf, name):
 
 
 def test_raking_alike_on_driver_and_cluster(docs, monkeypatch):
-    here = {r[0]: r[1] for r in mixing.sampled(docs, rounds=1).select("doc_id", "__mix_probability").collect()}
+    here = {r[0]: r[1] for r in mixing.sampled(docs, rounds=2).select("doc_id", "__mix_probability").collect()}
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
-    there = {r[0]: r[1] for r in mixing.sampled(docs, rounds=1).select("doc_id", "__mix_probability").collect()}
+    there = {r[0]: r[1] for r in mixing.sampled(docs, rounds=2).select("doc_id", "__mix_probability").collect()}
     assert all(abs(here[i] - there[i]) < 1e-8 for i in here)
 
 
+def test_mixing_by_plain_loops(spark):
+    """Topics, marginals, probabilities and draws of every document, cell by cell."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in mixing.sampled(docs).collect()}
+    texts = {r.doc_id: r for r in docs.collect()}
+    profiles = {i: mixing.word_profile(r.text or "")[1].astype(float) for i, r in texts.items()}
+    worded = [i for i in rows if profiles[i].any()]
+    means = {x: np.mean([profiles[i] for i in worded if rows[i]["__mix_lang"] == x], 0) for x in {r["__mix_lang"] for r in rows.values()}}
+    groups = {}
+    for i in worded:
+        assert rows[i]["__mix_tokens"] == len((texts[i].text or "").encode().split())
+        groups.setdefault(rows[i]["__mix_topic"], []).append(profiles[i] - means[rows[i]["__mix_lang"]])
+    assert len(groups) > 3 and mixing.NO_TOPIC not in groups
+    centres = {t: np.sum(g, 0) / np.linalg.norm(np.sum(g, 0)) for t, g in groups.items()}
+    nearest = [max(centres, key=lambda t: float((profiles[i] - means[rows[i]["__mix_lang"]]) @ centres[t])) == rows[i]["__mix_topic"] for i in worded]
+    assert sum(nearest) > 0.9 * len(nearest)  # all but those that one more step would move
+    total = sum(r["__mix_tokens"] for r in rows.values())
+    for dim, power in mixing.POWER.items():
+        held, got = Counter(), Counter()
+        for r in rows.values():
+            held[r[f"__mix_{dim}"]] += r["__mix_tokens"]
+            got[r[f"__mix_{dim}"]] += r["__mix_tokens"] * r["__mix_probability"]
+        goal, full = {k: v**power for k, v in held.items()}, set()
+        while True:  # whoever is asked for more than he has gives all
+            factor = (0.6 * total - sum(held[k] for k in full)) / sum(goal[k] for k in goal if k not in full)
+            over = {k for k in goal if k not in full and factor * goal[k] > held[k]}
+            if not over:
+                break
+            full |= over
+        for k in goal:
+            assert abs(got[k] - (held[k] if k in full else factor * goal[k])) < 0.002 * total
+    for i, r in rows.items():
+        assert r["__mix_selected"] == (int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:8], 16) / 2**32 < r["__mix_probability"])
+    assert {r.doc_id for r in mixing.mixed(docs).collect()} == {i for i, r in rows.items() if r["__mix_selected"]}
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(i, f"some words {i}", "s", "en", 7, 8, 9) for i in range(40)], "doc_id long, text string, source string, lang string, __mix_weight int, __mix_topic int, row int")
+    got = mixing.mixed(d, budget=1.0)
+    assert got.columns == d.columns and sorted(got.collect()) == sorted(d.collect())
+
+
 def test_toxicity_on_other_labels(spark):
     rows = [(i, f"plain words number {'abcdefgh'[i % 8]} here" + (" you idiot and moron" if i % 4 == 0 else "")) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
