@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -330,17 +331,96 @@ def test_decontamination_whatever_the_case_and_the_word_before(spark):
     assert got == {0: (0, False), 1: (0, False), 2: (0, False), 3: (1, False), 4: (1, False), 5: (1, False), 6: (1, False), 7: (1, True), 8: (1, True)}
 
 
-def test_pipeline_stage_by_stage(spark, sf, docs):
+def linked(texts, width, percent):
+    """Smallest id of each text's group, from all pairs of sets."""
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_pipeline_by_plain_loops(spark, sf, docs, labels):
+    """Each stage's documents, worked out text by text from the stage before, and the shards' tokens from the last."""
     import corpus_pipeline
 
     shards = corpus_pipeline.run(spark, sf).collect()
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, sf)
-        assert after.columns == docs.columns and after.count() <= kept.count()
-        kept = after
-    ids = {int(x["doc_id"]) for r in shards for x in np.frombuffer(r.payload, token_shards.record_type())}
-    assert ids == {r.doc_id for r in kept.select("doc_id").collect()}
+    kept, texts = docs, {r.doc_id: r.text for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, df):
+        out = stages[name](spark, df, sf)
+        assert out.columns == docs.columns
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    model = toxicity.train(docs, labels)
+    want = {}
+    for i, t in texts.items():  # the chain, one weight at a time
+        f, before = toxicity.text_features(t), []
+        for w in model.weights:
+            z = w[0] + sum(x for word, x in zip(model.words, w[1:]) if word in f) + w[len(model.words) + 1] * math.log1p(len(f)) / 10 + sum(a * b for a, b in zip(w[len(model.words) + 2 :], before))
+            before.append(1 / (1 + math.exp(-z)) if f else 0.0)
+        if before[-1] < model.threshold:
+            want[i] = t
+    kept, texts = after("toxicity", kept)
+    assert texts == want
+    root = linked(texts, 5, 80)
+    want = {i: t for i, t in texts.items() if root[i] == i}
+    kept, texts = after("near_duplicates", kept)
+    assert texts == want
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    windows = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    items = [windows(words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    found = {i: windows(words(t)) for i, t in texts.items()}
+    want = {i: t for i, t in texts.items() if not any(len(w & found[i]) >= 0.8 * len(w) for w in items)}
+    kept, texts = after("decontamination", kept)
+    assert texts == want and len(want) < len(found)
+    chosen = {r.doc_id for r in mixing.sampled(kept).collect() if int(hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32 < r["__mix_probability"]}
+    kept, texts = after("mixing", kept)
+    assert set(texts) == chosen
+    encode, parts = encoder(read_vocabulary()).encode_ordinary, {}
+    for r in shards:
+        for x in np.frombuffer(r.payload, token_shards.record_type()):
+            parts.setdefault(int(x["doc_id"]), {})[int(x["sequence"])] = x["ids"][: x["tokens"]].tolist()
+    assert {i: sum((p[k] for k in sorted(p)), []) for i, p in parts.items()} == {i: [*encode(t or ""), END_OF_TEXT] for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_awkward_rows(spark, awkward, sf, empty):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    d = awkward.limit(0) if empty else awkward.withColumn("row", F.lit(1)).withColumn("bad_id", F.lit(2))
+    for name in ("toxicity", "near_duplicates", "decontamination", "mixing"):
+        out = stages[name](spark, d, sf)
+        assert out.columns == d.columns
+        got = sorted((str(r.doc_id), str(r.text)[:20]) for r in out.collect())
+        rows = sorted((str(i), str(t)[:20]) for i, t, *_ in ([] if empty else AWKWARD))
+        if name in ("toxicity", "decontamination"):
+            assert got == rows
+        elif name == "near_duplicates":
+            assert got == [r for r in rows if r[0] != "5"]  # 4 has the same text
+        else:
+            assert set(got) <= {r for r in rows if r[1].strip() and r[1] != "None"}
+    assert stages["token_ids"](spark, d, sf).agg(F.sum("slots")).first()[0] == (None if empty else len(AWKWARD) + got_extra(awkward))
+
+
+def got_extra(df):
+    """Sequences beyond the first of the long text."""
+    encode = encoder(read_vocabulary()).encode_ordinary
+    return sum((len(encode(r.text or "")) + 1 - 1) // token_shards.SEQUENCE for r in df.collect())
 
 
 @pytest.mark.parametrize("n, stride", [(1, 5), (37, 5), (256, 16)])
