@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, text_of
+from .common import bound_batches, release, text_of, tidy
 
 #: At most so many labelled rows, chosen by a hash of the id, fit the chain.
 TRAIN_ROWS = 12_000
@@ -159,12 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories:
     sample = sample.select("_id", *(f"y{k}" for k in range(len(own))), fold, _found("text").alias("found")).persist()
     try:
         sizes = sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum(y).alias("a")).toPandas().set_index("fold").reindex(range(FOLDS), fill_value=0)
-        each = [F.sum((F.col("fold") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)] + [F.sum(F.when(F.col("fold") == f, y).otherwise(0)).alias(f"a{f}") for f in range(FOLDS)]
-        seen = sample.select("fold", y.alias(f"y{len(own) - 1}"), F.explode("found").alias("word")).groupBy("word").agg(*each, F.count("*").alias("n"), F.sum(y).alias("a"))
+        words = sample.select("fold", y.alias("y"), F.explode("found").alias("word"))
+        seen = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("a")).filter(F.col("n") >= SUPPORT)
         n, toxic = int(sizes.n.sum()), int(sizes.a.sum())
         share = toxic / max(n, 1)
         z = F.abs(F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(share * (1 - share) + 1e-9))
-        counts = seen.filter(F.col("n") >= SUPPORT).orderBy(z.desc(), "word").limit(features * (FOLDS + 1)).toPandas()
+        counts = seen.orderBy(z.desc(), "word").limit(features * (FOLDS + 1)).toPandas()
+        # by fold, only of these
+        each = words.filter(F.col("word").isin(counts.word.tolist() or [""])).groupBy("word", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("a")).toPandas()
+        of = {(w, f): (k, t) for w, f, k, t in zip(each.word, each.fold, each.n, each.a)}
+        for f in range(FOLDS):
+            counts[f"n{f}"], counts[f"a{f}"] = ([of.get((w, f), (0, 0))[j] for w in counts.word] for j in (0, 1))
         best = strongest(counts, n, toxic, features)
         of_fold = [strongest(pd.DataFrame({"word": counts.word, "n": counts.n - counts[f"n{f}"], "a": counts.a - counts[f"a{f}"]}), n - int(sizes.n[f]), toxic - int(sizes.a[f]), features).word.tolist() for f in range(FOLDS)]
         # only the chosen features of each text are needed on the driver
@@ -173,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories:
         rows = sample.orderBy("_id").select(kept.alias("found"), F.size("found").alias("size"), "fold", *(f"y{k}" for k in range(len(own)))).toPandas()
     finally:
         sample.unpersist()
+        tidy(docs.sparkSession)
     found = [set(f) for f in rows["found"]]
     named = {c: rows[f"y{k}"].to_numpy(float) for k, c in enumerate(own)}
     if not categories:
