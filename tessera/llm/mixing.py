@@ -247,6 +247,18 @@ def _topic_udf(model: Topics):
     return topic
 
 
+def _text_topic_udf(model: Topics):
+    @F.pandas_udf("string")
+    def topic(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        bins = _Bin()
+        vectors = np.array([word_profile(t, bins)[1] for t in texts], np.int64).reshape(-1, WIDTH)
+        del bins
+        release()
+        return pd.Series(model.names(vectors, langs))
+
+    return topic
+
+
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, topics: int = TOPICS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, tokens, weight, probability and selected, all but the first prefixed with __mix_.
 
@@ -272,8 +284,9 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     """The documents that sampled() selects, with the columns of docs alone, whatever their names. Texts are read a second time instead of being
     written with their profiles or joined to them. Nulls, empty texts and repeated rows as there; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("__mix_id"), *(c.alias(n) for n, c in _keys(source_col, lang_col).items()), text_of(text_col).alias("__mix_text"))
-    rows = packed.select("__mix_source", "__mix_lang", _profile_udf()("__mix_text").alias("x")).select("__mix_source", "__mix_lang", "x.tokens", "x.profile")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("__mix_id"), *(c.alias(n) for n, c in _keys(source_col, lang_col).items()))
+    rows = docs.select(*(c.alias(n) for n, c in _keys(source_col, lang_col).items()), _profile_udf()(text_of(text_col)).alias("x")).select("__mix_source", "__mix_lang", "x.tokens", "x.profile")
     model, cells = _fit(materialise(rows), targets, budget, rounds, topics)
-    keyed = packed.withColumn("__mix_topic", _topic_udf(model)(_profile_udf()("__mix_text")["profile"], "__mix_lang"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    keyed = packed.withColumn("__mix_topic", _text_topic_udf(model)(text, "__mix_lang"))
     return _drawn(keyed, cells, "__mix_id").filter("__mix_selected").select("row.*")
