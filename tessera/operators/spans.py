@@ -16,7 +16,7 @@ THRESHOLD = 0.7
 def with_labels(decoded: DataFrame, space: labels.LabelSpace = labels.DEFAULT) -> DataFrame:
     """prefix and tier of the label id; ids without a label are O. One table, head after head, is looked up by place.
 
-    They come out of a generator of one row, which keeps the optimiser from putting a filter on prefix before the scores and working them out
+    They come out of a generator of one row, which keeps the optimiser from putting a filter on prefix or rescued before the scores and working them out
     once for each time the filter names them.
     """
     width = max(len(names) for _, names in space.heads.values())
@@ -25,7 +25,8 @@ def with_labels(decoded: DataFrame, space: labels.LabelSpace = labels.DEFAULT) -
         prefixes[h][i], tiers[h][i] = prefix, tier
     place = F.when(F.col("label_id") < width, F.col("head_idx") * width + F.col("label_id")).otherwise(-1)
     of = lambda table: F.get(F.array(*(F.lit(x).cast("string") for row in table for x in row)), place)
-    return decoded.select("*", F.inline(F.array(F.struct(F.coalesce(of(prefixes), F.lit("O")).alias("prefix"), of(tiers).alias("tier")))))
+    out = F.struct(F.coalesce(of(prefixes), F.lit("O")).alias("prefix"), of(tiers).alias("tier"), "rescued")
+    return decoded.select(*(c for c in decoded.columns if c != "rescued"), F.inline(F.array(out)))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
