@@ -244,7 +244,7 @@ def _topic_udf(model: Topics):
     def topic(column: pd.Series, langs: pd.Series) -> pd.Series:
         return pd.Series(model.names(_vectors(column), langs))
 
-    return topic
+    return topic.asNondeterministic()  # it is not; but the filter for nulls that the join with cells infers would work it out a second time
 
 
 def _text_topic_udf(model: Topics):
@@ -256,7 +256,7 @@ def _text_topic_udf(model: Topics):
         release()
         return pd.Series(model.names(vectors, langs))
 
-    return topic
+    return topic.asNondeterministic()  # as above: texts are read once
 
 
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, topics: int = TOPICS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
