@@ -20,7 +20,7 @@ BLOCK_BYTES = 8_000_000
 #: Up to so many blocks, each exchanges a row with every range of keys; beyond, only with the ranges that it has keys in.
 FULL_EXCHANGE = 2048
 #: Bytes of rows that the JVM hands to a Python worker at once, at most (one row more, where a row is larger).
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,6 +63,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def sliced(table: pa.Table) -> pa.Table:
+    """The same rows in record batches of about BATCH_BYTES; a Python worker sends them to the JVM one by one."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=max(1, table.num_rows * BATCH_BYTES // max(1, table.nbytes))), table.schema)
+
+
 def text_of(col="text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -177,7 +182,7 @@ def key_rows(block: int, kinds: list[tuple[np.ndarray, np.ndarray]], bits: int,
         starts, ends = (np.searchsorted(of, buckets, side) for side in ("left", "right"))
         for b, i, j in zip(buckets.tolist(), starts, ends):
             rows.append((block, b, kind, pack_sorted(keys[i:j]), pack_counts(counts[i:j])))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(KEYS), KEYS)], schema=KEYS)
+    return sliced(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(KEYS), KEYS)], schema=KEYS))
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -190,7 +195,7 @@ def _merge(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(k) for k in keys])
     out = [pack_counts(sums[at[e - len(k) : e]]) for k, e in zip(keys, ends)]
     n = len(keys)
-    return pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), table["kind"].combine_chunks(), pa.array(out, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in stats)], schema=ANSWERS)
+    return sliced(pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), table["kind"].combine_chunks(), pa.array(out, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in stats)], schema=ANSWERS))
 
 
 def bucket_bits(blocks: int) -> int:

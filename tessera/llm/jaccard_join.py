@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FULL_EXCHANGE, KEYS, answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, sent_keys, unplanes, word_hashes
+from .common import FULL_EXCHANGE, KEYS, answers_by_kind, chain, components, count_keys, ddl, in_blocks, materialise, mix, planes, release, sent_keys, sliced, unplanes, word_hashes
 
 #: Prefixes grow by up to so many tokens beyond the plain prefix filter's.
 MOST_EXTRA = 16
@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
     frequencies, _ = count_keys(blocks.groupBy("block").applyInArrow(keys, ddl(KEYS)), n_blocks, full)
 
     def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _sketch(left, right, width, percent)
+        rows = sliced(_sketch(left, right, width, percent))
         release()
         return rows
 
