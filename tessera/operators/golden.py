@@ -24,10 +24,24 @@ def compare(want: DataFrame, got: DataFrame, tolerance: float = TOLERANCE) -> Da
     return both.select(*(F.coalesce(k, f"g_{k}").alias(k) for k in KEY), kind.alias("kind"), delta.alias("delta"))
 
 
+def differences(want: DataFrame, got: DataFrame, *columns: str, once: bool = False) -> DataFrame:
+    """side, columns: rows of want alone (missing), of got alone (unexpected) and of both, as often as EXCEPT ALL and INTERSECT ALL have them; or, with
+    once, as EXCEPT and INTERSECT. Both are read once and meet in one aggregation."""
+    rows = want.select(*columns, F.lit(1).alias("_w"), F.lit(0).alias("_g")).union(got.select(*columns, F.lit(0), F.lit(1)))
+    total = (lambda c: F.max(c)) if once else (lambda c: F.sum(c))
+    w, g = F.col("_w").cast("int"), F.col("_g").cast("int")
+    sides = F.concat(F.array_repeat(F.lit("missing"), w if once else w - g), F.array_repeat(F.lit("unexpected"), g if once else g - w), F.array_repeat(F.lit("both"), F.least(w, g)))
+    if once:
+        sides = F.when((w > 0) & (g > 0), F.array(F.lit("both"))).otherwise(sides)
+    return rows.groupBy(*columns).agg(total("_w").alias("_w"), total("_g").alias("_g")).select(F.explode(sides).alias("side"), *columns)
+
+
 def lenient_failures(want: DataFrame, got: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, kind) of what fails even for models that need not agree: offsets that don't cut out the entity's text, and texts with expected
     entities but no found one."""
-    bad = got.join(texts.select("doc_id", F.col("text").alias("body")), "doc_id").filter(F.expr("substr(body, cast(start_index as int) + 1, cast(end_index - start_index as int)) <> text"))
+    lists = got.groupBy("doc_id").agg(F.collect_list(F.struct("start_index", "end_index", "text")).alias("all"))  # so that a text is joined once
+    wrong = F.filter("all", lambda x: F.substring(F.col("body"), (x["start_index"] + 1).cast("int"), (x["end_index"] - x["start_index"]).cast("int")) != x["text"])
+    bad = lists.join(texts.select("doc_id", F.col("text").alias("body")), "doc_id").select("doc_id", F.explode(wrong))
     none = want.select("doc_id").distinct().join(got.select("doc_id").distinct(), "doc_id", "left_anti")
     return bad.select("doc_id", F.lit("offsets").alias("kind")).unionByName(none.select("doc_id", F.lit("none found").alias("kind")))
 

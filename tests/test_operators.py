@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import digests
-from tessera.operators import emissions, merges, scan, segments, service, spans, tokens
+from tessera.operators import emissions, golden, merges, scan, segments, service, spans, tokens
 from tessera.plans import detect, registry
 from tessera.sources import files
 from tessera.streaming import analyze as streams
@@ -246,7 +246,16 @@ def test_digests_of_many_texts():
     assert all(bytes(got[i, k]) == hashlib.md5(p + x + b":3").digest()[:8] for i, x in enumerate(texts) for k, p in enumerate((b"PERSON:", b"ORG:")))
 
 
-@pytest.mark.parametrize("name", ["anti_overlap_any"])
+def test_differences_count_repeated_rows(spark):
+    """Two reads and one aggregation, where three set operations read both sides six times."""
+    want = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, None), (3, "c")], "k int, t string")
+    got = spark.createDataFrame([(1, "a"), (2, None), (4, "d"), (4, "d")], "k int, t string")
+    df = golden.differences(want, got, "k", "t")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("missing", 1, "a")] * 2 + [("both", 1, "a"), ("both", 2, None), ("missing", 3, "c")] + [("unexpected", 4, "d")] * 2, key=str)
+    assert sorted(map(tuple, golden.differences(want, got, "k", "t", once=True).collect()), key=str) == sorted([("both", 1, "a"), ("both", 2, None), ("missing", 3, "c"), ("unexpected", 4, "d")], key=str)
+
+
+@pytest.mark.parametrize("name", ["anti_overlap_any", "except_guard"])
 def test_texts_are_read_once_for_each_scan(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == (2 if name.startswith("except") else 1) and "Window" not in plan
