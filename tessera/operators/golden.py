@@ -24,6 +24,18 @@ def compare(want: DataFrame, got: DataFrame, tolerance: float = TOLERANCE) -> Da
     return both.select(*(F.coalesce(k, f"g_{k}").alias(k) for k in KEY), kind.alias("kind"), delta.alias("delta"))
 
 
+def compare_pairs(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """As compare, of rows that hold both sides: KEY, confidence, g_tier, g_confidence, with the confidence null where a side lacks the entity. Different
+    tiers are two entities; an unknown doc_id or type equals nothing."""
+    delta = F.abs(F.col("confidence") - F.col("g_confidence"))
+    same = delta.isNotNull() & F.col("tier").eqNullSafe(F.col("g_tier")) & F.col("doc_id").isNotNull() & F.col("type").isNotNull()
+    row = lambda tier, kind, delta: F.struct(F.col(tier).alias("tier"), kind.alias("kind"), delta.alias("delta"))
+    missing, unexpected = (row(tier, F.lit(kind), F.lit(None).cast("double")) for tier, kind in (("tier", "missing"), ("g_tier", "unexpected")))
+    rows = F.when(same, F.array(row("tier", F.when(delta > tolerance, "drift").otherwise("equal"), delta))).when(F.col("g_confidence").isNull(), F.array(missing))
+    rows = rows.when(F.col("confidence").isNull(), F.array(unexpected)).otherwise(F.array(missing, unexpected))
+    return pairs.select(*(k for k in KEY if k != "tier"), F.inline(rows))
+
+
 def differences(want: DataFrame, got: DataFrame, *columns: str, once: bool = False) -> DataFrame:
     """side, columns: rows of want alone (missing), of got alone (unexpected) and of both, as often as EXCEPT ALL and INTERSECT ALL have them; or, with
     once, as EXCEPT and INTERSECT. Both are read once and meet in one aggregation."""

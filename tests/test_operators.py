@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -268,3 +269,39 @@ def test_first_failures_have_unknown_tiers_last(spark, monkeypatch):
 def test_texts_are_read_once_for_each_scan(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == (2 if name.startswith("except") else 1) and "Window" not in plan
+
+
+@pytest.mark.parametrize("want, got, emitter", [
+    ({}, {"threshold": 0.75, "floor": 0.75}, detect.HASH), ({"threshold": 0.5, "floor": 0.4}, {"threshold": 0.4}, detect.HASH), ({}, {"floor": 0.7}, emissions.emit_constant(40)),
+    ({"floor": 0.6}, {"threshold": 0.5, "floor": 0.5}, emissions.emit_hash(64, bias=4.0, temperatures={"PERSON": 2.0, "CITY": 0})),
+])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_comparison_in_one_pass_is_that_of_the_join(spark, sf, want, got, emitter, repeated):
+    """Unknown ids match nothing; rows that share an id are compared as one, and only they are joined."""
+    odd = ["x" * 5000, 'Dr. Who?   Yes." No! ' * 300, "\x0b\x1c b\x85c 😀" * 80, "word " * 3000 + "\n\n", "。！".join(["語" * 40] * 200), None, ""]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 8 = 0").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([*((-i - 1, x) for i, x in enumerate(odd)), *((None, odd[i]) for i in (1, 1, 3))], "doc_id long, text string"))
+    if repeated:
+        docs = docs.union(docs.filter("doc_id % 16 = 0")).union(docs.filter("doc_id % 16 = 0").withColumn("text", F.substring("text", 1, 300)))
+    df = detect.compared(docs, want, got, registry._changed, emitter)
+    assert ("Join" in df._jdf.queryExecution().optimizedPlan().toString()) == repeated
+    found = detect.analyze(docs, emitter=emitter, **got)
+    confidence, tier = registry._changed(found["confidence"], found["tier"])
+    expected = golden.compare(detect.analyze(docs, emitter=emitter, **want), found.withColumns({"confidence": confidence, "tier": tier}))
+    rows = sorted(map(str, df.collect()))
+    assert df.columns == expected.columns and rows == sorted(map(str, expected.collect()))
+    assert all(any(f"kind='{k}'" in r for r in rows) for k in ("missing", "unexpected", "drift", "equal"))
+
+
+def test_comparison_where_heads_share_a_type(spark, sf):
+    """Two heads may then have an entity at one place, so pairs would not do."""
+    space = replace(detect.HASH.space, api=[(h, None, "THING") for h in detect.HASH.space.heads])
+    emitter = replace(emissions.emit_hash(bias=4.0), space=space)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 16 = 0")
+    rows = [sorted(map(str, x.collect())) for x in (detect.compared(docs, {}, {}, lambda *x: x, emitter), golden.compare(detect.analyze(docs, emitter=emitter), detect.analyze(docs, emitter=emitter)))]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_golden_comparison_reads_texts_once(spark, sf):
+    plan = registry.queries()["join_golden"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not re.search("Join|Aggregate|Window", plan)
